@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontam, pii, quality
 from .common import table
 
 
@@ -12,5 +12,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": quality.ORACLE}
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op8_pii": op8_pii,
+}
+ORACLES = {
+    "op1_quality_rules": quality.ORACLE,
+    "op5_benchmark_decontamination": decontam.ORACLE,
+}
