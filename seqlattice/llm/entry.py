@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, quality
+from . import decontam, hypermin, pii, quality
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hypermin.components(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,10 +26,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_pii": op8_pii,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op3_minhash_near_dedup": hypermin.ORACLE,
     "op5_benchmark_decontamination": decontam.ORACLE,
 }
