@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -66,9 +67,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    """df as a Parquet table in the shared folder, read back; the shuffle files of the write, which no one reads again, are let go."""
+    conf, path = df.sparkSession.conf, shared_dir(df.sparkSession)
+    before = conf.get(_LET_GO, None)
+    conf.set(_LET_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_LET_GO, before) if before is not None else conf.unset(_LET_GO)
     return df.sparkSession.read.parquet(path)
 
 
