@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hypermin, pii, quality, substrings
+from . import decontam, hypermin, lm, pii, quality, substrings
 from .common import table
 
 
@@ -28,12 +28,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_pii": op8_pii,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
