@@ -9,14 +9,16 @@ function of its own.  Sets of SPLIT to SPLIT / threshold shingles get sketches
 of both kinds, as a set and its match may lie on either side.
 
 1. Documents with equal sets collapse to the smallest id.
-2. Sketches are banded.  In each band's bucket, one pivot, drawn by hash, is
-   paired with every other member: as many pairs as members, not all pairs.
+2. Sketches are banded.  In each band's bucket one pivot, the member whose id
+   has the smallest hash, is paired with every other member: as many pairs as
+   members, not all pairs; near copies meet the same few pivots in all bands.
 3. A pair whose collision-corrected Jaccard estimate lies far below the
    threshold is dropped (five deviations: about one in three million true
    links); the others are confirmed on the full sets.
 4. Links give components.  Buckets that still hold several components are
-   gone through again: members of different components that no pair has
-   compared yet are paired, so that no link between components is lost.
+   gone through again, in blocks of bounded size: the sketches of members of
+   different components are compared in place, and likely pairs that weren't
+   tried are confirmed, so that no link between components is lost.
 
 A pair at a similarity of exactly 0.8 meets in no bucket with a probability of
 4e-8.  Nulls: a null text has no shingles and no links; a row with a null id
@@ -28,6 +30,7 @@ results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ from .components import connected
 
 BANDS, ROWS, MANTISSA, SPLIT = 56, 6, 10, 1024
 REGISTERS = BANDS * ROWS
+BLOCK = 4000
 EMPTY = 0xFFFF
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -152,9 +156,58 @@ def banded(sketches: DataFrame) -> DataFrame:
     return sketches.select("id", "n", "each", "dealt").mapInArrow(run, "id long, n long, key long")
 
 
+def least_estimate(threshold: float) -> float:
+    return threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+
+
+def crossed(members: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs of members of one bucket that lie in different components, from (key, id, n, component, members, each, dealt).
+
+    A bucket of more than BLOCK members is cut into blocks, and each pair of
+    blocks is a group of its own, so that a group holds two blocks at most.
+    Within a group, members outside its largest component are compared with
+    those of other components.
+    """
+    least = least_estimate(threshold)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    placed = placed.select("key", "id", "n", "component", "block", "each", "dealt", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "component", "each", "dealt")
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        i, j = rows[0][1:3]
+        for kind in (7, 8):
+            own = [r for r in rows if r[kind] is not None and not (kind == 8 and r[7] is not None and all(x[7] is not None for x in rows))]
+            if len(own) < 2:
+                continue
+            block, ids, ns, comps = (np.array([r[k] for r in own], np.int64) for k in (3, 4, 5, 6))
+            names, counts = np.unique(comps, return_counts=True)
+            if len(names) < 2:
+                continue
+            sketches = np.frombuffer(b"".join(r[kind] for r in own), np.uint16).reshape(-1, REGISTERS)
+            for x in np.flatnonzero(comps != names[counts.argmax()]):
+                y = (comps != comps[x]) & (ns >= threshold * ns[x] * 0.999) & (ns[x] >= threshold * ns * 0.999)
+                if i != j:
+                    y &= block != block[x]
+                y = np.flatnonzero(y)
+                if len(y):
+                    y = y[estimate(sketches[y], sketches[x][None, :]) >= least]
+                    found += [(min(ids[x], b), max(ids[x], b)) for b in ids[y]]
+        return list(set(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, group in groupby(rows, key=lambda r: r[:3]):
+            if pairs := compare(list(group)):
+                yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose estimate isn't far below the threshold."""
-    least = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    least = least_estimate(threshold)
     left = sketches.select(F.col("id").alias("a"), F.struct("each", "dealt").alias("x"))
     right = sketches.select(F.col("id").alias("b"), F.struct("each", "dealt").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").selectExpr("a", "b", "coalesce(if(y.each is null, null, x.each), x.dealt) x", "coalesce(if(x.each is null, null, y.each), y.dealt) y")
@@ -199,7 +252,7 @@ def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     heads = written(heads.select("id", "n", "each", "dealt"))
 
     rows = banded(heads)
-    pivots = rows.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    pivots = rows.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = written(rows.join(pivots, "key").select("key", "id", "n", "pivot"))
     tried = written(shared.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
     links = written(confirmed(likely(tried, heads, threshold), docs, size, percent))
@@ -208,11 +261,9 @@ def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     # Members of different components in one bucket that haven't been compared.
     placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high and members > 2")
-    open_rows = written(placed.where("id <> pivot").join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "component"))
-    left, right = open_rows.toDF("key", "a", "na", "ca"), open_rows.toDF("key", "b", "nb", "cb")
-    fresh = left.join(right, "key").where(f"a < b and ca <> cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b").distinct()
-    fresh = fresh.join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(likely(fresh, heads, threshold), docs, size, percent))
+    open_rows = placed.where("id <> pivot").join(mixed.select("key", "members"), "key").select("key", "id", "n", "component", "members")
+    fresh = crossed(open_rows.join(heads.select("id", "each", "dealt"), "id"), threshold).join(tried, ["a", "b"], "left_anti")
+    more = written(confirmed(fresh, docs, size, percent))
     if more.limit(1).count():
         found = connected(links.unionByName(more))
 
