@@ -10,8 +10,8 @@ document with a smaller id, or earlier in the same document.
    (suffix_array.py), brings equal runs together; all but the first go, and
    only first ones are shuffled, so that a string that very many documents
    share is at most one row a block.
-3. Runs that are equal across blocks meet by anchor and context; again all but
-   the first go.
+3. Runs meet, sorted by anchor and context; of equal ones again all but the
+   first go.  A task goes over an anchor's runs one by one and holds none.
 4. What is left may match in part: different contexts around one anchor.
    Their bytes are fetched and the strings in them compared, anchor by anchor;
    an anchor with more than HOT contexts is dealt out by single strings.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
@@ -196,25 +196,68 @@ def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[run], tag[run], (((place[run] >> _BITS) + inner) << _BITS) + 1, whole.view(np.int64))], ["doc", "tag", "place", "string"])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by anchor, context, doc, tag, place: those that go, and as open, the first of each context of an anchor that has several.
+
+    It holds one row besides a batch, however many runs an anchor has.
+    """
+    last: tuple[int, ...] | None = None  # the row before: doc, tag, place, anchor, context
+    last_first = False
+    waiting: tuple[int, ...] | None = None  # the first run of an anchor that has one context so far
+    names = ["doc", "tag", "place", "anchor", "open"]
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy() for k in range(5)]
+        before = [np.concatenate([[last[k] if last else 0], c[:-1]]) for k, c in enumerate(cols)]
+        differs = [c != b for c, b in zip(cols, before)]
+        anchor = cols[3]
+        new_anchor, new_context = differs[3] | (anchor < 0), differs[3] | differs[4] | (anchor < 0)
+        same_row = ~(new_context | differs[0] | differs[1] | differs[2])
+        if last is None:
+            new_anchor[0] = new_context[0] = True
+            same_row[0] = False
+        at = np.maximum.accumulate(np.where(same_row, -1, np.arange(n)))
+        first = np.where(at >= 0, new_context[at], last_first)
+        gone = ~first | (anchor < 0)
+        fresh = np.flatnonzero(new_context & (anchor >= 0))
+        is_open = np.zeros(n, bool)
+        is_open[fresh] = ~new_anchor[fresh] | np.append(~new_anchor[fresh[1:]], [False])
+        extra: list[tuple[int, ...]] = []
+        if waiting and len(fresh) and not new_anchor[fresh[0]]:
+            extra.append(waiting)
+        if len(fresh):
+            i = fresh[-1]
+            waiting = tuple(int(c[i]) for c in cols) if new_anchor[i] else None
+        last, last_first = tuple(int(c[-1]) for c in cols), bool(first[-1])
+        for part, flag in ((np.flatnonzero(gone), False), (np.flatnonzero(is_open & ~gone), True)):
+            if len(part):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in cols[:4]), pa.array(np.full(len(part), flag))], names)
+        if extra:
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in extra], pa.int64()) for k in range(4)), pa.array([True] * len(extra))], names)
+
+
 def removed_places(docs: DataFrame) -> DataFrame:
     """(doc, tag, place) of keyed docs: starts of strings that occur earlier."""
     runs = docs.where(F.octet_length("text") >= SPAN).mapInArrow(_cut, "doc long, tag long, place long, anchor long, context long")
-    place_in = F.rank().over(Window.partitionBy("anchor", "context").orderBy("doc", "tag", "place"))
-    runs = written(runs.select("*", ((F.col("anchor") >= 0) & (place_in == 1)).alias("first")))
-    firsts = runs.where("first")
-    shared = firsts.groupBy("anchor").agg(F.min("context").alias("low"), F.max("context").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    open_runs = firsts.join(shared.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
+    spread = F.when(F.col("anchor") < 0, F.col("context")).otherwise(0)
+    met = runs.repartition("anchor", spread).sortWithinPartitions("anchor", "context", "doc", "tag", "place")
+    met = written(met.mapInArrow(_met, "doc long, tag long, place long, anchor long, open boolean"))
+
+    open_runs = met.where("open")
+    hot = open_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor", F.lit(True).alias("hot"))
+    open_runs = open_runs.join(hot, "anchor", "left").select("doc", "tag", "place", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     open_runs = open_runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "anchor", "hot")).alias("open"))
     parts = written(docs.join(open_runs, ["doc", "tag"]).select("doc", "tag", "text", "open").mapInArrow(_contexts, "doc long, tag long, place long, anchor long, hot boolean, bytes binary"))
 
-    few = parts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "place").mapInArrow(_resolved, "doc long, tag long, place long")
-    many = parts.where("hot").mapInArrow(_single_strings, "doc long, tag long, place long, string long")
+    few = written(parts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "place").mapInArrow(_resolved, "doc long, tag long, place long"))
     if parts.where("hot").limit(1).count():
-        many = written(many)
+        many = written(parts.where("hot").mapInArrow(_single_strings, "doc long, tag long, place long, string long"))
         least = many.groupBy("string").agg(F.min(F.struct("doc", "tag", "place")).alias("least"))
         many = many.join(least, "string").where(F.struct("doc", "tag", "place") != F.col("least"))
         few = few.unionByName(many.select("doc", "tag", "place"))
-    return runs.where("not first").select("doc", "tag", "place").unionByName(few)
+    return met.where("not open").select("doc", "tag", "place").unionByName(few)
 
 
 def cut_out(text: bytes, places: list[int] | None) -> tuple[int, int, bytes]:
