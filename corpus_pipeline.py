@@ -1,10 +1,57 @@
-"""Stages from raw documents to a mixed training set; filled in below as operators land."""
+"""From raw documents to a mixed training set, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before kept; between stages the rows are written as Parquet and read again.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from seqlattice.llm import decontam, hypermin, mixing, pii, quality
+from seqlattice.llm.common import table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality.filtered(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8 or more) the smallest id stays."""
+    return hypermin.deduplicated(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of two or more benchmark items go."""
+    return decontam.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the texts."""
+    return pii.masked(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn to the sources' target weights, some in several epochs."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", pii_masking),
+    ("mixing sources to target weights", source_mixing),
+]
+
+#: The stages of disguised personal data have no SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

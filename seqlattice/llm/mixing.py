@@ -112,8 +112,11 @@ def drawn(docs: DataFrame, share_percent: int = SHARE_PERCENT, weights: Mapping[
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """The drawn documents with their columns, domain, epoch and take_tokens; the text of a part is its first words, joined by spaces."""
-    parts = drawn(docs, **parameters).select("doc_id", "mark", "domain", "epoch", "n_tokens", "take_tokens").dropDuplicates()
+    """The drawn documents with their columns, domain, epoch and take_tokens; the text of a part is its first words, joined by spaces.
+
+    Of repeated rows that differ in take_tokens, all get the larger."""
+    parts = drawn(docs, **parameters).select("doc_id", "mark", "domain", "epoch", "n_tokens", "take_tokens")
+    parts = parts.groupBy("doc_id", "mark", "domain", "epoch", "n_tokens").agg(F.max("take_tokens").alias("take_tokens"))
     keyed = docs.withColumn("mark", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = keyed.join(parts.withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("take_tokens").cast("int")), " ")
