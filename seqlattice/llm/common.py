@@ -38,6 +38,11 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return plain.select(*out)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns called _0, _1, ..., so that no two names clash, and their names."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), df.columns
+
+
 def byte_texts(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each value, None for null."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import numbered, pick, written
 
 MAX_EPOCHS, SEED, SHARE_PERCENT = 3, 11, 60
 LEVELS = ("domain", "lang", "source")
@@ -117,12 +117,15 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     Of repeated rows that differ in take_tokens, all get the larger."""
     parts = drawn(docs, **parameters).select("doc_id", "mark", "domain", "epoch", "n_tokens", "take_tokens")
     parts = parts.groupBy("doc_id", "mark", "domain", "epoch", "n_tokens").agg(F.max("take_tokens").alias("take_tokens"))
-    keyed = docs.withColumn("mark", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = keyed.join(parts.withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("take_tokens").cast("int")), " ")
-    text = F.when(F.col("take_tokens") < F.col("n_tokens"), cut).otherwise(F.col("text"))
-    extra = [c for c in ("domain", "epoch", "take_tokens") if c not in docs.columns]
-    return out.withColumn("text", text).select(*docs.columns, *extra)
+    rows, names = numbered(docs)
+    key, text = (F.col(f"_{names.index(c)}") for c in ("doc_id", "text"))
+    parts = parts.toDF("p_id", "p_mark", "domain", "epoch", "n_tokens", "take_tokens")
+    out = rows.join(parts, key.cast("long").eqNullSafe(F.col("p_id")) & (F.md5(F.coalesce(text.cast("string"), F.lit(""))) == F.col("p_mark")))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("take_tokens").cast("int")), " ")
+    put = F.when(F.col("take_tokens") < F.col("n_tokens"), cut).otherwise(text)
+    extra = [c for c in ("domain", "epoch", "take_tokens") if c.lower() not in {n.lower() for n in names}]
+    kept = [(put if n == "text" else F.col(f"_{i}")).alias(f"_{i}") for i, n in enumerate(names)]
+    return out.select(*kept, *extra).toDF(*names, *extra)
 
 
 def _level_sql(out: str, source: str, parents: str, name: str, weights: Mapping[str, int]) -> str:

@@ -100,7 +100,7 @@ _AT = r"[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*"
 _DOT = r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*"
 _BRACKETED = re.compile(rf"(?i)(?P<at>{_AT})|(?P<dot>{_DOT})")
 #: Unbracketed: only where a whole address is spelled, with "dot" as a word before its last part.
-_SPACED = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?:[ \t]+dot[ \t]+[a-z0-9_%+-]{1,64}){0,4}(?:[ \t]+at[ \t]+|@)[a-z0-9-]{1,64}(?:(?:[ \t]+dot[ \t]+|\.)[a-z0-9-]{1,64}){0,4}?[ \t]+dot[ \t]+[a-z]{2,24}(?!\w)")
+_SPACED = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?:[ \t]+dot[ \t]+[a-z0-9_%+-]{1,64}){0,4}(?:[ \t]+at[ \t]+|@)[a-z0-9-]{1,64}(?:(?:[ \t]+dot[ \t]+|\.)[a-z0-9-]{1,64}){0,4}[ \t]+dot[ \t]+[a-z]{2,24}(?!\w)")
 _SPACED_PART = re.compile(r"(?i)(?P<at>[ \t]+at[ \t]+)|(?P<dot>[ \t]+dot[ \t]+)")
 _SPACED_IP = re.compile(r"(?i)(?<!\w)[0-9]{1,3}(?:[ \t]+dot[ \t]+[0-9]{1,3}){3}(?!\w)")
 
@@ -181,7 +181,7 @@ TRANSDUCERS = (look_alikes, spelled_digits, at_and_dot)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows, in source offsets; those that meet a base span of their kind are left out."""
+    """Spans that only the rewritten text shows, in source offsets; those inside a base span of their kind are left out."""
     tape = Tape(text)
     for transducer in TRANSDUCERS:
         tape.rewrite(transducer(tape.text))
@@ -194,7 +194,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     for k, a, b in plain(tape.text):
         if True in tape.new[a:b]:
             s, e = tape.start[a], tape.end[b - 1]
-            if not any(x < e and s < y for x, y in taken.get(k, ())):
+            if not any(x <= s and e <= y for x, y in taken.get(k, ())):
                 out.append((k, s, e))
     return out
 
