@@ -192,8 +192,8 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
         taken.setdefault(k, []).append((a, b))
     out = []
     for k, a, b in plain(tape.text):
-        if True in tape.new[a:b]:
-            s, e = tape.start[a], tape.end[b - 1]
+        s, e = tape.start[a], tape.end[b - 1]
+        if e - s != b - a or True in tape.new[a:b]:
             if not any(x <= s and e <= y for x, y in taken.get(k, ())):
                 out.append((k, s, e))
     return out
