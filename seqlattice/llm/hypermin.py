@@ -11,14 +11,15 @@ of both kinds, as a set and its match may lie on either side.
 1. Documents with equal sets collapse to the smallest id.
 2. Sketches are banded.  In each band's bucket one pivot, the member whose id
    has the smallest hash, is paired with every other member: as many pairs as
-   members, not all pairs; near copies meet the same few pivots in all bands.
+   members, not all pairs.  The first bands give components; in all bands then
+   only members of another component than the pivot's are paired with it.
 3. A pair whose collision-corrected Jaccard estimate lies far below the
    threshold is dropped (five deviations: about one in three million true
    links); the others are confirmed on the full sets.
 4. Links give components.  Buckets that still hold several components are
    gone through again, in blocks of bounded size: the sketches of members of
    different components are compared in place, and likely pairs that weren't
-   tried are confirmed, so that no link between components is lost.
+   tried are confirmed, each once, so that no link between components is lost.
 
 A pair at a similarity of exactly 0.8 meets in no bucket with a probability of
 4e-8.  Nulls: a null text has no shingles and no links; a row with a null id
@@ -38,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import LOWER, byte_texts, mix64, pick, written
+from .common import LOWER, byte_texts, mix64, numbered, pick, written
 from .components import connected
 
 BANDS, ROWS, MANTISSA, SPLIT = 56, 6, 10, 1024
+FIRST_BANDS = 6
 REGISTERS = BANDS * ROWS
 BLOCK = 4000
 EMPTY = 0xFFFF
@@ -138,22 +140,34 @@ def sketched(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, set binary, each binary, dealt binary")
 
 
-def banded(sketches: DataFrame) -> DataFrame:
-    """(id, n, key), a row for each band."""
+def banded(sketches: DataFrame, first: int = 0, end: int = BANDS) -> DataFrame:
+    """(id, n, component, kind, key), a row for each band from first up to end; sketches have a component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, keys = [], [], []
-            for i, n, *both in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            ids, ns, comps, kinds, keys = [], [], [], [], []
+            for i, n, c, *both in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 for kind, sketch in enumerate(both):
                     if sketch is not None:
-                        ids.append(np.full(BANDS, i, np.int64))
-                        ns.append(np.full(BANDS, n, np.int64))
-                        keys.append(band_keys(np.frombuffer(sketch, np.uint16), kind))
+                        for out, x in ((ids, i), (ns, n), (comps, c), (kinds, kind)):
+                            out.append(np.full(end - first, x, np.int64))
+                        keys.append(band_keys(np.frombuffer(sketch, np.uint16), kind)[first:end])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ns, keys)], ["id", "n", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ns, comps, kinds, keys)], ["id", "n", "component", "kind", "key"])
 
-    return sketches.select("id", "n", "each", "dealt").mapInArrow(run, "id long, n long, key long")
+    return sketches.select("id", "n", "component", "each", "dealt").mapInArrow(run, "id long, n long, component long, kind long, key long")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """Banded rows of buckets with several components, with the bucket's pivot and the pivot's component."""
+    head = F.min_by(F.struct("id", "component"), F.xxhash64("id"))
+    pivots = rows.groupBy("key").agg(head.alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return rows.join(pivots.select("key", "p"), "key").select("key", "kind", "id", "n", "component", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component"))
+
+
+def with_pivots(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a member and its bucket's pivot that lie in different components."""
+    return rows.where("component <> pivot_component").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def least_estimate(threshold: float) -> float:
@@ -161,39 +175,39 @@ def least_estimate(threshold: float) -> float:
 
 
 def crossed(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of members of one bucket that lie in different components, from (key, id, n, component, members, each, dealt).
+    """Likely pairs of members of one bucket that lie in different components, from (key, kind, id, n, component, members, sketch).
 
     A bucket of more than BLOCK members is cut into blocks, and each pair of
     blocks is a group of its own, so that a group holds two blocks at most.
     Within a group, members outside its largest component are compared with
-    those of other components.
+    those of other components.  A pair is put out only in the first band in
+    which it meets.
     """
     least = least_estimate(threshold)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    placed = placed.select("key", "id", "n", "component", "block", "each", "dealt", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "component", "each", "dealt")
+    placed = placed.select("key", "kind", "id", "n", "component", "block", "sketch", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "kind", "id", "n", "component", "sketch")
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         found: list[tuple[int, int]] = []
-        i, j = rows[0][1:3]
-        for kind in (7, 8):
-            own = [r for r in rows if r[kind] is not None and not (kind == 8 and r[7] is not None and all(x[7] is not None for x in rows))]
-            if len(own) < 2:
-                continue
-            block, ids, ns, comps = (np.array([r[k] for r in own], np.int64) for k in (3, 4, 5, 6))
-            names, counts = np.unique(comps, return_counts=True)
-            if len(names) < 2:
-                continue
-            sketches = np.frombuffer(b"".join(r[kind] for r in own), np.uint16).reshape(-1, REGISTERS)
-            for x in np.flatnonzero(comps != names[counts.argmax()]):
-                y = (comps != comps[x]) & (ns >= threshold * ns[x] * 0.999) & (ns[x] >= threshold * ns * 0.999)
-                if i != j:
-                    y &= block != block[x]
-                y = np.flatnonzero(y)
-                if len(y):
-                    y = y[estimate(sketches[y], sketches[x][None, :]) >= least]
-                    found += [(min(ids[x], b), max(ids[x], b)) for b in ids[y]]
+        key, i, j = rows[0][:3]
+        block, ids, ns, comps = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6, 7))
+        names, counts = np.unique(comps, return_counts=True)
+        if len(names) < 2:
+            return found
+        sketches = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        band = int(np.flatnonzero(band_keys(sketches[0], rows[0][4]) == key)[0])
+        seen = sketches[:, : band * ROWS].reshape(len(rows), band, ROWS)
+        for x in np.flatnonzero(comps != names[counts.argmax()]):
+            y = (comps != comps[x]) & (ns >= threshold * ns[x] * 0.999) & (ns[x] >= threshold * ns * 0.999)
+            if i != j:
+                y &= block != block[x]
+            y = np.flatnonzero(y)
+            if len(y):
+                y = y[estimate(sketches[y], sketches[x][None, :]) >= least]
+                y = y[~(seen[y] == seen[x]).all(axis=2).any(axis=1)]
+                found += [(min(ids[x], b), max(ids[x], b)) for b in ids[y]]
         return list(set(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +256,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def placed_in(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (id, ...) with their component, which is the id itself where none was found."""
+    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable), kept (it is the component's)."""
     docs = pick(docs, doc_id="long", text="string")
@@ -251,18 +270,22 @@ def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     heads = sketches.join(classes, "set").where("doc_id = id").dropDuplicates(["id", "set"])
     heads = written(heads.select("id", "n", "each", "dealt"))
 
-    rows = banded(heads)
-    pivots = rows.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = written(rows.join(pivots, "key").select("key", "id", "n", "pivot"))
-    tried = written(shared.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    # A few bands join most of what belongs together; the others then try pairs of different components only.
+    alone = heads.withColumn("component", F.col("id"))
+    tried = written(with_pivots(met(banded(alone, 0, FIRST_BANDS))))
     links = written(confirmed(likely(tried, heads, threshold), docs, size, percent))
     found = connected(links)
+    shared = written(met(banded(placed_in(heads, found))))
+    more = with_pivots(shared).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(written(confirmed(likely(more, heads, threshold), docs, size, percent)))
+    found = connected(links)
 
     # Members of different components in one bucket that haven't been compared.
-    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high and members > 2")
-    open_rows = placed.where("id <> pivot").join(mixed.select("key", "members"), "key").select("key", "id", "n", "component", "members")
-    fresh = crossed(open_rows.join(heads.select("id", "each", "dealt"), "id"), threshold).join(tried, ["a", "b"], "left_anti")
+    inner = placed_in(shared.where("id <> pivot").drop("component"), found)
+    mixed = inner.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    sketch = F.when(F.col("kind") == 0, F.col("each")).otherwise(F.col("dealt"))
+    inner = inner.join(mixed.select("key", "members"), "key").join(heads.select("id", "each", "dealt"), "id").select("key", "kind", "id", "n", "component", "members", sketch.alias("sketch"))
+    fresh = crossed(inner, threshold).join(tried, ["a", "b"], "left_anti")
     more = written(confirmed(fresh, docs, size, percent))
     if more.limit(1).count():
         found = connected(links.unionByName(more))
@@ -276,10 +299,11 @@ def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without the members of a group of near-duplicates that aren't its first; rows without an id stay, and of repeated rows of an id one."""
-    gone = components(docs, size, percent).where("not kept").select("doc_id").distinct()
-    numbered = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    known = numbered.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(numbered.where("doc_id is null"))
+    gone = components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows, names = numbered(docs)
+    key = f"_{names.index('doc_id')}"
+    rows = rows.join(gone, F.col(key).cast("long") == F.col("gone"), "left_anti")
+    return rows.where(f"{key} is not null").dropDuplicates([key]).unionByName(rows.where(f"{key} is null")).toDF(*names)
 
 
 ORACLE = r"""
