@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Unicode white space, the separators that Java's \s leaves out, and zero-width marks.
 SPACES = r"[\p{Z}\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}\x{200b}\x{feff}]"
@@ -14,7 +15,7 @@ SPACES = r"[\p{Z}\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}\x{200b}\x{feff}]"
 MARKS = "、,。.・:;!?「」『』()[]{}〈〉《》【】" + "\"'`“”‘’´" + "，．：；！？（）"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 

@@ -61,7 +61,7 @@ def kernel_null(groups: DataFrame, similarity: np.ndarray, orders: np.ndarray) -
     sc = groups.sparkSession.sparkContext
     shared = sc.broadcast((similarity, orders))
 
-    def run(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         sim, perms = shared.value
         u, v = t.column("u").to_numpy(), t.column("v").to_numpy()
         means = np.concatenate([sim[p[:, u], p[:, v]].mean(axis=1) for p in np.array_split(perms, max(1, len(perms) // 500))])

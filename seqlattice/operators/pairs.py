@@ -45,7 +45,7 @@ def _blocks(vectors: DataFrame) -> DataFrame:
     n = vectors.count()
     blocks = max(1, -(-n // BLOCK))
 
-    def pack(key, t: pa.Table) -> pa.Table:
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         v = np.array(t.column("v").to_pylist(), np.float64).reshape(len(t), -1)
         length = np.linalg.norm(v, axis=1, keepdims=True)
         v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
