@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import grids, sequences  # noqa: F401
+from . import grids, pages, sequences, texts, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
