@@ -119,7 +119,10 @@ def kanji_numbers(spark, sf_dir):
     return spark.range(1, 101).select(F.col("id").cast("int").alias("n")).select("n", text.kanji_number(written).alias("parsed"))
 
 
-_EXPORT = "SELECT d.doc_id, nullif(trim(coalesce(d.lang, '')), '') AS lang, '{{"name":"' || d.source || '","number":' || TRY_CAST(regexp_extract(d.source, '([0-9]+)$', 1) AS INT) || '}}' AS source, '{{"quality":' || l.quality || ',"toxic":' || l.toxic || '}}' AS metadata, {text} FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, (quality, toxic)) AS quality, arg_max(toxic, (quality, toxic)) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id"
+_EXPORT = """SELECT d.doc_id, nullif(trim(coalesce(d.lang, '')), '') AS lang,
+  '{{"name":"' || d.source || '","number":' || TRY_CAST(regexp_extract(d.source, '([0-9]+)$', 1) AS INT) || '}}' AS source,
+  '{{"quality":' || l.quality || ',"toxic":' || l.toxic || '}}' AS metadata, {text}
+FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, (quality, toxic)) AS quality, arg_max(toxic, (quality, toxic)) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id"""
 
 
 def records(spark, sf_dir, with_text: bool) -> DataFrame:
@@ -148,7 +151,7 @@ SECRETS = {
     "private_key_block": r"-----BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY-----",
 }
 LOCAL_PATHS = ("/" + "Users/", "/" + "private/", "Documents" + "/Codex", "file" + "://")
-IGNORED = ("_private/", "data/raw/", "data/embeddings/", "public/data/", "docs/viewer/", "docs/progress.md", ".env")
+IGNORED = ("_private/", "data/raw/", "data/embeddings/", "public/data/", ".env")
 
 _PLANTED = ("'s' || 'k-' || repeat('a1', 12)", "'gh' || 'p_' || repeat('Z9', 11)", "'-----BEGIN ' || 'RSA PRIVATE KEY-----'", "'see /' || 'Users/x and fi' || 'le://y'", "'clean'")
 _SCANNED = "t AS (SELECT CAST(doc_id AS VARCHAR) AS name, coalesce(text, '') AS text FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT 'planted{k}', {e}" for k, e in enumerate(_PLANTED)) + ")"
