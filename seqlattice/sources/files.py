@@ -46,7 +46,7 @@ def read_tree(spark: SparkSession, path: str, suffixes: tuple[str, ...], without
     kept = F.lower("path").rlike("(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$")
     for part in without:
         kept &= ~F.contains("path", F.lit(f"/{part}/"))
-    return df.where(kept).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return df.where(kept).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
