@@ -31,7 +31,7 @@ from .common import pick
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = -1, 0, 1, 2
 STATES = (START, SYSTEM, USER, ASSISTANT)
-RELABEL, UNKNOWN, MERGE, INSERT = 30, 10, 12, 20
+RELABEL, UNKNOWN, MERGE, INSERT = 60, 10, 12, 20
 FAR = 1 << 60
 CHUNK = 1024
 

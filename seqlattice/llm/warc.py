@@ -182,7 +182,7 @@ def digested(derivative_records: DataFrame) -> DataFrame:
 
 def save(records: DataFrame, path: str) -> None:
     """Writes the records as gzipped WARC files, part by part; their text is UTF-8 throughout."""
-    whole = F.decode("record", F.lit("UTF-8"))
+    whole = F.decode("record", "UTF-8")
     records.select(F.substring(whole, F.lit(1), F.length(whole) - 2).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
