@@ -20,6 +20,7 @@ no documents, no rows; no items, nothing is hit.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ BLOCK_CHARS = 8_000_000
 #: A-Z in lower case; bytes outside words become spaces.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_WORD = re.compile(rb"[^ ]+")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -255,6 +257,60 @@ def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def without(text: bytes, hit: np.ndarray) -> bytes:
+    """A text without its hit words and what stands between neighbouring ones."""
+    at = [m.span() for m in _WORD.finditer(text.translate(WORD_BYTES))]
+    out, free = [], 0
+    for a, b in ranges_of(hit):
+        out.append(text[free : at[a][0]])
+        free = at[b - 1][1]
+    return b"".join([*out, text[free:]])
+
+
+def unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs in which nothing is hit, with all their columns.
+
+    Contaminated rows (two items or more) go, as from cleaned().  From the
+    others the hit words are cut, again where the cut brings together words
+    that are hit, and n_chars, where there is one, is counted anew; a row of
+    which no word is left goes.
+    """
+    spark = docs.sparkSession
+    parts = [loaded(spark, b) for b in blocks_of(pick(benchmark, item_id="string", text="string"))]
+    names = docs.columns
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def rid(text: bytes | None) -> tuple[bool, bytes | None, bool]:
+        """Whether the row stays, its text, whether that was cut."""
+        cut = False
+        while words := words_of(text):
+            hit, items = np.zeros(len(words), bool), set()
+            for block in parts:
+                own, found = block.value.hits(words)
+                hit |= own
+                items |= {x for i in found if (x := block.value.names[i]) is not None}
+            if not hit.any():
+                return True, text, cut
+            if hit.all() or (not cut and len(items) >= 2):
+                return False, text, cut
+            text, cut = without(text, hit), True
+        return True, text, cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [rid(text) for text in byte_texts(batch.column(at))]
+            keep, cols = pa.array([r[0] for r in rows], pa.bool_()), list(batch.columns)
+            if any(r[0] and r[2] for r in rows):
+                texts = [None if r[1] is None else r[1].decode() for r in rows]
+                cols[at] = pa.array(texts, batch.schema.field(at).type)
+                if size is not None:
+                    counts = zip(batch.column(size).to_pylist(), texts, rows)
+                    cols[size] = pa.array([len(t) if r[2] else n for n, t, r in counts], batch.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 ORACLE = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -73,3 +73,28 @@ def test_empty_tables_and_clashing_names(spark):
     assert decontam.judged(docs, items.limit(0)).first().n_hit == 0
     more = spark.createDataFrame([(1, "a b c", "zz", 1)], "doc_id long, text string, TEXT string, n_words int")
     assert decontam.judged(more, items).first().n_hit == 2
+
+
+def test_pipeline_stage_leaves_no_single_item(spark, tmp_path):
+    import corpus_pipeline
+
+    one, other, unnamed = ("which of these nine rivers is the longest one in the country", "p0 p1 p2 p3 p4 p5 p6 p7 p8", " ".join(f"n{k}" for k in range(9)))
+    rows = [(1, f"Ünder words. {one.upper()}? More words.", "en", 1), (2, one, "en", 1), (3, "no leak here", "en", 12), (4, None, "en", None), (5, f"see {unnamed}", "en", 1),
+            (6, f"a {one} b {other}", "en", 1), (7, f"a {one[:30]} {one} {one[30:]} z", "en", 1), (8, "", "en", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    items = spark.createDataFrame([("x", one), ("y", other), (None, unnamed)], "item_id string, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got[1] == ("Ünder words. ? More words.", 26)
+    assert got[3] == ("no leak here", 12) and got[4] == (None, None) and got[5] == ("see ", 4) and got[8] == ("", 0)
+    assert set(got) == {1, 3, 4, 5, 7, 8} and decontam.judged(out, items).where("n_hit > 0").count() == 0
+
+
+def test_unleaked_over_blocks(spark, monkeypatch):
+    docs, items = make(4)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 150)
+    before, (df, bench) = brute(docs, items), frames(spark, docs, items)
+    out = decontam.unleaked(df, bench)
+    assert all(not r[2] for r in brute([(r.doc_id, r.text) for r in out.collect()], items))
+    assert {r[0] for r in before if not r[2]} <= {r.doc_id for r in out.collect()} <= {r[0] for r in before if not r[5]}
