@@ -4,7 +4,9 @@ Plain identifiers are found by the base patterns.  Then transducers rewrite
 the text and keep, for each character that they put out, the range of the
 source that it came from: look-alike letters and wide digits become ASCII and
 zero-width marks vanish; runs of spelled digits become digits; bracketed or
-spaced "at" and "dot" become @ and full stops.  The base patterns run over the
+spaced "at" and "dot", also mixed with plain ones, become @ and full stops.
+Where a spaced "at" is the only disguise, a common word before it or an unknown
+ending after it means prose.  The base patterns run over the
 rewritten text, and spans that touch a rewritten character are mapped back.
 
 Offsets count code points, ends are exclusive.  Nulls: a null text has no
@@ -91,18 +93,31 @@ _NAMED = {w: str(k) for k, names in enumerate(
      "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in names.split()}
 _NAME = "|".join(sorted(_NAMED, key=len, reverse=True))
 #: Three or more spelled digits in a row, digits and a leading plus allowed among them.
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ \t]+)?(?:(?:double|triple)[ \t]+)?(?:{_NAME}|[0-9]+)(?:[ \t]*[-,.]?[ \t]*(?:(?:double|triple)[ \t]+)?(?:{_NAME}|[0-9]+))*(?!\w)")
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ \t]++)?(?:(?:double|triple)[ \t]++)?(?:{_NAME}|[0-9]++)(?:[ \t]*+[-,.]?+[ \t]*+(?:(?:double|triple)[ \t]++)?(?:{_NAME}|[0-9]++))*(?!\w)")
 _SPELLED_PART = re.compile(rf"(?i)plus|double|triple|{_NAME}|[0-9]")
-_ANY_NAME = re.compile(rf"(?i)(?<!\w)(?:{_NAME})[ \t]*[-,.]?[ \t]*(?:double[ \t]+|triple[ \t]+)?(?:{_NAME})[ \t]*[-,.]?[ \t]*(?:double[ \t]+|triple[ \t]+)?(?:{_NAME})(?!\w)")
+#: Three names of a run, once digits and what parts words are taken out.
+_ANY_NAME = re.compile(rf"(?i)(?<!\w)(?:{_NAME})(?: ?(?:(?:double|triple) )*(?:{_NAME})){{2,}}(?!\w)")
 _TIMES = {"double": 2, "triple": 3}
 
 _AT = r"[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*"
 _DOT = r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*"
 _BRACKETED = re.compile(rf"(?i)(?P<at>{_AT})|(?P<dot>{_DOT})")
-#: Unbracketed: only where a whole address is spelled, with "dot" as a word before its last part.
-_SPACED = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?:[ \t]+dot[ \t]+[a-z0-9_%+-]{1,64}){0,4}(?:[ \t]+at[ \t]+|@)[a-z0-9-]{1,64}(?:(?:[ \t]+dot[ \t]+|\.)[a-z0-9-]{1,64}){0,4}[ \t]+dot[ \t]+[a-z]{2,24}(?!\w)")
-_SPACED_PART = re.compile(r"(?i)(?P<at>[ \t]+at[ \t]+)|(?P<dot>[ \t]+dot[ \t]+)")
-_SPACED_IP = re.compile(r"(?i)(?<!\w)[0-9]{1,3}(?:[ \t]+dot[ \t]+[0-9]{1,3}){3}(?!\w)")
+#: Unbracketed, where an address may have its @; what is on both sides decides.
+_ANY_AT = re.compile(r"@|[Aa](?<=[ \t][Aa])[Tt](?=[ \t])")
+_BLANKS = re.compile(r"[ \t]*+")
+_HOST = re.compile(r"(?i)[a-z0-9-]++(?:(?:[ \t]++dot[ \t]++|\.)[a-z0-9-]++)*+")
+_SPACED_DOT = re.compile(r"(?i)(?<![ \t])[ \t]++dot[ \t]++")
+_SEPARATOR = re.compile(r"(?i)[ \t]++dot[ \t]++|\.")
+_LAST = re.compile(r"(?i)[a-z]{2,24}(?!\w)")
+_SPACED_IP = re.compile(r"(?i)(?<!\w)[0-9]{1,3}(?:(?:[ \t]++dot[ \t]++|\.)[0-9]{1,3}){3}(?!\w)")
+#: With "at" as the only disguise ("jane at mail.com"), prose as "look at mail.com" is told by these words before it, and "at home.then" by its ending.
+_BEFORE_AT = frozenset(
+    "a about all also am an and any anyone are arrive arrived as aimed aimed available back based be been being both bought but buy call called can check click contact described directly directed documentation documented "
+    "download email everyone everything find for found free go had hand has have he held her here him his host hosted i if in info information is it its job join joined just keep landed later learn left link live located "
+    "login look looked looking looks made mail me meet meeting meets met more my near no not now of off on online only open or order our out over page pages people post posted price published read register registered "
+    "released reached sale see seen sell service services she shop show sign site sites sold someone something staff starting stay stayed still store stored support team text that the their them then there these they "
+    "thing things this those to today tickets up us use version visit was watch we website week were what when where which while who will with work worked working works write you your yours yourself".split())
+_ENDINGS = frozenset("com org net edu gov mil int info biz io ai co me dev app eu uk us ca au nz ie de at ch fr es it pt nl be lu dk se no fi pl cz sk hu ro gr ru ua tr br mx ar cl pe in cn jp kr za".split())
 
 
 class Tape:
@@ -141,7 +156,8 @@ _BETWEEN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     out = []
-    if _NAME_BYTES.isdisjoint(text.encode().translate(_BETWEEN).split()) or not _ANY_NAME.search(text):
+    words = text.encode().translate(_BETWEEN).split()
+    if _NAME_BYTES.isdisjoint(words) or not _ANY_NAME.search(b" ".join(words).decode()):
         return out
     for m in _SPELLED.finditer(text):
         put, names, times = "", 0, 1
@@ -159,25 +175,68 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def at_and_dot(text: str) -> list[tuple[int, int, str]]:
-    edits = {(m.start(), m.end()): "@" if m["at"] else "." for m in _BRACKETED.finditer(text)}
-    low = text.lower()
-    if " dot " in low or "\tdot" in low or "dot\t" in low:
-        for whole in _SPACED.finditer(text):
-            for m in _SPACED_PART.finditer(text, whole.start(), whole.end()):
-                edits[m.start(), m.end()] = "@" if m["at"] else "."
-        for whole in _SPACED_IP.finditer(text):
-            for m in _SPACED_PART.finditer(text, whole.start(), whole.end()):
-                edits[m.start(), m.end()] = "."
+def bracketed(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
+
+
+def before(text: str, end: int, least: int) -> int:
+    """Where the local part that ends here begins: pieces with spaced dots between them; end itself if there is none."""
+    start, stop = end, end
+    while True:
+        at = stop
+        while at > least and text[at - 1] in _LOCAL_CHARS:
+            at -= 1
+        if at == stop or (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+            return start
+        start = dot = at
+        while dot > least and text[dot - 1] in " \t":
+            dot -= 1
+        if dot == start or text[max(dot - 3, least) : dot].lower() != "dot":
+            return start
+        stop = dot - 3
+        while stop > least and text[stop - 1] in " \t":
+            stop -= 1
+        if stop == dot - 3:
+            return start
+
+
+def spaced(text: str, new: list[bool]) -> list[tuple[int, int, str]]:
+    """Addresses with "at" or "dot" as words; with @ and full stops, rewritten ones too, among them."""
     out, free = [], 0
-    for (a, b), put in sorted(edits.items()):
-        if a >= free:
-            out.append((a, b, put))
-            free = b
-    return out
+    for m in _ANY_AT.finditer(text):
+        a, b = m.span()
+        if a < free:
+            continue
+        word = m[0] != "@"
+        if word:
+            b = _BLANKS.match(text, b).end()
+            while a > free and text[a - 1] in " \t":
+                a -= 1
+        if not (host := _HOST.match(text, b)):
+            continue
+        dots = list(_SEPARATOR.finditer(text, b, host.end()))
+        while dots and not _LAST.match(text, dots[-1].end()):
+            dots.pop()
+        if not dots:
+            continue
+        start = before(text, a, free)
+        if start == a:
+            continue
+        edits = [(x.start(), x.end(), ".") for x in _SPACED_DOT.finditer(text, start, a)]
+        edits += [(a, b, "@")] * word
+        edits += [(x.start(), x.end(), ".") for x in dots if x[0] != "."]
+        if edits == [(a, b, "@")] and not any(new[x.start()] for x in dots):
+            if text[start:a].lower() in _BEFORE_AT or text[dots[-1].end() : _LAST.match(text, dots[-1].end()).end()].lower() not in _ENDINGS:
+                continue
+        out += edits
+        free = _LAST.match(text, dots[-1].end()).end()
+    taken = {x for a, b, _ in out for x in (a, b)}
+    for whole in _SPACED_IP.finditer(text):
+        out += [(m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(text, whole.start(), whole.end()) if m.start() not in taken]
+    return sorted(out)
 
 
-TRANSDUCERS = (look_alikes, spelled_digits, at_and_dot)
+TRANSDUCERS = (look_alikes, spelled_digits, bracketed)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
@@ -185,6 +244,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     tape = Tape(text)
     for transducer in TRANSDUCERS:
         tape.rewrite(transducer(tape.text))
+    tape.rewrite(spaced(tape.text, tape.new))
     if not tape.made:
         return []
     taken: dict[int, list[tuple[int, int]]] = {}

@@ -54,6 +54,29 @@ def test_disguises_map_back_to_the_source():
     only("zero width: a\u200bb@c\u200b.de", "email", "a\u200bb@c\u200b.de")
 
 
+def test_mixed_disguises():
+    for whole in ("jane [at] mail dot com", "jane (at) mail dot example dot org", "jane at mail [dot] com", "jane at mail.com", "jane dot doe [at] mail.com", "jane@mail dot co.uk", "jane (dot) doe at mail dot com",
+                  "a dot b dot c dot d dot e dot f dot g at mail dot com", "jane at a dot b dot c dot d dot e dot f dot g dot com"):
+        only(f"write to {whole}, please", "email", whole)
+    only("host 192.168 dot 0 [dot] 7", "ip", "192.168 dot 0 [dot] 7")
+    only("call plus 4 nine 3 zero 1 two 3 four 5 six 7 now", "phone", "plus 4 nine 3 zero 1 two 3 four 5 six 7")
+    only("call plus 4nine 3zero 1two 3four 5six 7", "phone", "plus 4nine 3zero 1two 3four 5six 7")
+
+
+def test_prose_before_a_host_stays_clean():
+    for text in ("look at mail.com", "Now available at shop.example.com.", "we stayed jane at home.then left", "one 1 and two 2 and three 3", "see at 5.30pm"):
+        assert pii.spans_of(text) == ([], []), text
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    begin = time.monotonic()
+    for text in ("a dot " * 40_000, "a at " * 40_000, "a at b dot " * 20_000, "one two three " + "1" * 40_000 + "x", "one two three " + "1 " * 40_000 + "x", "a@" * 40_000):
+        pii.spans_of(text)
+    assert time.monotonic() - begin < 20
+
+
 def test_clean_text_stays_clean():
     for text in ("We met at noon. One two three, go!", "He works at example and the dot is red.", "at [home] we have (one) dot", "seven of nine, two by four by six", "Наташа сказала: всё хорошо.", ""):
         assert pii.spans_of(text) == ([], [])
