@@ -14,7 +14,7 @@ from ..operators import grid, nulls
 from ..sources import tables
 from .registry import SEQUENCES, null_sql, registered
 
-GRID_TRIALS, KERNEL_TRIALS, SEED = 30, 1000, 20260710
+GRID_TRIALS, KERNEL_TRIALS, SEED = 30, 10_000, 20260710
 
 
 def _sql(e: str) -> str:

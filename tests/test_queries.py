@@ -20,3 +20,13 @@ def test_entry_without_the_training_data_part():
     import __spark_entry__ as entry
 
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(catalogue.ORACLES) <= set(entry.oracle_sql())
+
+
+def test_kernel_null_runs_the_references_trials(spark, monkeypatch):
+    from seqlattice.plans import grids
+
+    seen, real = [], grids.nulls.kernel_null
+    monkeypatch.setattr(grids.nulls, "kernel_null", lambda groups, similarity, orders: seen.append(len(orders)) or real(groups, similarity, orders))
+    rows = catalogue.QUERIES["layout_kernel_null"](spark, SMALL).collect()
+    assert seen == [10_000] and len({(r.layout, r.kind) for r in rows}) == len(rows) == 14
+    assert all(abs(r.percentile * 10_000 - round(r.percentile * 10_000)) < 1e-6 for r in rows)
