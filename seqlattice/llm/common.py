@@ -7,9 +7,12 @@ ones that differ from a needed name by case only, are left out, and casts them.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """The named columns, cast; a column that is missing becomes null."""
+    small_batches(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
     out = []
@@ -51,26 +55,47 @@ def byte_texts(column: pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
+Batches = Iterator[pa.RecordBatch]
+
+#: Rows and bytes of an Arrow batch.  Texts, what is made of them and the output are in memory together.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python stages get small batches, unless the session asks for still smaller ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(key) or "").lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow whose worker, which waits for further tasks, gives its memory back when the task ends."""
+
+    @functools.wraps(run)
+    def inner(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return inner
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names.
+    """A new folder below the shared one that the session names in spark.checkpoint.dir.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset,
-    as in local tests, a folder on this machine is used.
-    """
+    Only local mode, where all run in one process on one machine, has a folder of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = f"file:///tmp/checkpoints/seqlattice-{os.getpid()}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written reliably to the shared folder: its lineage ends there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back; the shuffle files of the write, which no one reads again, are let go."""
     conf, path = df.sparkSession.conf, shared_dir(df.sparkSession)
@@ -83,6 +108,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by key, so that joins on it needn't shuffle it again.
+
+    Its name is in the session's catalogue until :func:`forget`."""
+    spark = df.sparkSession
+    name, n = f"b_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", shared_dir(spark)).saveAsTable(name)
+    out = spark.table(name)
+    out._bucketed_name = name
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._bucketed_name}")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of uint64 values (xor-shift and multiply rounds)."""
     x = x ^ (x >> np.uint64(31))

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
     Each round gives a node the smallest label among its own and its
     neighbours', then replaces a label by its own label.  Minima are combined
     before they are shuffled, and the joins have one row a node on one side,
     so that a node with very many neighbours can be split.  Every round is
-    written to the shared folder, which also cuts the lineage.
+    written to the shared folder, which also cuts the lineage.  Labels only fall,
+    and a round that changes none is the last.
     """
     both = written(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -28,4 +29,3 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = step.select("node", "label")
         if not moved:
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")

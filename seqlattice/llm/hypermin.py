@@ -8,18 +8,22 @@ smaller sets, whose buckets would be mostly empty, each register has a hash
 function of its own.  Sets of SPLIT to SPLIT / threshold shingles get sketches
 of both kinds, as a set and its match may lie on either side.
 
-1. Documents with equal sets collapse to the smallest id.
-2. Sketches are banded.  In each band's bucket one pivot, the member whose id
-   has the smallest hash, is paired with every other member: as many pairs as
-   members, not all pairs.  The first bands give components; in all bands then
-   only members of another component than the pivot's are paired with it.
-3. A pair whose collision-corrected Jaccard estimate lies far below the
-   threshold is dropped (five deviations: about one in three million true
-   links); the others are confirmed on the full sets.
-4. Links give components.  Buckets that still hold several components are
-   gone through again, in blocks of bounded size: the sketches of members of
-   different components are compared in place, and likely pairs that weren't
-   tried are confirmed, each once, so that no link between components is lost.
+1. Documents with equal sets collapse to the smallest id; one head is left for
+   each set, with its sketch and text, in a table bucketed by id, which later
+   joins on id don't shuffle again.
+2. Sketches are banded.  In each bucket of the first bands one member is paired
+   with every other member: as many pairs as members, not all pairs.  The pairs
+   are confirmed on the full sets, and the links give components.
+3. In every bucket of all bands the hub is the component that has the most
+   members in all.  Each other component there is compared with the hub, on the
+   hashes of the full sets and in place: both come to one task, in parts of
+   bounded size, and only links leave it.
+4. Components of one bucket other than its hub are compared in place as well:
+   first by the collision-corrected Jaccard estimate of their sketches, five
+   deviations below the threshold (about one in three million true links lies
+   lower), then those with a likely partner on the hashes of their full sets.
+   Again only links leave, at most one for each component that they join, so
+   that what is put out grows with the members of a bucket, not with pairs.
 
 A pair at a similarity of exactly 0.8 meets in no bucket with a probability of
 4e-8.  Nulls: a null text has no shingles and no links; a row with a null id
@@ -35,22 +39,25 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import LOWER, byte_texts, mix64, numbered, pick, written
+from .common import LOWER, bucketed, byte_texts, forget, lean, mix64, numbered, pick, written
 from .components import connected
 
 BANDS, ROWS, MANTISSA, SPLIT = 56, 6, 10, 1024
-FIRST_BANDS = 6
+FIRST_BANDS = 8
 REGISTERS = BANDS * ROWS
-BLOCK = 4000
+SHORT = 128
+#: What a comparing task holds of either side: rows, and shingles in all.
+BLOCK_ROWS, BLOCK_SHINGLES = 2000, 500_000
 EMPTY = 0xFFFF
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
-_XOR = _rng.integers(0, 1 << 64, REGISTERS, np.uint64)
-_MUL = _rng.integers(0, 1 << 64, REGISTERS, np.uint64) | np.uint64(1)
+# 32 bits are enough for the minima of fewer than SPLIT / threshold hashes.
+_XOR = _rng.integers(0, 1 << 32, REGISTERS, np.uint32)[:, None]
+_MUL = _rng.integers(0, 1 << 32, REGISTERS, np.uint32)[:, None] | np.uint32(1)
 _EDGES = np.array([(b << 64) // REGISTERS for b in range(REGISTERS)], np.uint64)
 
 
@@ -84,11 +91,12 @@ def floating(x: np.ndarray) -> np.ndarray:
 
 
 def sketch_each(hashes: np.ndarray) -> np.ndarray:
-    low = np.full(REGISTERS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(0, len(hashes), 256):
-        part = (hashes[i : i + 256][None, :] ^ _XOR[:, None]) * _MUL[:, None]
-        low = np.minimum(low, part.min(axis=1))
-    return floating(low >> np.uint64(8))
+    low, upper = np.full(REGISTERS, 0xFFFFFFFF, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(upper), 256):
+        part = upper[i : i + 256] ^ _XOR
+        part *= _MUL
+        np.minimum(low, part.min(axis=1), out=low)
+    return floating(low)
 
 
 def sketch_dealt(hashes: np.ndarray) -> np.ndarray:
@@ -107,22 +115,33 @@ def band_keys(sketch: np.ndarray, kind: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, bits: int = MANTISSA) -> np.ndarray:
     """Jaccard estimates for rows of sketches, without registers empty on both sides, corrected for chance collisions.
 
     Two different minima agree in exponent and mantissa with a probability of
-    about 2**-MANTISSA / 3 (minima spread over the exponents geometrically).
+    about 2**-MANTISSA / 3 (minima spread over the exponents geometrically);
+    of mantissas alone, with 2**-bits.
     """
-    used = (a != EMPTY) | (b != EMPTY)
+    empty = EMPTY if a.dtype == np.uint16 else EMPTY & 0xFF
+    used = (a != empty) | (b != empty)
     share = ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
-    chance = 2.0**-MANTISSA / 3
+    chance = 2.0**-bits / (3 if bits == MANTISSA else 1)
     return np.maximum(0.0, (share - chance) / (1 - chance))
 
 
+def shortened(sketch: bytes) -> bytes:
+    """The low bytes of the first SHORT registers; what isn't empty doesn't become so."""
+    full = np.frombuffer(sketch, np.uint16)[:SHORT]
+    low = (full & 0xFF).astype(np.uint8)
+    low[(low == EMPTY & 0xFF) & (full != EMPTY)] = 0
+    return low.tobytes()
+
+
 def sketched(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """doc_id, n (set size), set (a 128-bit digest of it), each, dealt: sketches of either kind, where they apply."""
+    """doc_id, n (set size), set (a 128-bit digest of it), each, dealt: sketches of either kind, where they apply, and text."""
     upper = SPLIT / threshold
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ns, sets, each, dealt = [], [], [], []
@@ -134,176 +153,284 @@ def sketched(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                 each.append(sketch_each(h).tobytes() if 0 < n <= upper else None)
                 dealt.append(sketch_dealt(h).tobytes() if n >= SPLIT else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(each, pa.binary()), pa.array(dealt, pa.binary())],
-                ["doc_id", "n", "set", "each", "dealt"])
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(each, pa.binary()), pa.array(dealt, pa.binary()), batch.column(1)],
+                ["doc_id", "n", "set", "each", "dealt", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set binary, each binary, dealt binary")
+    return docs.mapInArrow(run, "doc_id long, n long, set binary, each binary, dealt binary, text string")
 
 
-def banded(sketches: DataFrame, first: int = 0, end: int = BANDS) -> DataFrame:
-    """(id, n, component, kind, key), a row for each band from first up to end; sketches have a component."""
+def banded(heads: DataFrame, first: int = 0, end: int = BANDS) -> DataFrame:
+    """(key, size, component), for each band from first up to end, from heads with a component and its size; once in a batch."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, comps, kinds, keys = [], [], [], [], []
-            for i, n, c, *both in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            sizes, comps = (batch.column(k).to_numpy() for k in (0, 1))
+            keys, rows = [], []
+            for k, both in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 for kind, sketch in enumerate(both):
                     if sketch is not None:
-                        for out, x in ((ids, i), (ns, n), (comps, c), (kinds, kind)):
-                            out.append(np.full(end - first, x, np.int64))
                         keys.append(band_keys(np.frombuffer(sketch, np.uint16), kind)[first:end])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ns, comps, kinds, keys)], ["id", "n", "component", "kind", "key"])
+                        rows.append(k)
+            if keys:
+                key, row = np.concatenate(keys), np.repeat(rows, end - first)
+                by = np.lexsort((comps[row], key))
+                key, row = key[by], row[by]
+                fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (comps[row[1:]] != comps[row[:-1]])])
+                row = row[fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(key[fresh]), pa.array(sizes[row]), pa.array(comps[row])], ["key", "size", "component"])
+
+    return heads.select("size", "component", "each", "dealt").mapInArrow(run, "key long, size long, component long")
+
+
+def beside_hub(rows: DataFrame) -> DataFrame:
+    """(key, hub, component) from banded rows: each bucket's components but the first by size (descending), which is its hub.
+
+    A task holds one row besides a batch, however many a bucket has."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_hub = last_comp = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            hub = np.where(at >= 0, comp[at], last_hub or 0)
+            again = np.concatenate([[not new[0] and comp[0] == last_comp], ~new[1:] & (comp[1:] == comp[:-1])])
+            out = (comp != hub) & ~again
+            last_key, last_hub, last_comp = key[-1], int(hub[-1]), comp[-1]
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, hub, comp)], ["key", "hub", "component"])
+
+    order = rows.repartition("key").sortWithinPartitions("key", F.desc("size"), "component")
+    return order.select("key", "component").mapInArrow(run, "key long, hub long, component long")
+
+
+def confirmed(pairs: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    text = heads.select("id", "text")
+    joined = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes | None, set] = (None, set())
+        for batch in batches:
+            keep = []
+            for x, y in zip(byte_texts(batch.column(2)), byte_texts(batch.column(3))):
+                if x != last[0]:
+                    last = (x, shingles(x, size))
+                b = shingles(y, size)
+                both = len(last[1] & b)
+                keep.append(bool(both) and 100 * both >= percent * (len(last[1]) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
-    return sketches.select("id", "n", "component", "each", "dealt").mapInArrow(run, "id long, n long, component long, kind long, key long")
 
+class Sets:
+    """Sets of hashes, by size, against which a set is held in one pass."""
 
-def met(rows: DataFrame) -> DataFrame:
-    """Banded rows of buckets with several components, with the bucket's pivot and the pivot's component."""
-    head = F.min_by(F.struct("id", "component"), F.xxhash64("id"))
-    pivots = rows.groupBy("key").agg(head.alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return rows.join(pivots.select("key", "p"), "key").select("key", "kind", "id", "n", "component", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component"))
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = np.argsort([len(s) for s in sets], kind="stable")
+        self.n = np.array([len(sets[i]) for i in self.order], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.n)])
+        self.known, codes = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True)
+        self.codes = codes.astype(np.int32)
+        self.mark = np.zeros(len(self.known), np.int8)
 
+    def linked(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """The numbers of the sets with 100 * intersection >= percent * union; only sets of a fitting size are looked at."""
+        low, high = np.searchsorted(self.n, -(-percent * len(own) // 100)), np.searchsorted(self.n, 100 * len(own) // percent, "right")
+        if low >= high:
+            return self.order[:0]
+        at = np.searchsorted(self.known, own)
+        at = at[self.known[np.minimum(at, len(self.known) - 1)] == own] if len(self.known) else at[:0]
+        self.mark[at] = 1
+        edge = self.begin[low]
+        both = np.add.reduceat(self.mark[self.codes[edge : self.begin[high]]], self.begin[low:high] - edge, dtype=np.int64)
+        self.mark[at] = 0
+        return self.order[low:high][(both > 0) & (100 * both >= percent * (self.n[low:high] + len(own) - both))]
 
-def with_pivots(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a member and its bucket's pivot that lie in different components."""
-    return rows.where("component <> pivot_component").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
+class Forest:
+    """Which of a task's components are joined so far."""
 
-def least_estimate(threshold: float) -> float:
-    return threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
 
-def crossed(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of members of one bucket that lie in different components, from (key, kind, id, n, component, members, sketch).
+    def join(self, x: int, y: int) -> bool:
+        """Whether that was news."""
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
 
-    A bucket of more than BLOCK members is cut into blocks, and each pair of
-    blocks is a group of its own, so that a group holds two blocks at most.
-    Within a group, members outside its largest component are compared with
-    those of other components.  A pair is put out only in the first band in
-    which it meets.
-    """
-    least = least_estimate(threshold)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    placed = placed.select("key", "kind", "id", "n", "component", "block", "sketch", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "kind", "id", "n", "component", "sketch")
-
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        found: list[tuple[int, int]] = []
-        key, i, j = rows[0][:3]
-        block, ids, ns, comps = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6, 7))
-        names, counts = np.unique(comps, return_counts=True)
-        if len(names) < 2:
-            return found
-        sketches = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        band = int(np.flatnonzero(band_keys(sketches[0], rows[0][4]) == key)[0])
-        seen = sketches[:, : band * ROWS].reshape(len(rows), band, ROWS)
-        for x in np.flatnonzero(comps != names[counts.argmax()]):
-            y = (comps != comps[x]) & (ns >= threshold * ns[x] * 0.999) & (ns[x] >= threshold * ns * 0.999)
-            if i != j:
-                y &= block != block[x]
-            y = np.flatnonzero(y)
-            if len(y):
-                y = y[estimate(sketches[y], sketches[x][None, :]) >= least]
-                y = y[~(seen[y] == seen[x]).all(axis=2).any(axis=1)]
-                found += [(min(ids[x], b), max(ids[x], b)) for b in ids[y]]
-        return list(set(found))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        for _, group in groupby(rows, key=lambda r: r[:3]):
-            if pairs := compare(list(group)):
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+_LINK = "a long, b long"
 
-    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose estimate isn't far below the threshold."""
-    least = least_estimate(threshold)
-    left = sketches.select(F.col("id").alias("a"), F.struct("each", "dealt").alias("x"))
-    right = sketches.select(F.col("id").alias("b"), F.struct("each", "dealt").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").selectExpr("a", "b", "coalesce(if(y.each is null, null, x.each), x.dealt) x", "coalesce(if(x.each is null, null, y.each), y.dealt) y")
 
+def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
+    rows = (r for b in batches for r in zip(*(byte_texts(c) if pa.types.is_string(c.type) else c.to_pylist() for c in b.columns)))
+    for _, group in groupby(rows, key=lambda r: r[:key]):
+        yield list(group)
+
+
+def parts_of(rows: str, shingles_in_all: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingles_in_all) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def dealt_to(n: Column, salt: str) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+
+
+def with_hubs(pairs: DataFrame, labelled: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links, as pairs of components, between the members of hubs and of components beside them.
+
+    pairs: (hub, component); labelled: (id, n, component).  Either side of a hub is cut into
+    parts, and each part of one side meets each part of the other in a group of its own."""
+    joined = labelled.join(pairs.select("hub").distinct().withColumnRenamed("hub", "component"), "component", "left_semi").withColumn("hub", F.col("component"))
+    beside = labelled.join(pairs, "component")
+    sums = lambda df, k: df.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).select("hub", parts_of("rows", "n").alias(k))
+    parts = sums(joined, "i_parts").join(sums(beside, "j_parts"), "hub")
+    own = joined.join(parts, "hub").select("hub", dealt_to(F.col("i_parts"), "i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_parts") - 1)).alias("j"), F.lit(0).alias("side"), "id", "component")
+    other = beside.join(parts, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("i_parts") - 1)).alias("i"), dealt_to(F.col("j_parts"), "j").alias("j"), F.lit(1).alias("side"), "id", "component")
+    placed = own.unionByName(other).join(heads.select("id", "text"), "id").select("hub", "i", "j", "side", "component", "text")
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-                yield part.select(["a", "b"]).filter(pa.array(estimate(x, y) >= least))
+        for rows in _groups(batches, 3):
+            hub = rows[0][0]
+            sets = [shingle_hashes(r[5], size) for r in rows if r[3] == 0]
+            if sets and len(sets) < len(rows):
+                held, forest = Sets(sets), Forest()
+                found = [(hub, r[4]) for r in rows if r[3] == 1 and forest.root(r[4]) != forest.root(hub) and len(held.linked(shingle_hashes(r[5], size), percent)) and forest.join(r[4], hub)]
+                if found:
+                    yield _links(found)
 
-    return joined.where("x is not null and y is not null").mapInArrow(run, "a long, b long")
+    return placed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side").mapInArrow(run, _LINK)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    text = docs.select("doc_id", "text")
-    joined = pairs.join(text.toDF("b", "y"), "b").join(text.toDF("a", "x"), "a").select("a", "b", "x", "y")
+def in_pairs_of_parts(rows: DataFrame) -> DataFrame:
+    """rows (key, id, ...) with i <= j and part: a key's rows are cut into parts, and each two of them make a group (key, i, j)."""
+    parts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all_n")).select("key", parts_of("rows", "all_n").alias("parts"))
+    placed = rows.join(parts, "key").withColumn("part", dealt_to(F.col("parts"), "p"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return placed.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
 
+
+def likely(members: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """The members (key, id, n, component) that have a likely partner in their bucket, in another component."""
+    least = threshold - 5 * (threshold * (1 - threshold) / SHORT) ** 0.5
+    placed = in_pairs_of_parts(members).join(heads.select("id", "each", "dealt"), "id").select("key", "i", "j", "part", "id", "n", "component", "each", "dealt")
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, set] = (None, set())
-        for batch in batches:
-            keep = []
-            for x, y in zip(byte_texts(batch.column(2)), byte_texts(batch.column(3))):
-                if x != last[0]:
-                    last = (x, shingles(x, size))
-                b = shingles(y, size)
-                both = len(last[1] & b)
-                keep.append(bool(both) and 100 * both >= percent * (len(last[1]) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for rows in _groups(batches, 3):
+            part, ns, comps = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6))
+            hit = np.zeros(len(rows), bool)
+            for kind in (7, 8):
+                mine = np.array([k for k, r in enumerate(rows) if r[kind] is not None], np.int64)
+                if len(mine) < 2:
+                    continue
+                short = np.frombuffer(b"".join(shortened(rows[k][kind]) for k in mine), np.uint8).reshape(len(mine), SHORT)
+                for x in range(len(mine) - 1):
+                    y, a = mine[x + 1 :], mine[x]
+                    fit = (comps[y] != comps[a]) & (ns[y] >= threshold * ns[a] * 0.999) & (ns[a] >= threshold * ns[y] * 0.999)
+                    if rows[0][1] != rows[0][2]:
+                        fit &= part[y] != part[a]
+                    near = np.flatnonzero(fit)
+                    near = near[estimate(short[x + 1 :][near], short[x][None, :], 8) >= least]
+                    if len(near):
+                        hit[a] = hit[y[near]] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array([rows[k][c] for k in np.flatnonzero(hit)], pa.int64()) for c in (0, 4, 5, 6)], ["key", "id", "n", "component"])
+
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, id long, n long, component long").distinct()
+
+
+def among_others(members: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links, as pairs of components, between members (key, id, n, component) of one bucket."""
+    placed = in_pairs_of_parts(members).join(heads.select("id", "text"), "id").select("key", "i", "j", "part", "component", "text")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            sets = [shingle_hashes(r[5], size) for r in rows]
+            held, forest, found = Sets(sets), Forest(), []
+            for r, own in zip(rows, sets):
+                found += [(r[4], rows[k][4]) for k in held.linked(own, percent) if forest.join(r[4], rows[k][4])]
+            if found:
+                yield _links(found)
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, _LINK).distinct()
 
 
-def placed_in(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (id, ...) with their component, which is the id itself where none was found."""
-    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with their component, itself a node of found (node, component), replaced."""
+    found = found.select(F.col("node").alias("component"), F.col("component").alias("_c"))
+    return rows.join(found, "component", "left").withColumn("component", F.coalesce("_c", "component")).drop("_c")
 
 
 def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable), kept (it is the component's)."""
     docs = pick(docs, doc_id="long", text="string")
-    threshold = percent / 100
-    sketches = written(sketched(docs, size, threshold))
+    sketches = written(sketched(docs, size, percent / 100))
     classes = written(sketches.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("id")))
-    heads = sketches.join(classes, "set").where("doc_id = id").dropDuplicates(["id", "set"])
-    heads = written(heads.select("id", "n", "each", "dealt"))
-
-    # A few bands join most of what belongs together; the others then try pairs of different components only.
-    alone = heads.withColumn("component", F.col("id"))
-    tried = written(with_pivots(met(banded(alone, 0, FIRST_BANDS))))
-    links = written(confirmed(likely(tried, heads, threshold), docs, size, percent))
-    found = connected(links)
-    shared = written(met(banded(placed_in(heads, found))))
-    more = with_pivots(shared).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(written(confirmed(likely(more, heads, threshold), docs, size, percent)))
-    found = connected(links)
-
-    # Members of different components in one bucket that haven't been compared.
-    inner = placed_in(shared.where("id <> pivot").drop("component"), found)
-    mixed = inner.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-    sketch = F.when(F.col("kind") == 0, F.col("each")).otherwise(F.col("dealt"))
-    inner = inner.join(mixed.select("key", "members"), "key").join(heads.select("id", "each", "dealt"), "id").select("key", "kind", "id", "n", "component", "members", sketch.alias("sketch"))
-    fresh = crossed(inner, threshold).join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(fresh, docs, size, percent))
-    if more.limit(1).count():
-        found = connected(links.unionByName(more))
-
-    head_of = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set", F.coalesce("component", "id").alias("component_id"))
-    out = sketches.select("doc_id", "n", "set").join(head_of, "set", "left")
+    firsts = classes.withColumnRenamed("set", "s").hint("merge")
+    heads = sketches.join(firsts, F.col("doc_id") == F.col("id")).where("set = s").dropDuplicates(["id", "set"])
+    heads = bucketed(heads.select("id", "n", "each", "dealt", "text"), "id")
+
+    alone = heads.select("each", "dealt", F.lit(1).cast("long").alias("size"), F.col("id").alias("component"))
+    pairs = beside_hub(banded(alone, 0, FIRST_BANDS)).select(F.col("hub").alias("a"), F.col("component").alias("b")).distinct()
+    found = connected(written(confirmed(pairs, heads, size, percent)))
+
+    # All buckets, by what is joined so far.
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    label = found.join(sizes, "component").select(F.col("node").alias("id"), "component", "size")
+    labelled = heads.select("id", "n", "each", "dealt").join(label, "id", "left").withColumns({"component": F.coalesce("component", "id"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    beside = written(beside_hub(banded(labelled)))
+    labels = written(labelled.select("id", "n", "component").distinct())
+    joined = connected(written(with_hubs(beside.select("hub", "component").distinct(), labels, heads, size, percent)))
+
+    # What lies beside hubs, bucket by bucket, where it isn't all of one component by now.
+    now = relabelled(beside.select("key", "component", F.col("component").alias("was")), joined)
+    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    members = now.join(several, "key", "left_semi").select("key", "component", "was").join(labels.select("id", "n", F.col("component").alias("was")), "was").select("key", "id", "n", "component")
+    members = written(likely(members.distinct(), heads, percent / 100))
+    last = connected(written(among_others(members, heads, size, percent)))
+    forget(heads)
+
+    first = found.select("node", "component")
+    label = relabelled(relabelled(classes.join(first.withColumnRenamed("node", "id"), "id", "left").select("set", F.coalesce("component", "id").alias("component")), joined), last)
+    out = sketches.select("doc_id", "n", "set").join(label.withColumnRenamed("component", "component_id"), "set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the members of a group of near-duplicates that aren't its first; rows without an id stay, and of repeated rows of an id one."""
-    gone = components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    """docs without the members of a group of near-duplicates that aren't its first.
+
+    Rows without an id stay.  Of rows equal in id and text one stays (which one
+    isn't defined); rows that share an id only are different documents."""
+    judged = written(components(docs, size, percent))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     rows, names = numbered(docs)
-    key = f"_{names.index('doc_id')}"
+    key, text = f"_{names.index('doc_id')}", f"_{names.index('text')}"
     rows = rows.join(gone, F.col(key).cast("long") == F.col("gone"), "left_anti")
-    return rows.where(f"{key} is not null").dropDuplicates([key]).unionByName(rows.where(f"{key} is null")).toDF(*names)
+    if judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.where(f"{key} is not null").dropDuplicates([key, text]).unionByName(rows.where(f"{key} is null"))
+    return rows.toDF(*names)
 
 
 ORACLE = r"""

@@ -59,7 +59,8 @@ def test_brute_force(spark, size):
 
 
 def test_small_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(hypermin, "BLOCK", 5)
+    monkeypatch.setattr(hypermin, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(hypermin, "FIRST_BANDS", 1)
     rng = random.Random(3)
     rows = list(enumerate(family(rng, 60, 60, 6)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in hypermin.components(spark.createDataFrame(rows, SCHEMA), 2).collect()}
@@ -78,6 +79,34 @@ def test_rows_without_id_repeated_rows_clashing_names(spark):
     assert hypermin.components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_links_between_what_lies_beside_a_hub(spark):
+    """Copies of copies: most pairs are just below the threshold, so that links lie beside hubs as well."""
+    rng = random.Random(8)
+    base = [f"v{k}" for k in range(100)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(100), 8):
+            w[k] = rng.choice(VOCAB)
+        texts.append(" ".join(w))
+        w[rng.randrange(100)] = "other"
+        texts += [" ".join(w)] * (rng.random() < 0.3)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in hypermin.components(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    assert got == brute(rows, 2) and 40 < len({c for _, c in got.values()}) < len(texts)
+
+
+def test_recall_of_the_bands():
+    """Pairs at a similarity of just 0.8 share a bucket."""
+    rng, met = np.random.Generator(np.random.PCG64(5)), 0
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 200, np.uint64) * np.uint64(2)
+        a, b = (hypermin.band_keys(hypermin.sketch_each(np.unique(x)), 0) for x in (pool[:180], pool[20:]))
+        met += bool(np.isin(a, b).any())
+    assert met == 300
+
+
 def test_estimates_are_close():
     rng = np.random.Generator(np.random.PCG64(1))
     for n in (50, 400, 5000):
