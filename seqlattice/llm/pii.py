@@ -1,30 +1,39 @@
 """Personal data, found also where it is disguised, with offsets into the source.
 
 Plain identifiers are found by the base patterns.  Then transducers rewrite
-the text and keep, for each character that they put out, the range of the
-source that it came from: look-alike letters and wide digits become ASCII and
-zero-width marks vanish; runs of spelled digits become digits; bracketed or
-spaced "at" and "dot", also mixed with plain ones, become @ and full stops.
-Where a spaced "at" is the only disguise, a common word before it or an unknown
-ending after it means prose.  The base patterns run over the
-rewritten text, and spans that touch a rewritten character are mapped back.
+the text, and each keeps the ranges that it replaced, so that a place in the
+rewritten text leads back to the range of the source that it came from:
+
+* look-alike letters and wide digits become ASCII, zero-width marks vanish;
+* runs with three named digits or more ("plus four nine ... dot ...") become
+  digits, by a machine over words, digits, blanks and marks;
+* bracketed "at" and "dot" become @ and full stops;
+* so do spaced ones, also mixed with plain ones, where an address is around
+  them.  Where a spaced "at" is the only disguise, a common word before it or
+  an unknown ending after it means prose.
+
+The base patterns run over the rewritten text; what they find there and the
+source doesn't show as it stands is disguised.
 
 Offsets count code points, ends are exclusive.  Nulls: a null text has no
 spans, a null doc_id passes through.  Repeated rows give repeated results; an
-empty table an empty one.  All patterns take linear time, so a very long text
-is scanned whole.
+empty table an empty one.  Each pattern and machine goes over a text once, so
+a very long text is scanned whole; what is kept besides it grows with what is
+rewritten, not with the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import lean, pick, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -84,31 +93,31 @@ _LIKE = dict(zip("асеорхуіјѕԁһӏАВСЕНКМОРТХІЈЅοαιν
 _LIKE |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
 _LIKE |= {chr(base + k): str(k) for base in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)}
 _LIKE |= {chr(0x2460 + k): str(k + 1) for k in range(9)}
-_LIKE |= {x: "" for x in "​‌‍⁠﻿­"}
 _LIKE |= {" ": " ", "‑": "-", "‐": "-", "–": "-", "。": ".", "․": ".", "﹫": "@", "➕": "+"}
+_LIKE_TABLE = str.maketrans(_LIKE)
+#: Marks without width.
+_GONE = "​‌‍⁠﻿­"
+_ANY_GONE = re.compile("[" + _GONE + "]+")
 _LIKELY = re.compile("[" + re.escape("".join(_LIKE)) + "]")
 
 _NAMED = {w: str(k) for k, names in enumerate(
     ("zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre",
      "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in names.split()}
-_NAME = "|".join(sorted(_NAMED, key=len, reverse=True))
-#: Three or more spelled digits in a row, digits and a leading plus allowed among them.
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ \t]++)?(?:(?:double|triple)[ \t]++)?(?:{_NAME}|[0-9]++)(?:[ \t]*+[-,.]?+[ \t]*+(?:(?:double|triple)[ \t]++)?(?:{_NAME}|[0-9]++))*(?!\w)")
-_SPELLED_PART = re.compile(rf"(?i)plus|double|triple|{_NAME}|[0-9]")
-#: Three names of a run, once digits and what parts words are taken out.
-_ANY_NAME = re.compile(rf"(?i)(?<!\w)(?:{_NAME})(?: ?(?:(?:double|triple) )*(?:{_NAME})){{2,}}(?!\w)")
 _TIMES = {"double": 2, "triple": 3}
+_DOT_WORDS = frozenset("dot punkt punto point".split())
+#: Three names one after the other, but for words that a run may hold.
+_THREE = re.compile(rb"\x01\x02*\x01\x02*\x01")
+_KIND_OF = dict.fromkeys((w.encode() for w in _NAMED), 1) | dict.fromkeys((w.encode() for w in (*_TIMES, *_DOT_WORDS, "plus")), 2)
+_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[ \t]+|.", re.S)
 
-_AT = r"[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*"
-_DOT = r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*"
-_BRACKETED = re.compile(rf"(?i)(?P<at>{_AT})|(?P<dot>{_DOT})")
+_BRACKETED = re.compile(r"(?i)[\[({<][ \t]*+(?:(?P<at>at|arroba|@)|dot|punkt|punto|point|\.)[ \t]*+[\])}>]")
 #: Unbracketed, where an address may have its @; what is on both sides decides.
 _ANY_AT = re.compile(r"@|[Aa](?<=[ \t][Aa])[Tt](?=[ \t])")
 _BLANKS = re.compile(r"[ \t]*+")
 _HOST = re.compile(r"(?i)[a-z0-9-]++(?:(?:[ \t]++dot[ \t]++|\.)[a-z0-9-]++)*+")
 _SPACED_DOT = re.compile(r"(?i)(?<![ \t])[ \t]++dot[ \t]++")
 _SEPARATOR = re.compile(r"(?i)[ \t]++dot[ \t]++|\.")
-_LAST = re.compile(r"(?i)[a-z]{2,24}(?!\w)")
+_LAST = re.compile(r"(?i)[a-z]{2,}+(?!\w)")
 _SPACED_IP = re.compile(r"(?i)(?<!\w)[0-9]{1,3}(?:(?:[ \t]++dot[ \t]++|\.)[0-9]{1,3}){3}(?!\w)")
 #: With "at" as the only disguise ("jane at mail.com"), prose as "look at mail.com" is told by these words before it, and "at home.then" by its ending.
 _BEFORE_AT = frozenset(
@@ -120,63 +129,148 @@ _BEFORE_AT = frozenset(
 _ENDINGS = frozenset("com org net edu gov mil int info biz io ai co me dev app eu uk us ca au nz ie de at ch fr es it pt nl be lu dk se no fi pl cz sk hu ro gr ru ua tr br mx ar cl pe in cn jp kr za".split())
 
 
+Edit = tuple[int, int, str]  # start, end, what is put there
+
+
+class Rewriting:
+    """A text in which ranges, which ascend and don't overlap, are replaced; and the way back."""
+
+    def __init__(self, text: str, edits: list[Edit]):
+        self.edits, self.at = edits, []
+        out, free, size = [], 0, 0
+        for a, b, put in edits:
+            out += [text[free:a], put]
+            size += a - free
+            self.at.append(size)
+            size += len(put)
+            free = b
+        self.text = "".join([*out, text[free:]])
+
+    def source(self, k: int) -> tuple[int, int]:
+        """Where the character k came from."""
+        i = bisect_right(self.at, k) - 1
+        if i < 0:
+            return k, k + 1
+        a, b, put = self.edits[i]
+        k -= self.at[i] + len(put)
+        return (a, b) if k < 0 else (b + k, b + k + 1)
+
+
 class Tape:
-    """A rewritten text: for each of its characters the source range and whether a transducer made it."""
+    """A text and its rewritings, one upon the other."""
 
     def __init__(self, text: str):
-        self.text, self.made = text, False
-        self.start: list[int] | range = range(len(text))
-        self.end: list[int] | range = range(1, len(text) + 1)
-        self.new: list[bool] = [False] * len(text)
-
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Put other text in place of ranges, which ascend and don't overlap."""
-        if not edits:
-            return
-        text, start, end, new, at = [], [], [], [], 0
-        for a, b, put in edits:
-            text += [self.text[at:a], put]
-            start += [*self.start[at:a], *[self.start[a]] * len(put)]
-            end += [*self.end[at:a], *[self.end[b - 1]] * len(put)]
-            new += [*self.new[at:a], *[True] * len(put)]
-            at = b
-        self.text = "".join(text) + self.text[at:]
-        self.start, self.end, self.new = [*start, *self.start[at:]], [*end, *self.end[at:]], [*new, *self.new[at:]]
-        self.made = True
+        self.first = self.text = text
+        self.layers: list[Rewriting] = []
 
+    def rewrite(self, edits: list[Edit]) -> None:
+        if edits:
+            self.layers.append(Rewriting(self.text, edits))
+            self.text = self.layers[-1].text
 
-def look_alikes(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), _LIKE[m[0]]) for m in _LIKELY.finditer(text)]
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The range of the first text that a range of the last came from."""
+        for layer in reversed(self.layers):
+            a, b = layer.source(a)[0], layer.source(b - 1)[1]
+        return a, b
 
+    def made(self, a: int, b: int) -> bool:
+        """Whether the first text has something else there."""
+        s, e = self.source(a, b)
+        return self.first[s:e] != self.text[a:b]
 
-_NAME_BYTES = frozenset(w.encode() for w in _NAMED)
-#: Bytes outside words become spaces; what is left is split to see fast whether any digit is named.
+
+#: Bytes outside words become spaces.
 _BETWEEN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    words = text.encode().translate(_BETWEEN).split()
-    if _NAME_BYTES.isdisjoint(words) or not _ANY_NAME.search(b" ".join(words).decode()):
-        return out
-    for m in _SPELLED.finditer(text):
-        put, names, times = "", 0, 1
-        for part in _SPELLED_PART.finditer(m[0]):
-            word = part[0].lower()
+class Run:
+    """The machine for spelled digits: items (named or plain digits) with gaps between them."""
+
+    def __init__(self, text: str):
+        self.text, self.out = text, []
+        self.stop()
+
+    def stop(self) -> None:
+        """The run ends with its last item; it counts with three names or more."""
+        if getattr(self, "names", 0) >= 3:
+            self.out += self.edits
+        self.edits: list[Edit] = []
+        self.names, self.end, self.named, self.plus = 0, -1, False, -1
+        self.clear()
+
+    def clear(self) -> None:
+        self.mark, self.times, self.times_at = "", 1, -1
+
+    def item(self, a: int, b: int, digits: str, named: bool) -> None:
+        begin = self.times_at if self.times > 1 else a
+        if self.end < 0 and self.plus >= 0:
+            self.edits.append((self.plus, begin, "+"))
+        elif self.end >= 0 and begin > self.end:
+            put = self.mark or ("" if named or self.named else self.text[self.end : begin])
+            if put != self.text[self.end : begin]:
+                self.edits.append((self.end, begin, put))
+        if named or self.times > 1:
+            self.edits.append((begin, b, digits[0] * (self.times - 1) + digits))
+        self.names, self.named, self.end = self.names + named, named, b
+        self.clear()
+
+    def gap(self, mark: str) -> None:
+        """One mark may be in a gap."""
+        if self.end < 0 or self.mark or self.times > 1:
+            self.stop()
+        else:
+            self.mark = mark
+
+    def feed(self, a: int, b: int, token: str) -> None:
+        c = token[0]
+        if c in " \t":
+            return
+        if "0" <= c <= "9":
+            self.item(a, b, token, False)
+        elif c in "-.,()":
+            self.gap(" " if c == "," else c)
+        elif (word := token.lower()) in _NAMED:
+            self.item(a, b, _NAMED[word], True)
+        elif word in _TIMES and self.times == 1:
+            self.times, self.times_at = _TIMES[word], a
+        elif word in _DOT_WORDS:
+            self.gap(".")
+        else:
+            self.stop()
             if word == "plus":
-                put += "+"
-            elif word in _TIMES:
-                times = _TIMES[word]
-            else:
-                put += _NAMED.get(word, word) * times
-                names, times = names + (word in _NAMED), 1
-        if names >= 3:
-            out.append((m.start(), m.end(), put))
-    return out
+                self.plus = a
 
 
-def bracketed(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
+def look_alikes(text: str) -> str:
+    """One character for one."""
+    return text.translate(_LIKE_TABLE) if not text.isascii() and _LIKELY.search(text) else text
+
+
+def widthless(text: str) -> list[Edit]:
+    return [] if text.isascii() else [(m.start(), m.end(), "") for m in _ANY_GONE.finditer(text)]
+
+
+def spelled_digits(text: str) -> list[Edit]:
+    kinds = bytes(map(_KIND_OF.get, text.encode().translate(_BETWEEN).split(), repeat(0)))
+    if not _THREE.search(kinds):
+        return []
+    run = Run(text)
+    for m in _TOKEN.finditer(text):
+        run.feed(m.start(), m.end(), m[0])
+    run.stop()
+    return run.out
+
+
+def bracketed(text: str) -> list[Edit]:
+    out, free = [], 0
+    for m in _BRACKETED.finditer(text):
+        a = m.start()
+        while a > free and text[a - 1] in " \t":
+            a -= 1
+        free = _BLANKS.match(text, m.end()).end()
+        out.append((a, free, "@" if m["at"] else "."))
+    return out
 
 
 def before(text: str, end: int, least: int) -> int:
@@ -200,7 +294,7 @@ def before(text: str, end: int, least: int) -> int:
             return start
 
 
-def spaced(text: str, new: list[bool]) -> list[tuple[int, int, str]]:
+def spaced(text: str, made: Callable[[int, int], bool]) -> list[Edit]:
     """Addresses with "at" or "dot" as words; with @ and full stops, rewritten ones too, among them."""
     out, free = [], 0
     for m in _ANY_AT.finditer(text):
@@ -225,7 +319,7 @@ def spaced(text: str, new: list[bool]) -> list[tuple[int, int, str]]:
         edits = [(x.start(), x.end(), ".") for x in _SPACED_DOT.finditer(text, start, a)]
         edits += [(a, b, "@")] * word
         edits += [(x.start(), x.end(), ".") for x in dots if x[0] != "."]
-        if edits == [(a, b, "@")] and not any(new[x.start()] for x in dots):
+        if edits == [(a, b, "@")] and not any(made(*x.span()) for x in dots):
             if text[start:a].lower() in _BEFORE_AT or text[dots[-1].end() : _LAST.match(text, dots[-1].end()).end()].lower() not in _ENDINGS:
                 continue
         out += edits
@@ -236,25 +330,25 @@ def spaced(text: str, new: list[bool]) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-TRANSDUCERS = (look_alikes, spelled_digits, bracketed)
-
-
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, in source offsets; those inside a base span of their kind are left out."""
     tape = Tape(text)
-    for transducer in TRANSDUCERS:
+    tape.text = look_alikes(text)
+    for transducer in (widthless, spelled_digits, bracketed):
         tape.rewrite(transducer(tape.text))
-    tape.rewrite(spaced(tape.text, tape.new))
-    if not tape.made:
+    tape.rewrite(spaced(tape.text, tape.made))
+    if tape.text == text:
         return []
     taken: dict[int, list[tuple[int, int]]] = {}
     for k, a, b in base:
         taken.setdefault(k, []).append((a, b))
     out = []
     for k, a, b in plain(tape.text):
-        s, e = tape.start[a], tape.end[b - 1]
-        if e - s != b - a or True in tape.new[a:b]:
-            if not any(x <= s and e <= y for x, y in taken.get(k, ())):
+        if tape.made(a, b):
+            s, e = tape.source(a, b)
+            near = taken.get(k, [])
+            i = bisect_right(near, (s, len(text))) - 1  # base spans of a kind don't overlap
+            if i < 0 or near[i][1] < e:
                 out.append((k, s, e))
     return out
 
@@ -271,24 +365,26 @@ def joined(spans: list[Span]) -> str:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of base spans by kind, base_sha256, spans (all of them), n_disguised."""
+    """doc_id, the counts of base spans by kind, base_sha256, spans (all of them), n_spans, n_disguised (those that aren't base)."""
     docs = pick(docs, doc_id="long", text="string")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, sums, every, more = [[] for _ in KINDS], [], [], []
+            counts, sums, every, n_spans, more = [[] for _ in KINDS], [], [], [], []
             for value in batch.column(1):
                 base, both = spans_of(value.as_py())
                 for k, c in enumerate(counts):
                     c.append(sum(s[0] == k for s in base))
                 sums.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 every.append(joined(both))
+                n_spans.append(len(both))
                 more.append(len(both) - len(base))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(every, pa.string()), pa.array(more, pa.int64())],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised"])
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(every, pa.string()), pa.array(n_spans, pa.int64()), pa.array(more, pa.int64())],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_disguised"])
 
-    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long")
+    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_disguised long")
 
 
 def masked_text(text: str) -> str:
@@ -306,9 +402,11 @@ def masked_text(text: str) -> str:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text, and n_chars, where there is one, counted anew."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if t is None else masked_text(t) for t in batch.column(at).to_pylist()]

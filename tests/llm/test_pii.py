@@ -1,5 +1,9 @@
+import random
 import re
+import time
 
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,13 +72,67 @@ def test_prose_before_a_host_stays_clean():
         assert pii.spans_of(text) == ([], []), text
 
 
-def test_long_runs_take_linear_time():
-    import time
-
-    begin = time.monotonic()
-    for text in ("a dot " * 40_000, "a at " * 40_000, "a at b dot " * 20_000, "one two three " + "1" * 40_000 + "x", "one two three " + "1 " * 40_000 + "x", "a@" * 40_000):
-        pii.spans_of(text)
-    assert time.monotonic() - begin < 20
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("text", [
+    " " * LONG, "1" * LONG, "1 " * (LONG // 2), "one " * (LONG // 4), "one two three " + "1" * LONG + "x", "one two three" + " " * LONG, "[" + " " * LONG, "at " * (LONG // 3), "a dot " * (LONG // 6), "at dot " * (LONG // 7),
+    "a at b dot " * (LONG // 11), "a@" * (LONG // 2), "@" * LONG, "+1" + " " * LONG, "1." * (LONG // 2), "(at) " * (LONG // 5), "double " * (LONG // 7), "one double " * (LONG // 11), "а" * LONG, "\u200b" * LONG, "a dot b at c dot d " * (LONG // 19),
+    "a at b.at.c " * (LONG // 12), "at dot dot " * (LONG // 11), "plus " * (LONG // 5)], ids=range(24))
+def test_a_megabyte_of_anything_takes_seconds(text):
+    begin = time.process_time()
+    pii.spans_of(text)
+    assert time.process_time() - begin < 12
+
+
+@pytest.mark.parametrize("part", ["one two three ", "one nine two dot ", "a dot b at c dot d ", "jane [at] mail [dot] com ", "[  ", "4nine "])
+def test_time_grows_with_the_text(part):
+    def took(n):
+        begin = time.process_time()
+        pii.spans_of(part * n)
+        return time.process_time() - begin
+
+    took(1000)
+    assert took(32_000) < 12 * max(took(8_000), 0.01)
+
+
+def disguises(rng):
+    """An identifier, and ways to write it that the base patterns don't see."""
+    name, host, end = rng.choice(["jane", "j.doe", "max_m", "info"]), rng.choice(["mail", "example", "my-shop"]), rng.choice(["com", "org", "de", "co.uk"])
+    at, dot = rng.choice([" [at] ", "(at)", " at ", " {at} ", " (arroba) "]), rng.choice([" [dot] ", "(dot)", " dot ", " (punkt) "])
+    number = "".join(rng.choice("0123456789") for _ in range(11))
+    names = "zero one two three four five six seven eight nine".split()
+    octets = [rng.randrange(1, 255) for _ in range(4)]
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in t)
+    return rng.choice([
+        ("email", f"{name}{at}{host}{dot}{end.replace('.', dot)}"), ("email", f"{name.replace('a', 'а').replace('o', 'о')}@{host.replace('e', 'е').replace('m', 'm')}.{end.replace('c', 'с').replace('o', 'о').replace('e', 'е')}"),
+        ("email", f"{name}＠{host}．{end}"), ("email", f"{name[0]}\u200b{name[1:]}@{host}\u200b.{end}"),
+        ("phone", "plus " + " ".join(names[int(c)] for c in number)), ("phone", "plus " + " ".join(names[int(c)] if k % 2 else c for k, c in enumerate(number))), ("phone", wide(f"+{number}")),
+        ("ip", " dot ".join(map(str, octets))), ("ip", " dot ".join(" ".join(names[int(c)] for c in str(o)) for o in octets)), ("ip", wide(".".join(map(str, octets)))),
+        ("card", " ".join(names[int(c)] for c in "4111111111111111")), ("card", wide("4111 1111 1111 1111")), ("card", "double " + " ".join(names[int(c)] for c in "5" + "00000000000004"))])
+
+
+def test_recall_and_precision_on_planted_disguises():
+    """Of 600 planted disguises nearly all are found whole, and around them, in the generated texts, nothing else."""
+    rng = random.Random(4)
+    filler = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) BETWEEN 100 AND 3000").fetchall() if not pii.spans_of(t)[0]]
+    found = wrong = 0
+    for _ in range(600):
+        kind, source = disguises(rng)
+        text = rng.choice(filler)
+        k = text.rfind(" ", 0, len(text) // 2)
+        text = f"{text[:k]} : {source} ; {text[k:]}"
+        new = [(pii.KINDS[x], text[a:b]) for x, a, b in pii.spans_of(text)[1]]
+        found += (kind, source) in new
+        wrong += sum(x != (kind, source) for x in new)
+    assert found >= 0.95 * 600 and wrong <= 0.02 * 600, (found, wrong)
+
+
+def test_runs_of_named_digits():
+    only("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one")
+    only("call plus one, double five three four - five six seven eight nine now", "phone", "plus one, double five three four - five six seven eight nine")
+    for text in ("one two three x", "one and two and three", "one\ntwo\nthree four one one one one one one one one one one"):
+        assert pii.spans_of(text)[1] == []
 
 
 def test_clean_text_stays_clean():
