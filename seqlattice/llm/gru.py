@@ -39,9 +39,12 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def start_weights(counts: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Small random weights; biases give the items' frequencies, and those of words that don't exist leave them no chance."""
+    """Small random weights; biases give the items' frequencies, and those of words that don't exist leave them no chance.  Without any counts all are equal."""
     flat = (np.random.Generator(np.random.PCG64(seed)).standard_normal(SIZE) * 0.15).astype(np.float32)
     w = views(flat)
+    if not counts.sum():
+        w["cb"][:] = w["mb"][:] = 0
+        return flat
     by_class = np.bincount(CLASS_OF, counts, CLASSES)
     w["cb"][:] = np.where(by_class > 0, np.log(np.maximum(by_class, 1e-9)) - np.log(max(by_class.sum(), 1)), -1e9)
     words = counts[:WORDS].reshape(WORD_CLASSES, MEMBERS)
@@ -159,7 +162,7 @@ class Run:
         return logp, dh
 
 
-def scores(flat: np.ndarray, texts: list[np.ndarray], width: int = 384) -> np.ndarray:
+def scores(flat: np.ndarray, texts: list[np.ndarray], width: int = 512) -> np.ndarray:
     """The natural log-likelihood of each whole text."""
     run, out = Run(flat), np.zeros(len(texts))
     for x, y, who, was in Lanes(texts, width):
@@ -170,7 +173,7 @@ def scores(flat: np.ndarray, texts: list[np.ndarray], width: int = 384) -> np.nd
     return out
 
 
-def train(flat: np.ndarray, squares: np.ndarray, texts: list[np.ndarray], width: int = 128) -> None:
+def train(flat: np.ndarray, squares: np.ndarray, texts: list[np.ndarray], width: int = 256) -> None:
     """One pass over the texts, in place: truncated backpropagation with steps scaled by past squares."""
     run, w, squared = Run(flat), views(flat), views(squares)
     for x, y, _, was in Lanes(texts, width):

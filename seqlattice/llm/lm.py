@@ -10,38 +10,46 @@ with crc32(doc_id) mod 10 = 0 are held out; the others teach two models:
   distribution over all known words and one unknown word a class.
 
 Counts of words are combined before they are shuffled and stay distributed.
-Sent to the executors are the KNOWN most frequent words of at most LONGEST
-bytes with their counts, and the network, all of fixed size; the counts of
-other words reach the documents that have them by a join.
-
-The network starts from a pass over at most WARM_DOCS training documents.
-Then every partition trains a copy on all its training documents, and the
-copies are averaged, weighted by tokens, first in groups, then in one task
-that holds one copy at a time.  Every token of every training document takes
-part.
+Sent to the executors are the most frequent words of at most LONGEST bytes (as
+many as have one of the counts that KNOWN words have) with their counts, and
+the network, all of fixed size; the counts of other words reach the documents
+that have them by a join.
+
+Each text is then cut into words once more, and all that later steps need of
+it is written: its sums and its items as 16-bit numbers.  The network starts
+from a pass over about WARM_DOCS training documents, those with the smallest
+hashes.  Then the training documents are dealt by hash into shards of about
+SHARD_TOKENS tokens, each shard trains a copy on all its documents in the
+order of their hashes, and copies are averaged, weighted by tokens, in a tree
+of MERGE copies a task.  The shards and the tree follow from the documents
+alone, so that scores don't depend on how a cluster cuts the tables.  Every
+token of every training document takes part.
 
 Nulls: a null text is empty (its only token is the end mark); a document
 without id is held out.  Repeated rows repeat their result (and teach twice).
-Without training documents every word is unknown.  An empty table gives an
-empty result.
+Without training documents every word is unknown and all items are equally
+likely.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import gru
-from .common import LOWER, byte_texts, pick, written
+from .common import LOWER, byte_texts, lean, pick, written
 
 END = b"\n"  # no word has white space
 KNOWN, LONGEST, WARM_DOCS, FLUSH = 200_000, 64, 1500, 400_000
+SHARD_TOKENS, MERGE = 2_000_000, 16
 SMOOTH = 0.1
 LN10 = float(np.log(10))
 
@@ -55,9 +63,18 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True)))
 
 
+def all_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and all words one after the other."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves empty ones
+    return np.bincount(owner.filter(real).to_numpy(), minlength=len(texts)), words.filter(real).cast(pa.large_binary())
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over the training documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
 
@@ -67,11 +84,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in byte_texts(batch.column(0)):
-                count.update(words_of(text))
-                count[END] += 1
-                if len(count) > FLUSH:
-                    yield rows()
+            values, counts = all_words(batch.column(0))[1].value_counts().flatten()
+            for w, c in zip(values.to_pylist(), counts.to_pylist()):
+                count[w] += c
+            count[END] += len(batch)
+            if len(count) > FLUSH:
+                yield rows()
         if count:
             yield rows()
 
@@ -96,75 +114,115 @@ class Lexicon:
         self.item = np.array([i if i < gru.WORDS else gru.WORDS + other_class(w) for i, (w, _) in enumerate(top)], np.int64)
         self.item_counts = np.zeros(gru.ITEMS)
         np.add.at(self.item_counts, self.item, counts)
-
-    def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """A text's numbers, the end mark's 0 included and -1 for words not here; its items; the words not here."""
-        words, get = words_of(text), self.number.get
-        numbers = np.array([get(w, -1) for w in words] + [0], np.int64)
-        items = self.item[numbers]
-        away = np.flatnonzero(numbers < 0)
-        rare = [words[i] for i in away.tolist()]
-        if rare:
-            items[away] = [gru.WORDS + other_class(w) for w in rare]
-        return numbers, items, rare
-
-
-def warm_weights(docs: DataFrame, lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and squares after a pass over a bounded sample, in one task."""
-
+        if counts.sum():
+            self.item_counts[gru.WORDS :] += SMOOTH  # for words that are yet unknown
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of all texts, one after the other: where each begins (and the last ends), each token's number (the end mark's is 0; -1 for words not here) and item, and the words."""
+        sizes, words = all_words(texts)
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+        coded = words.dictionary_encode()
+        names, get = coded.dictionary.to_pylist(), self.number.get
+        numbers = np.array([get(w, -1) for w in names], np.int64)
+        items = self.item[numbers] if len(numbers) else numbers
+        for k in np.flatnonzero(numbers < 0).tolist():
+            items[k] = gru.WORDS + other_class(names[k])
+        at = np.ones(begin[-1], bool)
+        at[begin[1:] - 1] = False
+        all_numbers, all_items = np.zeros(len(at), np.int64), np.full(len(at), self.item[0], np.int64)
+        if len(names):
+            codes = coded.indices.to_numpy()
+            all_numbers[at], all_items[at] = numbers[codes], items[codes]
+        return begin, all_numbers, all_items, words
+
+
+def items_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16).astype(np.int64) for x in column.to_pylist()]
+
+
+def warm_weights(coded: DataFrame, documents: int, item_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and squares after a pass over about WARM_DOCS of so many documents, in one task."""
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [lexicon.value.read(t)[1] for batch in batches for t in byte_texts(batch.column(0))]
-        flat, squares = gru.start_weights(lexicon.value.item_counts), np.full(gru.SIZE, 1e-2, np.float32)
+        texts = [x for batch in batches for x in items_of(batch.column(1))]
+        flat, squares = gru.start_weights(item_counts), np.full(gru.SIZE, 1e-2, np.float32)
         if texts:
             gru.train(flat, squares, texts)
         yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()]), pa.array([squares.tobytes()])], ["w", "s"])
 
-    rows = docs.where("not held_out").select("text").limit(WARM_DOCS).repartition(1).mapInArrow(run, "w binary, s binary").collect()
+    few = coded.where("not held_out")
+    if documents > WARM_DOCS:
+        few = few.where(F.col("spot") < int(-(1 << 63) + (1 << 64) * WARM_DOCS / documents))
+    rows = few.select("spot", "items").repartition(1).sortWithinPartitions("spot", "items").mapInArrow(run, "w binary, s binary").collect()
     if not rows:
-        return gru.start_weights(lexicon.value.item_counts), np.full(gru.SIZE, 1e-2, np.float32)
+        return gru.start_weights(item_counts), np.full(gru.SIZE, 1e-2, np.float32)
     return np.frombuffer(rows[0].w, np.float32).copy(), np.frombuffer(rows[0].s, np.float32).copy()
 
 
-def trained_weights(docs: DataFrame, lexicon, warm) -> np.ndarray:
-    """The average of copies, each trained on all training documents of a partition."""
+def trained_weights(coded: DataFrame, tokens: int, warm) -> np.ndarray:
+    """The average of copies, each trained on all documents of a shard."""
+    shards = max(1, -(-tokens // SHARD_TOKENS))
+
+    def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), items_of(b.column(1))))
+        for shard, group in groupby(rows, key=lambda r: r[0]):
+            yield shard, [x for _, x in group]
 
+    @lean
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, squares = (x.copy() for x in warm.value)
-        tokens = 0
-        for batch in batches:
-            texts = [lexicon.value.read(t)[1] for t in byte_texts(batch.column(0))]
+        for shard, texts in by_shard(batches):
+            flat, squares = (x.copy() for x in warm.value)
             gru.train(flat, squares, texts)
-            tokens += sum(map(len, texts))
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat.tobytes()])], ["tokens", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([sum(map(len, texts))], pa.int64()), pa.array([flat.tobytes()])], ["shard", "tokens", "w"])
 
+    @lean
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = 0, np.zeros(gru.SIZE)
-        for batch in batches:
-            for n, w in zip(batch.column(0).to_pylist(), batch.column(1)):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for above, group in groupby(rows, key=lambda r: r[0] // MERGE):
+            tokens, total = 0, np.zeros(gru.SIZE)
+            for _, n, w in group:
                 tokens += n
-                total += n * np.frombuffer(w.as_py(), np.float32).astype(np.float64)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()])], ["tokens", "w"])
-
-    schema = "tokens long, w binary"
-    every = docs.where("not held_out").select("text").mapInArrow(copies, schema)
-    groups = max(1, int(every.rdd.getNumPartitions() ** 0.5))
-    rows = every.repartition(groups).mapInArrow(merged, schema).coalesce(1).mapInArrow(merged, schema).collect()
+                total += n * np.frombuffer(w, np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([above], pa.int64()), pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()])], ["shard", "tokens", "w"])
+
+    schema = "shard long, tokens long, w binary"
+    dealt = coded.where("not held_out").select(F.pmod("spot", F.lit(shards)).alias("shard"), "spot", "items")
+    level = dealt.repartition("shard").sortWithinPartitions("shard", "spot", "items").select("shard", "items").mapInArrow(copies, schema)
+    while True:
+        level = written(level.repartition(F.floor(F.col("shard") / MERGE)).sortWithinPartitions("shard").mapInArrow(merged, schema))
+        shards = -(-shards // MERGE)
+        if shards == 1:
+            break
+    rows = level.collect()
     return np.frombuffer(rows[0].w, np.float32).copy() if rows else warm.value[0]
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The words with the highest counts, as many counts as KNOWN words reach and fewer than KNOWN words in all; the end mark is the first.
+
+    How many words have a count is counted first, so that no task sorts words it will not keep."""
+    short = counts.where(f"octet_length(word) <= {LONGEST}")
+    ranks = short.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    few = ranks.orderBy(F.desc("c")).limit(KNOWN).collect()
+    held, least = 0, 1 << 62
+    for r in few:
+        if held + r.n > KNOWN:
+            break
+        held, least = held + r.n, r.c
+    rows = short.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).select("word", "c").toArrow() if few else None
+    top = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()), key=lambda x: (x[0] != END, -x[1], x[0])) if rows else []
+    return top
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, docs = docs.sparkSession, split(docs)
     sc = spark.sparkContext
     counts = written(word_counts(docs))
-    tail = F.when(F.col("word") == F.lit(END), 0).otherwise(1)
-    rest = counts.where(f"octet_length(word) <= {LONGEST}").select("word", "c", tail.alias("t")).orderBy("t", F.desc("c"), "word").limit(KNOWN)
-    top = rest.toArrow()
-    pairs = list(zip(top.column(0).to_pylist(), top.column(1).to_pylist()))
+    pairs = most_frequent(counts)
     lexicon = sc.broadcast(Lexicon(pairs, dict(pairs[:1]).get(END, 0)))
-    del top, pairs
+    del pairs
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, distinct = totals.n or 0, totals.v
 
@@ -180,36 +238,51 @@ def scored(docs: DataFrame) -> DataFrame:
             share[other_class(w)] -= 10 ** float(lexicon.value.log_count[i])
     log_share = np.log10(np.maximum(share, SMOOTH))
 
-    warm = sc.broadcast(warm_weights(docs, lexicon))
-    weights = sc.broadcast(trained_weights(docs, lexicon, warm))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
-            rows, texts, rare_words, rare_counts = [], [], [], []
-            for text in byte_texts(batch.column(1)):
-                numbers, item, rare = lex.read(text)
-                here = numbers[numbers >= 0]
-                logs = lex.log_count[here]
-                others = item[item >= gru.WORDS] - gru.WORDS
-                few = Counter(rare)
-                rare_words.append(list(few))
-                rare_counts.append(list(few.values()))
-                texts.append(item)
-                rows.append((len(numbers), int(lex.known[here].sum()), float(logs.sum()), float(logs[lex.item[here] >= gru.WORDS].sum() - log_share[others].sum()), xxh3_64_intdigest(text or b"") - (1 << 63)))
-            known_words = gru.scores(weights.value, texts) / LN10
-            cols = list(zip(*rows)) if rows else [()] * 5
-            tokens, known, logs, more, tag = (pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())))
+            begin, numbers, items, words = lex.read(batch.column(1))
+            edges = begin[:-1]
+            here, other = numbers >= 0, items >= gru.WORDS
+            logs = np.where(here, lex.log_count[numbers], 0.0)
+            more = np.where(other, logs - log_share[np.where(other, items - gru.WORDS, 0)], 0.0)
+            cols = [np.add.reduceat(x, edges) for x in ((here & lex.known[numbers]).astype(np.int64), logs, more)] if len(batch) else [np.zeros(0)] * 3
+            rare_words, rare_counts = [], []
+            rare = np.flatnonzero(~here)
+            text_of = np.searchsorted(begin, rare, "right") - 1
+            few: list[Counter] = [Counter() for _ in range(len(batch))]
+            for k, w in zip(text_of.tolist(), words.take(pa.array(rare - text_of)).to_pylist()):
+                few[k][w] += 1
+            for c in few:
+                rare_words.append(list(c))
+                rare_counts.append(list(c.values()))
+            short = items.astype(np.uint16)
+            packed = pa.array([short[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())
+            tags = pa.array([xxh3_64_intdigest(t or b"") - (1 << 63) for t in byte_texts(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), tag, tokens, known, logs, pa.array(known_words + more.to_numpy() if rows else [], pa.float64()), pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int64()))],
-                ["doc_id", "held_out", "tag", "n_tokens", "n_known", "logs", "network", "words", "times"])
+                [batch.column(0), batch.column(2), batch.column(3), tags, pa.array(np.diff(begin).astype(np.int64)), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.float64)), pa.array(cols[2].astype(np.float64)), packed, pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int64()))],
+                ["doc_id", "held_out", "spot", "tag", "n_tokens", "n_known", "logs", "more", "items", "words", "times"])
+
+    # A document's spot, which orders and deals the documents, is a hash of its id and text.
+    spotted = docs.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("spot"))
+    parts = written(spotted.mapInArrow(encode, "doc_id long, held_out boolean, spot long, tag long, n_tokens long, n_known long, logs double, more double, items binary, words array<binary>, times array<long>"))
+    n_docs = parts.where("not held_out").count()
+    warm = sc.broadcast(warm_weights(parts, n_docs, lexicon.value.item_counts))
+    weights = sc.broadcast(trained_weights(parts, n_train, warm))
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            network = gru.scores(weights.value, items_of(batch.column(6))) / LN10 + batch.column(7).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(network, pa.float64())], ["doc_id", "held_out", "tag", "n_tokens", "n_known", "logs", "network"])
 
-    parts = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, tag long, n_tokens long, n_known long, logs double, network double, words array<binary>, times array<long>"))
+    scores = parts.select("doc_id", "held_out", "tag", "n_tokens", "n_known", "logs", "items", "more").mapInArrow(run, "doc_id long, held_out boolean, tag long, n_tokens long, n_known long, logs double, network double")
     away = parts.where("size(words) > 0").dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "tag", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     log_c = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH) * F.col("n")
     away = away.join(counts, "word", "left").groupBy("doc_id", "tag").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"), F.sum(log_c).alias("more_logs"))
     away = away.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "more_known", "more_logs")
-    out = parts.drop("words", "times").join(away, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
+    out = scores.join(away, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
     whole = float(np.log10(n_train + SMOOTH * (distinct + 1)))
     extra = F.coalesce("more_logs", F.lit(0.0))
     return out.select(

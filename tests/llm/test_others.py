@@ -2,12 +2,15 @@
 
 import itertools
 import math
+import re
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 
 from comparing import SMALL, against_sql
+from pyspark.sql import functions as F
+
 from seqlattice.llm import chat, gru, html_main, lm, mixing, pii, quality, warc
 
 
@@ -110,6 +113,51 @@ def test_base_scores_and_model(spark):
     assert np.mean(gained) > 0
 
 
+def test_scores_dont_depend_on_partitions_and_are_finite_without_training(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", F.lit(1).alias("Score"))
+    one, many = ({(r.doc_id, r.held_out): r.score for r in lm.scored(d).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 * abs(one[k]) for k in one)
+    odd = spark.createDataFrame([(None, "a b c"), (None, None), (None, "  x\ty  ")], "doc_id long, text string")
+    rows = lm.scored(odd).collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 3, 4] and all(math.isfinite(r.score) and r.score < 0 and r.held_out and r.train_tokens == 0 for r in rows)
+    assert lm.scored(odd.limit(0)).count() == 0
+
+
+def test_words_are_the_contracts():
+    import pyarrow as pa
+
+    texts = ["  A\x0bb\x0c\r c\t", "", None, "é\u00a0É\u2003x\x1cY", "plain words"]
+    sizes, words = lm.all_words(pa.array(texts))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and [w.decode() for w in words.to_pylist()] == [x for w in want for x in w]
+    assert [lm.words_of((t or "").encode()) for t in texts] == [[x.encode() for x in w] for w in want]
+
+
+def test_network_against_plain_loops():
+    """One text, item by item, with scalars."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    flat = gru.start_weights(rng.integers(1, 50, gru.ITEMS).astype(float), seed=3)
+    w, size = gru.views(flat), gru.HIDDEN
+    text = rng.integers(0, gru.ITEMS, gru.STEPS + 9)
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    h, total, last = [0.0] * size, 0.0, gru.START
+    for item in text.tolist():
+        hu = [sum(h[i] * float(w["u"][i, j]) for i in range(size)) for j in range(3 * size)]
+        e = [float(x) for x in w["e"][last]]
+        z, r = [sigmoid(e[j] + hu[j]) for j in range(size)], [sigmoid(e[size + j] + hu[size + j]) for j in range(size)]
+        n = [math.tanh(e[2 * size + j] + r[j] * hu[2 * size + j]) for j in range(size)]
+        h = [n[j] + z[j] * (h[j] - n[j]) for j in range(size)]
+        logits = [float(w["cb"][c]) + sum(h[i] * float(w["c"][i, c]) for i in range(size)) for c in range(gru.CLASSES)]
+        k = int(gru.CLASS_OF[item])
+        total += logits[k] - math.log(sum(map(math.exp, logits)))
+        if k < gru.WORD_CLASSES:
+            logits = [float(w["mb"][k, m]) + sum(h[i] * float(w["m"][k, i, m]) for i in range(size)) for m in range(gru.MEMBERS)]
+            total += logits[int(gru.MEMBER_OF[item])] - math.log(sum(map(math.exp, logits)))
+        last = item
+    assert abs(gru.scores(flat, [text])[0] - total) < 1e-3 * abs(total)
+
+
 def test_outputs_are_a_distribution():
     counts = np.arange(gru.ITEMS, 0, -1).astype(float)
     run = gru.Run(gru.start_weights(counts))
