@@ -13,6 +13,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -96,15 +97,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back; the shuffle files of the write, which no one reads again, are let go."""
-    conf, path = df.sparkSession.conf, shared_dir(df.sparkSession)
-    before = conf.get(_LET_GO, None)
-    conf.set(_LET_GO, "true")
+@contextmanager
+def letting_go(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a write, which no one reads again, are let go when it ends."""
+    before = spark.conf.get(_LET_GO, None)
+    spark.conf.set(_LET_GO, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        conf.set(_LET_GO, before) if before is not None else conf.unset(_LET_GO)
+        spark.conf.set(_LET_GO, before) if before is not None else spark.conf.unset(_LET_GO)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back."""
+    path = shared_dir(df.sparkSession)
+    with letting_go(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -114,7 +122,8 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     Its name is in the session's catalogue until :func:`forget`."""
     spark = df.sparkSession
     name, n = f"b_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", shared_dir(spark)).saveAsTable(name)
+    with letting_go(spark):
+        df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", shared_dir(spark)).saveAsTable(name)
     out = spark.table(name)
     out._bucketed_name = name
     return out

@@ -9,8 +9,9 @@ function of its own.  Sets of SPLIT to SPLIT / threshold shingles get sketches
 of both kinds, as a set and its match may lie on either side.
 
 1. Documents with equal sets collapse to the smallest id; one head is left for
-   each set, with its sketch and text, in a table bucketed by id, which later
-   joins on id don't shuffle again.
+   each set, with its sketch.  Heads that share a bucket of any band with
+   another are kept by bucket, and the texts of those alone go to a table
+   bucketed by id, which later joins on id don't shuffle again.
 2. Sketches are banded.  In each bucket of the first bands one member is paired
    with every other member: as many pairs as members, not all pairs.  The pairs
    are confirmed on the full sets, and the links give components.
@@ -138,7 +139,7 @@ def shortened(sketch: bytes) -> bytes:
 
 
 def sketched(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """doc_id, n (set size), set (a 128-bit digest of it), each, dealt: sketches of either kind, where they apply, and text."""
+    """doc_id, n (set size), set (a 128-bit digest of it), each, dealt: sketches of either kind, where they apply."""
     upper = SPLIT / threshold
 
     @lean
@@ -153,38 +154,65 @@ def sketched(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                 each.append(sketch_each(h).tobytes() if 0 < n <= upper else None)
                 dealt.append(sketch_dealt(h).tobytes() if n >= SPLIT else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(each, pa.binary()), pa.array(dealt, pa.binary()), batch.column(1)],
-                ["doc_id", "n", "set", "each", "dealt", "text"])
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(each, pa.binary()), pa.array(dealt, pa.binary())],
+                ["doc_id", "n", "set", "each", "dealt"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set binary, each binary, dealt binary, text string")
+    return docs.mapInArrow(run, "doc_id long, n long, set binary, each binary, dealt binary")
 
 
-def banded(heads: DataFrame, first: int = 0, end: int = BANDS) -> DataFrame:
-    """(key, size, component), for each band from first up to end, from heads with a component and its size; once in a batch."""
+def banded(heads: DataFrame) -> DataFrame:
+    """(key, early, id) for each band; early are those of the first FIRST_BANDS."""
+    early = np.arange(BANDS) < FIRST_BANDS
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, comps = (batch.column(k).to_numpy() for k in (0, 1))
-            keys, rows = [], []
-            for k, both in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            keys, ids = [], []
+            for i, *both in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for kind, sketch in enumerate(both):
                     if sketch is not None:
-                        keys.append(band_keys(np.frombuffer(sketch, np.uint16), kind)[first:end])
-                        rows.append(k)
+                        keys.append(band_keys(np.frombuffer(sketch, np.uint16), kind))
+                        ids.append(i)
             if keys:
-                key, row = np.concatenate(keys), np.repeat(rows, end - first)
-                by = np.lexsort((comps[row], key))
-                key, row = key[by], row[by]
-                fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (comps[row[1:]] != comps[row[:-1]])])
-                row = row[fresh]
-                yield pa.RecordBatch.from_arrays([pa.array(key[fresh]), pa.array(sizes[row]), pa.array(comps[row])], ["key", "size", "component"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(early, len(keys))), pa.array(np.repeat(ids, BANDS))], ["key", "early", "id"])
 
-    return heads.select("size", "component", "each", "dealt").mapInArrow(run, "key long, size long, component long")
+    return heads.select("id", "each", "dealt").mapInArrow(run, "key long, early boolean, id long")
+
+
+def in_company(rows: DataFrame) -> DataFrame:
+    """The banded rows of buckets with two ids or more, each once.  A task holds one row besides a batch."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, bool, bool] | None = None  # key, id, early, whether it was put out
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, ids, early = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if last is not None:
+                key, ids, early = (np.concatenate([[x], c]) for x, c in zip(last, (key, ids, early)))
+            same = key[1:] == key[:-1]
+            again = np.concatenate([[False], same & (ids[1:] == ids[:-1])])
+            beside = same & (ids[1:] != ids[:-1])
+            # A bucket with two ids has, sorted, a place where they meet.
+            run_of = np.cumsum(np.concatenate([[0], ~same]))
+            met = np.zeros(run_of[-1] + 1, bool)
+            met[run_of[1:][beside]] = True
+            known = last is not None and last[3]
+            if known:
+                met[0] = True
+            out = met[run_of] & ~again
+            if known:
+                out[0] = False
+            last = (key[-1], ids[-1], early[-1], bool(met[-1]))
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, early, ids)], ["key", "early", "id"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "early").mapInArrow(run, "key long, early boolean, id long")
 
 
 def beside_hub(rows: DataFrame) -> DataFrame:
-    """(key, hub, component) from banded rows: each bucket's components but the first by size (descending), which is its hub.
+    """(key, hub, component) from rows (key, size, component): each bucket's components but the first by size (descending), which is its hub.
 
     A task holds one row besides a batch, however many a bucket has."""
 
@@ -208,10 +236,9 @@ def beside_hub(rows: DataFrame) -> DataFrame:
     return order.select("key", "component").mapInArrow(run, "key long, hub long, component long")
 
 
-def confirmed(pairs: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    text = heads.select("id", "text")
-    joined = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    joined = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +320,7 @@ def dealt_to(n: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
 
 
-def with_hubs(pairs: DataFrame, labelled: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+def with_hubs(pairs: DataFrame, labelled: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links, as pairs of components, between the members of hubs and of components beside them.
 
     pairs: (hub, component); labelled: (id, n, component).  Either side of a hub is cut into
@@ -304,7 +331,7 @@ def with_hubs(pairs: DataFrame, labelled: DataFrame, heads: DataFrame, size: int
     parts = sums(joined, "i_parts").join(sums(beside, "j_parts"), "hub")
     own = joined.join(parts, "hub").select("hub", dealt_to(F.col("i_parts"), "i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_parts") - 1)).alias("j"), F.lit(0).alias("side"), "id", "component")
     other = beside.join(parts, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("i_parts") - 1)).alias("i"), dealt_to(F.col("j_parts"), "j").alias("j"), F.lit(1).alias("side"), "id", "component")
-    placed = own.unionByName(other).join(heads.select("id", "text"), "id").select("hub", "i", "j", "side", "component", "text")
+    placed = own.unionByName(other).join(texts, "id").select("hub", "i", "j", "side", "component", "text")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,9 +385,9 @@ def likely(members: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
     return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, id long, n long, component long").distinct()
 
 
-def among_others(members: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+def among_others(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links, as pairs of components, between members (key, id, n, component) of one bucket."""
-    placed = in_pairs_of_parts(members).join(heads.select("id", "text"), "id").select("key", "i", "j", "part", "component", "text")
+    placed = in_pairs_of_parts(members).join(texts, "id").select("key", "i", "j", "part", "component", "text")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,29 +413,31 @@ def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     docs = pick(docs, doc_id="long", text="string")
     sketches = written(sketched(docs, size, percent / 100))
     classes = written(sketches.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("id")))
-    firsts = classes.withColumnRenamed("set", "s").hint("merge")
-    heads = sketches.join(firsts, F.col("doc_id") == F.col("id")).where("set = s").dropDuplicates(["id", "set"])
-    heads = bucketed(heads.select("id", "n", "each", "dealt", "text"), "id")
+    heads = sketches.join(classes.withColumnRenamed("set", "s"), F.col("doc_id") == F.col("id")).where("set = s")
+    heads = written(heads.select("id", "n", "each", "dealt"))
+    shared = written(in_company(banded(heads)))
+    ids = written(shared.select("id").distinct())
+    texts = bucketed(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").distinct(), "id")
 
-    alone = heads.select("each", "dealt", F.lit(1).cast("long").alias("size"), F.col("id").alias("component"))
-    pairs = beside_hub(banded(alone, 0, FIRST_BANDS)).select(F.col("hub").alias("a"), F.col("component").alias("b")).distinct()
-    found = connected(written(confirmed(pairs, heads, size, percent)))
+    single = shared.where("early").select("key", F.lit(1).cast("long").alias("size"), F.col("id").alias("component"))
+    pairs = beside_hub(single).select(F.col("hub").alias("a"), F.col("component").alias("b")).distinct()
+    found = connected(written(confirmed(pairs, texts, size, percent)))
 
     # All buckets, by what is joined so far.
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     label = found.join(sizes, "component").select(F.col("node").alias("id"), "component", "size")
-    labelled = heads.select("id", "n", "each", "dealt").join(label, "id", "left").withColumns({"component": F.coalesce("component", "id"), "size": F.coalesce("size", F.lit(1).cast("long"))})
-    beside = written(beside_hub(banded(labelled)))
-    labels = written(labelled.select("id", "n", "component").distinct())
-    joined = connected(written(with_hubs(beside.select("hub", "component").distinct(), labels, heads, size, percent)))
+    whole = lambda rows: rows.join(label, "id", "left").withColumns({"component": F.coalesce("component", "id"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    labels = written(whole(heads.select("id", "n").join(ids, "id", "left_semi").distinct()))
+    beside = written(beside_hub(shared.select("key", "id").join(labels, "id").select("key", "size", "component")))
+    joined = connected(written(with_hubs(beside.select("hub", "component").distinct(), labels, texts, size, percent)))
 
     # What lies beside hubs, bucket by bucket, where it isn't all of one component by now.
     now = relabelled(beside.select("key", "component", F.col("component").alias("was")), joined)
     several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     members = now.join(several, "key", "left_semi").select("key", "component", "was").join(labels.select("id", "n", F.col("component").alias("was")), "was").select("key", "id", "n", "component")
     members = written(likely(members.distinct(), heads, percent / 100))
-    last = connected(written(among_others(members, heads, size, percent)))
-    forget(heads)
+    last = connected(written(among_others(members, texts, size, percent)))
+    forget(texts)
 
     first = found.select("node", "component")
     label = relabelled(relabelled(classes.join(first.withColumnRenamed("node", "id"), "id", "left").select("set", F.coalesce("component", "id").alias("component")), joined), last)
