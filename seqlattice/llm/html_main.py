@@ -1,26 +1,32 @@
-"""Main text of HTML pages, by structure and by differences to the nearest page.
-
-A page is read into lines, one for each block, and each line is placed: inside
-an article or main element, or outside any.  Elements that say what they are
-(navigation, forms, adverts, comments, ...) by tag, role or name are left out.
-Pages with article text consist of that; others of all their lines.
-
-Then each page is paired, within its host, with the neighbour in URL order
-that shares the longer start of the path, their lines are aligned by longest
-common subsequence, and shared lines are deleted: outside articles all of
-them, inside an article those that read like furniture (mostly link text, or
-a few words that end like no sentence), since an article may quote or repeat
-another.  A neighbour that shares half of the page's characters or more is a
-copy of it and tells nothing; then the other neighbour is taken.
-
-Neighbours are found in partitions of the pages' global order; only the first
-and last two pages of each partition meet in one further task.  Lines to
-delete are sent to all executors if they are few (SMALL_ROWS), else joined.
+"""Main text of HTML pages, by differences to the nearest page and by structure.
+
+A page is read into lines, one for each block, all of them but what no browser
+shows as text (scripts, styles, form fields, ...).  A line's place is noted:
+inside an article or main element, outside any, or inside an element that says
+what it is (navigation, forms, adverts, comments, ...) by tag, role or name.
+A page's own lines are those of its articles or, where it has none, those
+outside of elements that say what they are.
+
+1. Each page is paired, within its host, with the neighbour in URL order that
+   shares the longer start of the path, all their lines are aligned by longest
+   common subsequence, and shared lines are deleted.  Spared are shared own
+   lines inside an article that read like sentences, since an article may quote
+   or repeat another, and the own lines of copies: a neighbour that shares half
+   of an article's characters, or nine tenths of the own lines of a page
+   without one, is a copy and tells nothing about them; then the other
+   neighbour is asked.
+2. What is left and isn't among the page's own lines goes by structure: an
+   advert that only one page has looks like its text otherwise.
+
+The pages are put in a global order once, in partitions.  A page whose
+neighbour is in another partition is settled with those of other partitions'
+ends, in as many rounds as it takes until one small task has the last ones.
 
 Nulls: a null html gives an empty text; pages without url form a host of their
-own; a null page_id passes through.  Repeated rows are each other's copies and
-have the same result.  An empty table gives an empty result.  A page that ends
-early is read to its end; nothing is capped.
+own; a null page_id passes through.  Repeated rows count as one page and have
+the same result.  An empty table gives an empty result.  A page that ends
+early is read to its end; nothing is capped, and many equal lines are aligned
+in words of bits.
 """
 
 from __future__ import annotations
@@ -31,16 +37,19 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import pick, written
+from .common import lean, pick, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never a page's own.
 OUT_TAGS = frozenset("aside audio button canvas datalist dialog form head iframe label map menu nav noembed noframes noscript object option script select style svg template textarea title video".split())
+#: Of these, what isn't text to a reader at all and makes no lines.
+NO_TEXT = frozenset("audio canvas datalist head iframe map noembed noframes noscript object option script select style svg template textarea title video".split())
 #: Left out unless inside an article, where they hold its title or notes.
 FRAME_TAGS = frozenset(("header", "footer"))
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -59,9 +68,10 @@ _NAME_PARTS = re.compile(r"[a-z]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SENTENCE = re.compile(r"[.!?…:;。！？]['\")\]»”’]*$")
 
-ARTICLE, FURNITURE, OUTSIDE = 0, 1, 2
+ARTICLE, FURNITURE, OUTSIDE, NAMED = 0, 1, 2, 3
 FEW_WORDS = 5
-SMALL_ROWS = 100_000
+#: Rows that the last round of pairing settles in one task.
+LAST_ROWS = 2000
 
 Line = tuple[str, int]  # text, place
 
@@ -74,8 +84,9 @@ def _named(value: str) -> set[str]:
 class Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, left out, article
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, left out, article, no text
         self.parts: list[str] = []
+        self.named: list[str] = []  # what is left out
         self.link_chars = 0
         self.in_link = 0
         self.lines: list[Line] = []
@@ -104,14 +115,14 @@ class Reader(HTMLParser):
         while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
             self.handle_endtag(self.open[-1][0])
         if tag in BLOCK or tag == "br":
-            self.flush() if tag in BLOCK else self.parts.append(" ")
+            self.flush() if tag in BLOCK else self.space()
         if tag in ("td", "th"):
-            self.parts.append(" ")
+            self.space()
         if tag in VOID:
             return
-        _, out, article = self.open[-1] if self.open else ("", False, False)
+        _, out, article, mute = self.open[-1] if self.open else ("", False, False, False)
         out = out or self._left_out(tag, attrs, article)
-        self.open.append((tag, out, article or tag in ARTICLE_TAGS and not out))
+        self.open.append((tag, out, article or tag in ARTICLE_TAGS and not out, mute or tag in NO_TEXT))
         self.in_link += tag == "a"
 
     def handle_startendtag(self, tag: str, pairs: list[tuple[str, str | None]]) -> None:
@@ -129,9 +140,9 @@ class Reader(HTMLParser):
                 return
 
     def _cut(self, k: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.open[k:]):
+        if any(x[0] in BLOCK for x in self.open[k:]):
             self.flush()
-        self.in_link -= sum(t == "a" for t, _, _ in self.open[k:])
+        self.in_link -= sum(x[0] == "a" for x in self.open[k:])
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -144,8 +155,13 @@ class Reader(HTMLParser):
         if tag in BLOCK:
             self.flush()
 
+    def space(self) -> None:
+        (self.named if self.open and self.open[-1][1] else self.parts).append(" ")
+
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][1]:
+            if not self.open[-1][3]:
+                self.named.append(data)
             return
         self.parts.append(data)
         if self.in_link:
@@ -160,18 +176,26 @@ class Reader(HTMLParser):
                     place = FURNITURE if furniture else ARTICLE
                 self.lines.append((text, place))
             self.parts, self.link_chars = [], 0
+        if self.named:
+            if text := " ".join("".join(self.named).split()):
+                self.lines.append((text, NAMED))
+            self.named = []
 
 
 def lines_of(html: str | None) -> list[Line]:
-    """The page's lines; if any is in an article, only those."""
+    """All lines of a page."""
     if not html:
         return []
     reader = Reader()
     reader.feed(html)
     reader.close()
     reader.flush()
-    inner = [x for x in reader.lines if x[1] != OUTSIDE]
-    return inner or reader.lines
+    return reader.lines
+
+
+def own_places(places: list[int]) -> tuple[int, ...]:
+    """Where the page's own lines lie."""
+    return (ARTICLE, FURNITURE) if ARTICLE in places or FURNITURE in places else (OUTSIDE,)
 
 
 def place_of(url: str | None) -> tuple[str, str]:
@@ -194,6 +218,10 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     where: dict[int, list[int]] = {}
     for j in range(len(b) - back - 1, front - 1, -1):
         where.setdefault(b[j], []).append(j)
+    inner = a[front : len(a) - back]
+    if sum(len(where.get(x, ())) for x in inner) > 8 * (len(a) + len(b)):
+        middle = [front + k for k in common_by_halves(inner, b[front : len(b) - back])]
+        return [*range(front), *middle, *range(len(a) - back, len(a))]
     tails: list[int] = []
     links: list[tuple[int, object]] = []  # of each length, the last match and the chain before it
     for i in range(front, len(a) - back):
@@ -212,7 +240,32 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(front), *reversed(middle), *range(len(a) - back, len(a))]
 
 
-Page = tuple  # page_id, url, tag, host, path, hashes, sizes (characters * 4 + place)
+def prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of a and each start of b, a word of bits for each line of a."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    state = whole
+    for x in a:
+        hit = state & masks.get(x, 0)
+        state = ((state + hit) | (state - hit)) & whole
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_by_halves(a: list[int], b: list[int]) -> list[int]:
+    """As common_lines, however often lines repeat: a is halved, and b where both halves then have most in common."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [0] if a[0] in b else []
+    mid = len(a) // 2
+    j = int((prefix_lengths(a[:mid], b) + prefix_lengths(a[mid:][::-1], b[::-1])[::-1]).argmax())
+    return common_by_halves(a[:mid], b[:j]) + [mid + k for k in common_by_halves(a[mid:], b[j:])]
+
+
+Page = tuple  # page_id, url, tag, host, path, hashes and sizes (characters * 4 + place) of all lines, own lines, copies of the row, whether it is settled
 
 
 def alike(a: str, b: str) -> int:
@@ -224,47 +277,80 @@ def alike(a: str, b: str) -> int:
     return n
 
 
-def to_delete(page: Page, before: Page | None, after: Page | None) -> list[int]:
-    """The numbers of the page's lines that its nearest neighbour shares and that aren't article text."""
+def to_delete(page: Page, before: Page | None, after: Page | None) -> set[int]:
+    """The numbers of the page's lines that differencing deletes."""
     near = [p for p in (before, after) if p is not None and p[3] == page[3]]
     near.sort(key=lambda p: -alike(p[4], page[4]))
-    total = sum(s >> 2 for s in page[6])
+    places, sizes = [s & 3 for s in page[6]], [s >> 2 for s in page[6]]
+    own = own_places(places)
+    total = sum(n for n, p in zip(sizes, places) if p in own)
+    gone: set[int] = set()
     for p in near:
         shared = common_lines(page[5], p[5])
-        if 2 * sum(page[6][i] >> 2 for i in shared) < total:
-            return [i for i in shared if page[6][i] & 3 != ARTICLE]
-    return []
+        gone |= {i for i in shared if places[i] not in own}
+        common = sum(sizes[i] for i in shared if places[i] in own)
+        if 10 * common < (9 if own == (OUTSIDE,) else 5) * total:
+            return gone | {i for i in shared if places[i] in own and places[i] != ARTICLE}
+    return gone
+
+
+def result(page: Page, gone: set[int]) -> tuple:
+    """page_id, url, text, lines deleted by differences, further lines that structure leaves out."""
+    places = [s & 3 for s in page[6]]
+    own = own_places(places)
+    at = [i for i, p in enumerate(places) if p in own]
+    text = "\n\n".join(t for i, t in zip(at, page[7]) if i not in gone)
+    return page[0], page[1], text, len(gone), len(places) - len(at) - sum(places[i] not in own for i in gone)
 
 
-_PAGE = "page_id long, url string, tag long, host string, path string, hashes array<long>, sizes array<long>"
-_KEY_KINDS = [pa.int64(), pa.string(), pa.int64()]
-_PAGE_KINDS = [*_KEY_KINDS, pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_KEY = ["host", "path", "page_id", "url", "tag"]
+_PAGE = "page_id long, url string, tag long, host string, path string, hashes array<long>, sizes array<long>, lines array<string>, copies long, settled boolean"
+_PAGE_NAMES = [x.split()[0] for x in _PAGE.split(", ")]
+_PAGE_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.bool_()]
+_OUT = "out_id long, out_url string, text string, n_deleted long, n_structural long, times long"
+_OUT_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+_OUT_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def _batch(rows: list[tuple], names: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in names.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """The pages' keys, lines, and what pairing needs of them."""
-    names = _PAGE + ", lines array<string>"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 rows = []
                 for page_id, url, html in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
                     lines = lines_of(html)
-                    data = [t.encode() for t, _ in lines]
-                    rows.append((page_id, url, xxh3_64_intdigest((html or "").encode()) - (1 << 63), *place_of(url),
-                                 [xxh3_64_intdigest(d) - (1 << 63) for d in data], [len(t) * 4 + p for t, p in lines], [t for t, _ in lines]))
-                yield _batch(rows, names, [*_PAGE_KINDS, pa.list_(pa.string())])
-
-    return pages.mapInArrow(run, names)
+                    own = own_places([p for _, p in lines])
+                    rows.append((page_id, url, xxh3_64_intdigest((html or "").encode()) - (1 << 63), *place_of(url), [xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in lines],
+                                 [len(t) * 4 + p for t, p in lines], [t for t, p in lines if p in own], 1, False))
+                yield _batch(rows, _PAGE_NAMES, _PAGE_KINDS)
+
+    return pages.mapInArrow(run, _PAGE)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:
+    """The pages, of equal ones next to each other one, with their number."""
+    held: list | None = None
+    for row in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
+        if held and row[:3] == tuple(held[:3]):
+            held[8] += row[8]
+            held[9] = held[9] or row[9]
+            continue
+        if held:
+            yield tuple(held)
+        held = list(row)
+    if held:
+        yield tuple(held)
 
 
-def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple[tuple, tuple | None, tuple | None]]:
+def _neighbours(rows: Iterator[Page]) -> Iterator[tuple[Page, Page | None, Page | None]]:
     before = here = None
     for after in rows:
         if here is not None:
@@ -274,60 +360,51 @@ def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple[tuple, tuple | None, tu
         yield here, before, None
 
 
-def deletions(keys: DataFrame) -> DataFrame:
-    """(page_id, url, tag, gone) for pages that lose lines."""
-    order = ["host", "path", "page_id", "url", "tag"]
-    out = "page_id long, url string, tag long, gone array<long>, edge int, page struct<host: string, path: string, hashes: array<long>, sizes: array<long>>"
-    page_kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-    kinds = [*_KEY_KINDS, pa.list_(pa.int64()), pa.int32(), page_kind]
+def settled(ordered: DataFrame, last: bool) -> DataFrame:
+    """From pages in order: results of those that have both neighbours here (of all, if last), and the pages at the ends of partitions with those next to them.
 
-    def row(page: Page, gone: list[int], edge: int) -> tuple:
-        return (*page[:3], gone, edge, dict(zip(("host", "path", "hashes", "sizes"), page[3:])) if edge else None)
+    A page that is there for another one's sake counts as settled."""
+    ends = _OUT + ", " + _PAGE
+    none_out, none_page = (None,) * len(_OUT_NAMES), (None,) * len(_PAGE_NAMES)
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edge rows carry their page: 2 if a neighbour is in another partition, 1 for the page next to such a one."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        recent: list[tuple[Page, bool]] = []
-        for k, (page, before, after) in enumerate(_neighbours(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))):
-            recent = [*recent[-1:], (page, before is None or after is None)]
-            if before is None or after is None:
-                held.append(row(page, [], 2))
-                if after is None and len(recent) > 1 and not recent[0][1] and k > 2:
-                    held.append(row(recent[0][0], [], 1))
-            else:
-                if k == 1:
-                    held.append(row(page, [], 1))
-                if gone := to_delete(page, before, after):
-                    held.append(row(page, gone, 0))
-            if len(held) >= 1000:
-                yield _batch(held, "page_id, url, tag, gone, edge, page", kinds)
+        previous: Page | None = None
+        for k, (page, before, after) in enumerate(_neighbours(_each(batches))):
+            outer = not last and (before is None or after is None)
+            if not page[9] and not outer:
+                held.append((*result(page, to_delete(page, before, after)), page[8], *none_page))
+            if outer:
+                held.append((*none_out, *page))
+                if after is None and k > 2:
+                    held.append((*none_out, *previous[:9], True))
+            elif not last and k == 1:
+                held.append((*none_out, *page[:9], True))
+            previous = page
+            if len(held) >= 500:
+                yield _batch(held, _OUT_NAMES + _PAGE_NAMES, _OUT_KINDS + _PAGE_KINDS)
                 held = []
         if held:
-            yield _batch(held, "page_id, url, tag, gone, edge, page", kinds)
+            yield _batch(held, _OUT_NAMES + _PAGE_NAMES, _OUT_KINDS + _PAGE_KINDS)
 
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        pages = ((*r[:3], r[4]["host"], r[4]["path"], r[4]["hashes"], r[4]["sizes"], r[3]) for r in rows)
-        found = [(*p[:3], gone) for p, before, after in _neighbours(pages) if p[7] == 2 and (gone := to_delete(p, before, after))]
-        yield _batch(found, "page_id long, url string, tag long, gone x", [*_KEY_KINDS, pa.list_(pa.int64())])
-
-    ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order)
-    first = written(ranged.select("page_id", "url", "tag", "host", "path", "hashes", "sizes").mapInArrow(inside, out))
-    edges = first.where("edge > 0").select("page_id", "url", "tag", "edge", "page")
-    edges = edges.coalesce(1).sortWithinPartitions("page.host", "page.path", "page_id", "url", "tag").mapInArrow(between, "page_id long, url string, tag long, gone array<long>")
-    return first.where("edge = 0").select("page_id", "url", "tag", "gone").unionByName(edges)
+    return ordered.select(*_PAGE_NAMES).mapInArrow(run, ends)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text (lines joined by two line ends), n_chars, n_deleted (lines that a neighbour shares)."""
+    """page_id, url, text (lines joined by two line ends), n_chars, n_deleted (lines deleted by differences), n_structural (further lines left out by structure)."""
     pages = pick(pages, page_id="long", url="string", html="string")
-    read = written(parsed(pages))
-    gone = written(deletions(read.drop("lines")).dropDuplicates(["page_id", "url", "tag"]))
-    n = gone.count()
-    gone = gone.toDF("p", "u", "t", "gone")
-    if n <= SMALL_ROWS:
-        gone = F.broadcast(gone)
-    joined = read.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("tag") == F.col("t")), "left") if n else read.withColumn("gone", F.lit(None).cast("array<long>"))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i.cast("long"))))
-    out = joined.select("page_id", "url", F.array_join(kept, "\n\n").alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("n"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.greatest("n", F.lit(0)).cast("long").alias("n_deleted"))
+    rows, done = written(parsed(pages)), None
+    ordered = rows.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY)
+    while True:
+        round_ = written(settled(ordered, last=False))
+        own = round_.where("times is not null").select(*_OUT_NAMES)
+        done = own if done is None else done.unionByName(own)
+        rows = round_.where("times is null").select(*_PAGE_NAMES)
+        n = rows.count()
+        if n <= LAST_ROWS:
+            break
+        ordered = rows.repartitionByRange(-(-4 * n // LAST_ROWS), *_KEY).sortWithinPartitions(*_KEY)
+    done = done.unionByName(settled(rows.repartition(1).sortWithinPartitions(*_KEY), last=True).select(*_OUT_NAMES))
+    each = done.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(F.col("out_id").alias("page_id"), F.col("out_url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"), "n_deleted", "n_structural")

@@ -2,11 +2,14 @@
 
 import itertools
 import math
+import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pytest
 
 from comparing import SMALL, against_sql
 from pyspark.sql import functions as F
@@ -59,10 +62,66 @@ def test_rendered_conversations_are_legal_and_chunks_change_nothing(spark, monke
 
 def test_main_text():
     page = "<html><body><nav><a href=x>Menu item</a></nav><div class='ad'>Buy now.</div><article><h1>Title &amp; more</h1><p>First  <b>part</b>.<p>Second.</p></article><footer>Imprint.</footer><div id='comments'><p>I disagree.</p></div></body></html>"
-    assert [t for t, _ in html_main.lines_of(page)] == ["Title & more", "First part.", "Second."]
+    lines = html_main.lines_of(page)
+    assert [t for t, p in lines if p in html_main.own_places([p for _, p in lines])] == ["Title & more", "First part.", "Second."]
+    assert [t for t, p in lines if p == html_main.NAMED] == ["Menu item", "Buy now.", "Imprint.", "I disagree."]
     assert html_main.common_lines([1, 2, 3, 4], [2, 9, 4, 1]) == [1, 3]
 
 
+def longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def is_subsequence(part, whole):
+    rest = iter(whole)
+    return all(x in rest for x in part)
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 3, 20, 200])
+def test_common_lines_against_the_table(symbols):
+    rng = random.Random(symbols)
+    for _ in range(60):
+        a, b = ([rng.randrange(symbols) for _ in range(rng.randrange(40))] for _ in range(2))
+        for found in (html_main.common_lines(a, b), html_main.common_by_halves(a, b)):
+            assert found == sorted(set(found)) and len(found) == longest(a, b) and is_subsequence([a[i] for i in found], b)
+
+
+def test_many_equal_lines_are_aligned_in_time():
+    begin = time.process_time()
+    a, b = [1, 2] * 4000, [2, 1, 3] * 3000
+    assert len(html_main.common_lines(a, b)) >= 6000 - 10
+    assert time.process_time() - begin < 20
+
+
+def test_pages_of_a_longer_host(spark):
+    """Menus, notices and footers in plain elements, no article: only what a page alone has is left; settled alike however the pages are partitioned."""
+    page = lambda k: "<body>" + "".join(f"<div>Menu entry {j}</div>" for j in range(12)) + f"<div>Breaking: notice of the day.</div><div>Story {k} opens here, and it goes on for a while with words of its own.</div><div>Second part of {k}, again of some length, so that it is text.</div><div>All rights reserved by the host.</div></body>"
+    rows = [(h * 1000 + k, f"http://h{h}.org/s/{k:03}", page(h * 1000 + k)) for h in range(3) for k in range(40)]
+    rows += rows[:5]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {i} opens here, and it goes on for a while with words of its own.\n\nSecond part of {i}, again of some length, so that it is text." for i, _, _ in rows}
+    for n in (1, 4, 90):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = html_main.extracted(pages).collect()
+        assert sorted((r.page_id, r.text, r.n_deleted) for r in got) == sorted((i, want[i], 14) for i, _, _ in rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_lines_of_articles_that_neighbours_share(spark):
+    """Furniture inside articles goes where pages share it, sentences stay; copies tell nothing; adverts of one page go by structure."""
+    page = lambda k: f"<nav>Home</nav><article><p>Share this</p><p>Both quote the same sentence of a poet here.</p><p>Text {k} is long enough to be the most of its page, with more words to follow.</p></article><div class='ad'>Buy {k}</div>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(4)] + [(9, "http://copy.org/1", page(7)), (10, "http://copy.org/2", page(7))]
+    got = {r.page_id: r for r in html_main.extracted(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, Text string")).collect()}
+    for k in range(4):
+        assert got[k].text.split("\n\n") == ["Both quote the same sentence of a poet here.", f"Text {k} is long enough to be the most of its page, with more words to follow."]
+        assert (got[k].n_deleted, got[k].n_structural) == (2, 1)
+    assert got[9].text.startswith("Share this") and got[9].n_deleted == 2
+
+
 def test_pages_of_a_host_lose_shared_lines(spark):
     page = lambda k: f"<body><div>Shared line of all pages.</div><div>Own text number {k}, long enough to tell this page from others, and then some more words.</div></body>"
     rows = [(k, f"http://h.org/a/{k}", page(k)) for k in range(5)] + [(9, None, None), (10, "http://other.net/", page(0)), (4, "http://h.org/a/4", page(4))]
