@@ -17,29 +17,30 @@ SPAN, GRAM = 100, 32
 CHOICES = SPAN - GRAM + 1
 
 _rng = np.random.Generator(np.random.PCG64(77003))
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
-_STEP = _rng.integers(0, 1 << 64, 8, np.uint64) | np.uint64(1)
+#: Two of each, for two hashes that have nothing to do with each other.
+_BYTE = _rng.integers(0, 1 << 64, (2, 256), np.uint64)
+_STEP = _rng.integers(0, 1 << 64, (2, 8), np.uint64) | np.uint64(1)
 _LOW = np.uint64(127)
 
 
-def _joined(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    out = a * _STEP[k]
+def _joined(a: np.ndarray, b: np.ndarray, step: np.uint64) -> np.ndarray:
+    out = a * step
     out += b
     out ^= out >> np.uint64(29)
     return out
 
 
-def hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashes(data: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each position, the hash of the GRAM bytes and of the SPAN bytes from there."""
-    level, by = _BYTE[data], {1: None}
+    level, step, by = _BYTE[salt][data], _STEP[salt], {1: None}
     by[1] = level
     size, k = 1, 0
     while size * 2 <= 64:
-        level = _joined(level[:-size], level[size:], k)
+        level = _joined(level[:-size], level[size:], step[k])
         size, k = size * 2, k + 1
         by[size] = level
     n = len(data) - SPAN + 1
-    whole = _joined(_joined(by[64][:n], by[32][64 : 64 + n], 6), by[4][96 : 96 + n], 7)
+    whole = _joined(_joined(by[64][:n], by[32][64 : 64 + n], step[6]), by[4][96 : 96 + n], step[7])
     return by[GRAM], whole
 
 

@@ -5,11 +5,14 @@ document with a smaller id, or earlier in the same document.
 
 1. Texts are cut into runs of string starts by content-defined anchors
    (anchors.py); equal strings lie in runs that have the same anchor.
-2. Blocks of consecutive texts become sequences of run symbols, one for each
-   distinct context.  Their suffix array, made by linear grouping
-   (suffix_array.py), brings equal runs together; all but the first go, and
-   only first ones are shuffled, so that a string that very many documents
-   share is at most one row a block.
+2. Blocks of texts, put in the order of their documents, become sequences of
+   run symbols, one for each distinct context.  Their suffix array, made by
+   linear grouping (suffix_array.py), gives for each run the longest sequence of
+   runs from there that also begins earlier in the block: neighbours in the
+   array have the longest common starts.  The block is then parsed from left to
+   right; a sequence that has begun earlier goes as a whole, as one place, and
+   only runs that are new to the block are shuffled, so that a string that very
+   many documents share is at most one row a block.
 3. Runs meet, sorted by anchor and context; of equal ones again all but the
    first go.  A task goes over an anchor's runs one by one and holds none.
 4. What is left may match in part: different contexts around one anchor.
@@ -17,8 +20,9 @@ document with a smaller id, or earlier in the same document.
    an anchor with more than HOT contexts is dealt out by single strings.
 5. Ranges are gathered by document and cut out of its bytes.
 
-Anchors are compared by 32 bits of their hash (chance hits only add work in
-step 4) and contexts by 64 more; strings in step 4 by 64 bits as well.
+Equal contexts are told by 31 bits of their anchors' hashes and 64 of their
+own, strings of one anchor in step 4 by their bytes, and single strings of hot
+anchors by 128 bits of two hashes.
 
 Nulls: a null text is empty; a null id counts as the smallest.  Repeated rows
 are one document, returned as often as given; different texts with one id are
@@ -37,14 +41,17 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .anchors import SPAN
-from .common import byte_texts, pick, written
+from .common import byte_texts, lean, pick, written
 from .suffix_array import suffix_array
 
 BLOCK_RUNS, CHUNK_BYTES, HOT = 50_000, 16_000, 4096
 NULL_ID = -(1 << 63)
 
-#: A place is a string start times 128 plus the number of starts from there on.
-_BITS = 7
+#: A place is a string start, then the number of starts from there on in the low bits.
+_BITS = 24
+_COUNT = (1 << _BITS) - 1
+#: Hot anchors are sent to all tasks if there are no more of them.
+FEW_HOT = 100_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -55,20 +62,57 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc", (F.xxhash64("text") if several else F.lit(0).cast("long")).alias("tag"), "text")
 
 
-def first_in_block(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which positions have the smallest order among those with their symbol."""
-    _, ranks = np.unique(symbols, return_inverse=True)
-    by_suffix = np.array(suffix_array(ranks.tolist()), np.int64)
-    sorted_ranks = ranks[by_suffix]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_ranks[1:] != sorted_ranks[:-1]]))
-    least = np.minimum.reduceat(order[by_suffix], starts)
-    out = np.zeros(len(symbols), bool)
-    out[by_suffix] = order[by_suffix] == least[sorted_ranks]
+def longest_earlier(symbols: np.ndarray) -> list[int]:
+    """For each position, the length of the longest sequence from there that also begins at an earlier position (they may overlap)."""
+    _, ranks, counts = np.unique(symbols, return_inverse=True, return_counts=True)
+    text, n = ranks.tolist(), len(symbols)
+    again = (counts[ranks] > 1).tolist()
+    out = [0] * n
+    # Suffixes whose first symbol is the only one of its kind share nothing; the others stay neighbours.
+    order = [i for i in suffix_array(text) if again[i]]
+    above, below = [-1] * n, [-1] * n
+    for x, y in zip(order, order[1:]):
+        below[x], above[y] = y, x
+    shared = [0] * n  # with the suffix above
+    h = 0
+    for i in range(n):
+        j = above[i]
+        if j < 0:
+            h = 0
+            continue
+        while i + h < n and j + h < n and text[i + h] == text[j + h]:
+            h += 1
+        shared[i] = h
+        h -= h > 0
+    # From the last position to the first: once the later ones are taken out, neighbours are earlier.
+    for i in range(n - 1, -1, -1):
+        if again[i]:
+            up, down, own = above[i], below[i], shared[i]
+            under = shared[down] if down >= 0 else 0
+            out[i] = max(own, under)
+            if up >= 0:
+                below[up] = down
+            if down >= 0:
+                above[down], shared[down] = up, min(own, under)
+    return out
+
+
+def parsed(symbols: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of sequences of symbols that begin earlier, from left to right; none goes past the end of its text (ends: for each position)."""
+    out, i, lengths = [], 0, longest_earlier(symbols)
+    stop = ends.tolist()
+    while i < len(lengths):
+        if k := lengths[i]:
+            out.append((i, min(i + k, stop[i], i + _COUNT // SPAN)))  # a run has fewer starts than SPAN
+            i = out[-1][1]
+        else:
+            i += 1
     return out
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of texts (doc, tag, text) as (doc, tag, place, anchor, context); of those that repeat in a block, all but the first get the anchor -1."""
+    """Runs of texts (doc, tag, text) as (doc, tag, place, anchor, context); sequences of runs that begin earlier in their block become one place with the anchor -1."""
     held: list[tuple[np.ndarray, ...]] = []
     chunk: list[tuple[int, int, bytes]] = []
     n_runs = n_bytes = 0
@@ -89,14 +133,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n_runs:
             doc, tag, place, anchor, context = (np.concatenate(x) for x in zip(*held))
             by = np.lexsort((place, tag, doc))
-            fresh = np.ones(len(by), bool)
-            fresh[1:] = (doc[by][1:] != doc[by][:-1]) | (tag[by][1:] != tag[by][:-1]) | (place[by][1:] != place[by][:-1])
-            order = np.zeros(len(by), np.int64)
-            order[by] = np.cumsum(fresh)
-            first = first_in_block(context, order)
-            anchor[~first] = -1
-            context[~first] ^= place[~first] * 0x2545F491 + doc[~first]  # these meet no one; spread them
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tag, place, anchor, context)], ["doc", "tag", "place", "anchor", "context"])
+            doc, tag, place, anchor, context = (x[by] for x in (doc, tag, place, anchor, context))
+            new_text = np.ones(len(by), bool)
+            new_text[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+            fresh = new_text.copy()
+            fresh[1:] |= place[1:] != place[:-1]
+            # Repeated rows are one document.
+            doc, tag, place, anchor, context, new_text = (x[fresh] for x in (doc, tag, place, anchor, context, new_text))
+            edges = np.append(np.flatnonzero(new_text), len(doc))
+            keep = np.ones(len(doc), bool)
+            for begin, end in parsed(context, np.repeat(edges[1:], np.diff(edges))):
+                keep[begin + 1 : end] = False
+                last = int(place[end - 1])
+                lo = int(place[begin]) >> _BITS
+                place[begin] = (lo << _BITS) + (last >> _BITS) + (last & _COUNT) - lo
+                anchor[begin] = -1
+                context[begin] ^= place[begin] * 0x2545F491 + doc[begin]  # these meet no one; spread them
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, tag, place, anchor, context)], ["doc", "tag", "place", "anchor", "context"])
         held.clear()
         n_runs = 0
 
@@ -114,6 +167,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from block()
 
 
+@lean
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that texts (doc, tag, text, open) list."""
     names = ["doc", "tag", "place", "anchor", "hot", "bytes"]
@@ -122,24 +176,45 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in names]
         for doc, tag, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2)), batch.column(3).to_pylist()):
             for r in runs:
-                lo, count = r["place"] >> _BITS, r["place"] & 127
+                lo, count = r["place"] >> _BITS, r["place"] & _COUNT
                 for col, x in zip(cols, (doc, tag, r["place"], r["anchor"], r["hot"], text[lo : lo + count - 1 + SPAN])):
                     col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
-def _strings(places: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each string in the runs: the run's number and the string's hash."""
-    count = places & 127
-    joined = np.frombuffer(b"".join(data), np.uint8)
+def _strings(places: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each string in the runs: the run's number, and where it begins in the joined bytes, which are the third."""
+    count = places & _COUNT
     size = count + SPAN - 1
     begin = np.cumsum(size) - size
-    whole = anchors.hashes(joined)[1]
     run = np.repeat(np.arange(len(places)), count)
     inner = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    return run, whole[begin[run] + inner]
-
-
+    return run, begin[run] + inner, np.frombuffer(b"".join(data), np.uint8)
+
+
+def seen_before(at: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Which of the strings that begin at these places are equal to one before them in the list."""
+    whole = anchors.hashes(joined)[1][at]
+    by = np.argsort(whole, kind="stable")
+    same = np.flatnonzero(whole[by[1:]] == whole[by[:-1]]) + 1
+    again = np.zeros(len(at), bool)
+    strings = np.lib.stride_tricks.sliding_window_view(joined, SPAN) if len(joined) >= SPAN else joined.reshape(0, 1)
+    for k in range(0, len(same), 10_000):
+        x, y = at[by[same[k : k + 10_000]]], at[by[same[k : k + 10_000] - 1]]
+        if not (strings[x] == strings[y]).all():
+            break  # different strings with one hash: compare all by their bytes
+    else:
+        again[by[same]] = True
+        return again
+    known: set[bytes] = set()
+    for k, x in enumerate(at.tolist()):
+        string = joined[x : x + SPAN].tobytes()
+        again[k] = string in known
+        known.add(string)
+    return again
+
+
+@lean
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From runs sorted by anchor, then (doc, tag, place): the places of strings that an earlier run of the anchor has."""
 
@@ -151,10 +226,8 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = rows.column(5).to_pylist()
         for at in _cuts(anchor[keep], 2000):
             part = keep[at[0] : at[1]]
-            run, whole = _strings(place[part], [data[i] for i in part])
-            by = np.argsort(whole, kind="stable")
-            again = np.zeros(len(whole), bool)
-            again[by[1:]] = whole[by[1:]] == whole[by[:-1]]
+            run, at_byte, joined = _strings(place[part], [data[i] for i in part])
+            again = seen_before(at_byte, joined)
             # Strings next to each other that go become one place.
             lone = np.flatnonzero(again & np.concatenate([[True], ~again[:-1] | (run[1:] != run[:-1])]))
             last = np.flatnonzero(again & np.concatenate([~again[1:] | (run[1:] != run[:-1]), [True]]))
@@ -187,15 +260,18 @@ def _cuts(keys: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+@lean
 def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
             doc, tag, place = (batch.column(k).to_numpy() for k in range(3))
-            run, whole = _strings(place, batch.column(5).to_pylist())
+            run, at, joined = _strings(place, batch.column(5).to_pylist())
             inner = np.arange(len(run)) - np.searchsorted(run, run)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[run], tag[run], (((place[run] >> _BITS) + inner) << _BITS) + 1, whole.view(np.int64))], ["doc", "tag", "place", "string"])
+            one, two = (anchors.hashes(joined, salt)[1][at].view(np.int64) for salt in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[run], tag[run], (((place[run] >> _BITS) + inner) << _BITS) + 1, one, two)], ["doc", "tag", "place", "string", "more"])
 
 
+@lean
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From runs sorted by anchor, context, doc, tag, place: those that go, and as open, the first of each context of an anchor that has several.
 
@@ -246,16 +322,18 @@ def removed_places(docs: DataFrame) -> DataFrame:
     met = written(met.mapInArrow(_met, "doc long, tag long, place long, anchor long, open boolean"))
 
     open_runs = met.where("open")
-    hot = open_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor", F.lit(True).alias("hot"))
+    hot = written(open_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor", F.lit(True).alias("hot")))
+    if hot.count() <= FEW_HOT:
+        hot = F.broadcast(hot)
     open_runs = open_runs.join(hot, "anchor", "left").select("doc", "tag", "place", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     open_runs = open_runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "anchor", "hot")).alias("open"))
     parts = written(docs.join(open_runs, ["doc", "tag"]).select("doc", "tag", "text", "open").mapInArrow(_contexts, "doc long, tag long, place long, anchor long, hot boolean, bytes binary"))
 
     few = written(parts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "place").mapInArrow(_resolved, "doc long, tag long, place long"))
     if parts.where("hot").limit(1).count():
-        many = written(parts.where("hot").mapInArrow(_single_strings, "doc long, tag long, place long, string long"))
-        least = many.groupBy("string").agg(F.min(F.struct("doc", "tag", "place")).alias("least"))
-        many = many.join(least, "string").where(F.struct("doc", "tag", "place") != F.col("least"))
+        many = written(parts.where("hot").mapInArrow(_single_strings, "doc long, tag long, place long, string long, more long"))
+        least = many.groupBy("string", "more").agg(F.min(F.struct("doc", "tag", "place")).alias("least"))
+        many = many.join(least, ["string", "more"]).where(F.struct("doc", "tag", "place") != F.col("least"))
         few = few.unionByName(many.select("doc", "tag", "place"))
     return met.where("not open").select("doc", "tag", "place").unionByName(few)
 
@@ -268,7 +346,7 @@ def cut_out(text: bytes, places: list[int] | None) -> tuple[int, int, bytes]:
     lo = p >> _BITS
     step = np.zeros(len(text) + 1, np.int64)
     np.add.at(step, lo, 1)
-    np.add.at(step, lo + (p & 127) - 1 + SPAN, -1)
+    np.add.at(step, lo + (p & _COUNT) - 1 + SPAN, -1)
     gone = np.cumsum(step[:-1]) > 0
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -279,6 +357,7 @@ def deduplicated(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     docs = keyed(docs)
     gone = written(removed_places(docs).groupBy("doc", "tag").agg(F.collect_list("place").alias("places")))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -1,7 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from seqlattice.llm import anchors, substrings
 
@@ -69,6 +73,34 @@ def test_repeated_rows_are_one_document(spark):
     assert got == sorted([(1, 0, n), (1, 0, n), (2, n, n), (2, 0, m), (2, 0, m)])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40))
+def test_longest_earlier_sequences(symbols):
+    """A sort of another kind in place of the suffix array fails here: neighbours then don't have the longest common starts."""
+    n = len(symbols)
+    want = [max((next((h for h in range(n - i) if symbols[j + h] != symbols[i + h]), n - i) for j in range(i)), default=0) for i in range(n)]
+    assert substrings.longest_earlier(np.array(symbols, np.int64)) == want
+
+
+def test_a_repeated_passage_is_one_place():
+    """Many runs that begin together earlier leave a block as one place, whatever lies around them."""
+    rng = random.Random(2)
+    passage = text(rng, 400)
+    docs = [(k, 0, f"{text(rng, 30)} {passage} {text(rng, 30)}") for k in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d[k] for d in docs]) for k in range(3)], ["doc", "tag", "text"])
+    rows = [r for b in substrings._cut(iter([batch])) for r in b.to_pylist()]
+    gone = [r for r in rows if r["anchor"] == -1]
+    assert sorted(r["doc"] for r in gone) == [1, 2, 3, 4, 5]
+    assert all((r["place"] & substrings._COUNT) > len(passage.encode()) - 2 * SPAN for r in gone)
+
+
+def test_strings_with_one_hash_are_told_apart(monkeypatch):
+    real = anchors.hashes
+    monkeypatch.setattr(anchors, "hashes", lambda data, salt=0: tuple(x * np.uint64(0) for x in real(data, salt)))
+    joined = np.frombuffer(b"a" * 120 + b"b" * 120 + b"a" * 100, np.uint8)
+    assert substrings.seen_before(np.array([0, 120, 240]), joined).tolist() == [False, False, True]
+
+
 def test_empty_and_clashing_names(spark):
     assert substrings.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "k" * 300, "other", 5)], "doc_id long, text string, TEXT string, place int")
