@@ -3,13 +3,17 @@
 Texts become word sequences.  From every window of consecutive k-gram hashes
 the smallest is kept as a fingerprint; two texts that share a span of
 GUARANTEE words or more therefore share a fingerprint inside it.  Document
-fingerprints are looked up among those of the benchmark, and each hit is
-extended to both sides, word by word, so that hash collisions can't count.
-
-The benchmark is cut into blocks of at most BLOCK_CHARS characters (a single
-longer item makes a block of its own), and only a block is ever sent to the
-executors.  One block needs no shuffle; with more, the documents are read once
-a block and the hit ranges of a document are merged.
+fingerprints are joined with those of the benchmark, and each hit is extended
+to the windows of GUARANTEE words around it, which are compared word by word
+with the benchmark's, so that hash collisions can't count.  Equal windows of
+the benchmark are one, with all the items that have it, so that a passage that
+very many items share costs a document no more than another.
+
+The benchmark is read in blocks of at most BLOCK_CHARS characters (a single
+longer item makes a block of its own); the driver and each executor hold one
+block at a time, and it is sent out, used and given up before the next is
+read.  One block needs no shuffle; with more, the documents are read once a
+block and the hit ranges of a document are merged.
 
 Nulls: a null document or item text has no words; a null doc_id passes
 through; an item without id marks words as hit and isn't listed.  Repeated
@@ -21,14 +25,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, mix64, pick
+from .common import byte_texts, lean, mix64, numbered, pick, small_batches, written
 
 GRAM, WINDOW = 5, 4
 GUARANTEE = GRAM + WINDOW - 1
@@ -44,10 +49,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(ids: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """A hash for each k consecutive word numbers."""
     n = len(ids) - k + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    out = np.full(max(n, 0), salt, np.uint64)
     for i in range(k):
         out = mix64(out * np.uint64(0x9E6C63D0876A9A35) + ids[i : i + n].astype(np.uint64) + np.uint64(1))
     return out
@@ -59,8 +64,7 @@ def fingerprints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n <= 0:
         return none
-    blank = np.concatenate([[0], np.cumsum(ids == 0)])
-    start = np.flatnonzero(blank[GUARANTEE:] == blank[:-GUARANTEE])
+    start = np.flatnonzero(whole_windows(ids))
     if not len(start):
         return none
     hashes = gram_hashes(ids, GRAM)
@@ -85,9 +89,8 @@ class Block:
         gap = np.zeros(1, np.int64)
         self.text = np.concatenate([gap, *(x for _, r in long for x in (r, gap))])
         self.owner = np.concatenate([gap, *(np.full(len(r) + 1, i) for i, r in long)]) if long else gap
-        at, hashes = fingerprints(self.text)
-        order = np.argsort(hashes, kind="stable")
-        self.at, self.hashes = at[order], hashes[order]
+        self.hashes = np.unique(fingerprints(self.text)[1])
+        self._windows()
         self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for i, r in enumerate(rows):
             if len(r) < GUARANTEE:
@@ -109,55 +112,74 @@ class Block:
                     found.update(owners)
         return hit, found
 
+    def _windows(self) -> None:
+        """The distinct windows of the long items: their hashes in order, a place of each in the text, and the number of its set of owners."""
+        starts = np.flatnonzero(whole_windows(self.text))
+        self.salt = 0
+        while True:
+            hashes = gram_hashes(self.text, GUARANTEE, self.salt)[starts]
+            by = np.argsort(hashes, kind="stable")
+            same = np.flatnonzero(hashes[by[1:]] == hashes[by[:-1]])
+            inner = np.arange(GUARANTEE)
+            if all((self.text[starts[by[k + 1]][:, None] + inner] == self.text[starts[by[k]][:, None] + inner]).all() for k in np.array_split(same, 1 + len(same) // 10_000)):
+                break
+            self.salt += 1  # two windows with one hash
+        self.window, first = np.unique(hashes[by], return_index=True)
+        self.place = starts[by][first]
+        number, owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by)))), self.owner[starts[by]]
+        pairs = np.unique(np.stack([number, owner]), axis=1) if len(number) else np.zeros((2, 0), np.int64)
+        edges = np.searchsorted(pairs[0], np.arange(len(first) + 1))
+        sets: dict[tuple[int, ...], int] = {}
+        self.owners = np.array([sets.setdefault(tuple(pairs[1, a:b].tolist()), len(sets)) for a, b in zip(edges, edges[1:])], np.int64)
+        self.sets = list(sets)
+
     def _long(self, ids: np.ndarray, hit: np.ndarray, found: set[int]) -> None:
         at, hashes = fingerprints(ids)
-        if not len(at) or not len(self.hashes):
+        at = at[np.isin(hashes, self.hashes)] if len(self.hashes) else at[:0]
+        if not len(at):
             return
-        low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
-        done: dict[int, int] = {}
-        for k in np.flatnonzero(high > low):
-            i = int(at[k])
-            for j in self.at[low[k] : high[k]].tolist():
-                if done.get(j - i, -1) >= i:
-                    continue
-                begin, end = extended(ids, self.text, i, j)
-                done[j - i] = end
-                if end - begin >= GUARANTEE:
-                    hit[begin:end] = True
-                    found.add(int(self.owner[j]))
-
-
-def extended(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int = 32) -> tuple[int, int]:
-    """The longest run of equal, known words through a[i] and b[j]: its begin and end in a."""
-    end, q = i, j
-    while end < len(a):
-        n = min(step, len(a) - end, len(b) - q)
-        bad = np.flatnonzero((a[end : end + n] != b[q : q + n]) | (a[end : end + n] == 0))
-        if len(bad):
-            end += int(bad[0])
-            break
-        if not n:
-            break
-        end, q = end + n, q + n
-    begin, q = i, j
-    while begin > 0 and q > 0 and a[begin - 1] == b[q - 1] != 0:
-        begin, q = begin - 1, q - 1
-    return begin, max(end, begin)
-
-
-def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
-    """The items, in blocks; with the size of all checked first."""
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS) or 1
-    if n == 1:
-        return [benchmark]
-    key = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [benchmark.where(key == i) for i in range(n)]
-
-
-def loaded(spark, part: DataFrame):
-    rows = [(r.item_id, r.text) for r in part.collect()]
-    return spark.sparkContext.broadcast(Block(rows))
+        near = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
+        near = near[(near >= 0) & (near <= len(ids) - GUARANTEE)]
+        near = near[whole_windows(ids)[near]]
+        hashes = gram_hashes(ids, GUARANTEE, self.salt)[near]
+        k = np.minimum(np.searchsorted(self.window, hashes), len(self.window) - 1)
+        inner = np.arange(GUARANTEE)
+        same = self.window[k] == hashes
+        near, k = near[same], k[same]
+        same = (ids[near[:, None] + inner] == self.text[self.place[k][:, None] + inner]).all(axis=1)
+        hit[near[same][:, None] + inner] = True
+        for number in np.unique(self.owners[k[same]]).tolist():
+            found.update(self.sets[number])
+
+
+def whole_windows(ids: np.ndarray) -> np.ndarray:
+    """Whether the GUARANTEE words from each place on are all known."""
+    blank = np.concatenate([[0], np.cumsum(ids == 0)])
+    return blank[GUARANTEE:] == blank[:-GUARANTEE] if len(ids) >= GUARANTEE else np.zeros(0, bool)
+
+
+Items = list[tuple[str | None, str | None]]
+
+
+def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
+    """The items (item_id, text), block by block as they are asked for."""
+    held, size = [], 0
+    for r in benchmark.toLocalIterator():
+        n = len(r.text or "")
+        if held and size + n > BLOCK_CHARS:
+            yield held
+            held, size = [], 0
+        held.append((r.item_id, r.text))
+        size += n
+    if held:
+        yield held
+
+
+def one_or_more(benchmark: DataFrame) -> tuple[Items | None, Iterable[Items]]:
+    """The only block, or None and all of them."""
+    blocks = blocks_of(pick(benchmark, item_id="string", text="string"))
+    first, second = next(blocks, []), next(blocks, None)
+    return (first, ()) if second is None else (None, chain([first, second], blocks))
 
 
 def ranges_of(hit: np.ndarray) -> list[list[int]]:
@@ -175,86 +197,80 @@ OUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 OUT_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def named(block: Block, found: set[int]) -> list[str]:
+    return [x for i in found if (x := block.names[i]) is not None]
+
+
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """What of each document occurs in the benchmark: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string")
-    parts = [loaded(spark, b) for b in blocks_of(pick(benchmark, item_id="string", text="string"))]
-    if len(parts) == 1:
-        block = parts[0]
+    only, blocks = one_or_more(benchmark)
+    if only is not None:
+        block = docs.sparkSession.sparkContext.broadcast(Block(only))
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for text in byte_texts(batch.column(1)):
                     words = words_of(text)
                     hit, found = block.value.hits(words)
-                    rows.append(summary(len(words), int(hit.sum()), [x for i in found if (x := block.value.names[i]) is not None]))
+                    rows.append(summary(len(words), int(hit.sum()), named(block.value, found)))
                 cols = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, OUT_TYPES))], OUT_NAMES)
 
         return docs.mapInArrow(run, OUT)
-    return merged(docs, parts)
 
+    # Repeated rows, which look the same, are told apart by a number of their own.
+    docs = written(docs.withColumn("row", F.expr("uuid()")))
 
-def merged(docs: DataFrame, parts: list) -> DataFrame:
-    """The same over several blocks; repeated rows of a document, which look the same, are told apart by a row number of their own."""
-    from .common import written
+    @lean
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans, names in zip(byte_texts(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3))):
+                n = len(words_of(text))
+                rows.append(summary(n, int(marked(n, spans).sum()), names or []))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, OUT_TYPES))], OUT_NAMES)
 
-    docs = written(docs.withColumn("_row", F.expr("uuid()")))
+    return docs.join(merged(docs, blocks), "row", "left").select("doc_id", "text", "spans", "names").mapInArrow(fold, OUT)
 
-    def ranges(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for text in byte_texts(batch.column(1)):
-                    words = words_of(text)
-                    hit, found = block.value.hits(words)
-                    rows.append((len(words), ranges_of(hit), [x for i in found if (x := block.value.names[i]) is not None]))
-                cols = list(zip(*rows)) if rows else [()] * 3
-                kinds = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "_row", "n_words", "spans", "names"])
 
-        return docs.mapInArrow(run, "doc_id long, _row string, n_words long, spans array<array<long>>, names array<string>")
+def marked(n: int, spans: list[list[int]] | None) -> np.ndarray:
+    hit = np.zeros(n, bool)
+    for a, b in spans or ():
+        hit[a:b] = True
+    return hit
 
-    every = ranges(parts[0])
-    for block in parts[1:]:
-        every = every.unionByName(ranges(block))
-    every = every.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("names")).alias("names"))
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for n, spans, names in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                hit = np.zeros(n, bool)
-                for a, b in spans:
-                    hit[a:b] = True
-                rows.append(summary(n, int(hit.sum()), names))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, t) for c, t in zip(cols, OUT_TYPES))], OUT_NAMES)
+def merged(docs: DataFrame, blocks: Iterable[Items]) -> DataFrame:
+    """row, spans (of words), names for the documents (row, text) that are hit; one block is used after the other."""
+    every = None
+    for items in blocks:
+        block = docs.sparkSession.sparkContext.broadcast(Block(items))
 
-    return every.mapInArrow(fold, OUT)
+        @lean
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for row, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+                    hit, found = block.value.hits(words_of(text))
+                    if hit.any():
+                        rows.append((row, ranges_of(hit), named(block.value, found)))
+                cols = list(zip(*rows)) if rows else [()] * 3
+                kinds = [pa.string(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row", "spans", "names"])
+
+        part = written(docs.select("row", "text").mapInArrow(run, "row string, spans array<array<long>>, names array<string>"))
+        block.destroy()
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("names")).alias("names"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    spark = docs.sparkSession
-    parts = [loaded(spark, b) for b in blocks_of(pick(benchmark, item_id="string", text="string"))]
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for text in byte_texts(batch.column(at)):
-                words, names = words_of(text), set()
-                for block in parts:
-                    names |= {x for i in block.value.hits(words)[1] if (x := block.value.names[i]) is not None}
-                keep.append(len(names) < 2)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return rewritten(docs, benchmark, lambda text, hit, names, cut: (len(set(names)) < 2, text, False))
 
 
 def without(text: bytes, hit: np.ndarray) -> bytes:
@@ -275,40 +291,85 @@ def unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that are hit, and n_chars, where there is one, is counted anew; a row of
     which no word is left goes.
     """
-    spark = docs.sparkSession
-    parts = [loaded(spark, b) for b in blocks_of(pick(benchmark, item_id="string", text="string"))]
-    names = docs.columns
+
+    def rid(text: bytes, hit: np.ndarray, names: list[str], cut: bool) -> tuple[bool, bytes, bool]:
+        if hit.all() or (not cut and len(set(names)) >= 2):
+            return False, text, False
+        return True, without(text, hit), True
+
+    return rewritten(docs, benchmark, rid)
+
+
+#: From a text that is hit, its hit words, the items' names and whether it has been cut: whether it stays, its text, whether that was cut just now.
+Rule = Callable[[bytes, np.ndarray, list[str], bool], tuple[bool, bytes, bool]]
+
+
+def rewritten(docs: DataFrame, benchmark: DataFrame, rule: Rule) -> DataFrame:
+    """docs after a rule has been applied to each text that is hit, and again to those that it cut."""
+    small_batches(docs.sparkSession)
+    names, schema = docs.columns, docs.schema
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def rid(text: bytes | None) -> tuple[bool, bytes | None, bool]:
-        """Whether the row stays, its text, whether that was cut."""
-        cut = False
-        while words := words_of(text):
-            hit, items = np.zeros(len(words), bool), set()
-            for block in parts:
-                own, found = block.value.hits(words)
-                hit |= own
-                items |= {x for i in found if (x := block.value.names[i]) is not None}
-            if not hit.any():
-                return True, text, cut
-            if hit.all() or (not cut and len(items) >= 2):
-                return False, text, cut
-            text, cut = without(text, hit), True
-        return True, text, cut
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [rid(text) for text in byte_texts(batch.column(at))]
-            keep, cols = pa.array([r[0] for r in rows], pa.bool_()), list(batch.columns)
-            if any(r[0] and r[2] for r in rows):
-                texts = [None if r[1] is None else r[1].decode() for r in rows]
-                cols[at] = pa.array(texts, batch.schema.field(at).type)
-                if size is not None:
-                    counts = zip(batch.column(size).to_pylist(), texts, rows)
-                    cols[size] = pa.array([len(t) if r[2] else n for n, t, r in counts], batch.schema.field(size).type)
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(keep)
-
-    return docs.mapInArrow(run, docs.schema)
+    def put(batch: pa.RecordBatch, rows: list[tuple[bool, bytes | None, bool]], width: int) -> list[pa.Array]:
+        """The batch's first columns with the rows' texts; a row tells whether it stays, its text, whether that is new."""
+        cols = list(batch.columns[:width])
+        if any(r[0] and r[2] for r in rows):
+            texts = [None if r[1] is None else r[1].decode() for r in rows]
+            cols[at] = pa.array(texts, batch.schema.field(at).type)
+            if size is not None:
+                counts = zip(batch.column(size).to_pylist(), texts, rows)
+                cols[size] = pa.array([len(t) if r[2] else n for n, t, r in counts], batch.schema.field(size).type)
+        return cols
+
+    only, blocks = one_or_more(benchmark)
+    if only is not None:
+        block = docs.sparkSession.sparkContext.broadcast(Block(only))
+
+        def through(text: bytes | None) -> tuple[bool, bytes | None, bool]:
+            stays, cut, again = True, False, True
+            while stays and again:
+                hit, found = block.value.hits(words_of(text))
+                if not hit.any():
+                    break
+                stays, text, again = rule(text, hit, named(block.value, found), cut)
+                cut |= again
+            return stays, text, cut
+
+        @lean
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [through(text) for text in byte_texts(batch.column(at))]
+                yield pa.RecordBatch.from_arrays(put(batch, rows, len(names)), batch.schema.names).filter(pa.array([r[0] for r in rows], pa.bool_()))
+
+        return docs.mapInArrow(run, schema)
+
+    # With several blocks, rounds over the texts that the round before has cut.
+    plain, _ = numbered(docs)
+    width = len(names)
+    inner = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)) + ", cut boolean, again boolean, row string"
+    rows = written(plain.withColumns({"cut": F.lit(False), "again": F.lit(True), "row": F.expr("uuid()")}))
+    done = None
+    while True:
+        hits = merged(rows.select("row", F.col(f"_{at}").cast("string").alias("text")), blocks)
+        joined = rows.join(hits, "row", "left").select(*(f"_{i}" for i in range(width)), "cut", "again", "row", "spans", "names")
+
+        @lean
+        def one_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                cuts, spans, items = (batch.column(width + k).to_pylist() for k in (0, 3, 4))
+                for text, cut, span, name in zip(byte_texts(batch.column(at)), cuts, spans, items):
+                    out.append(rule(text, marked(len(words_of(text)), span), name or [], cut) if span else (True, text, False))
+                cols = [*put(batch, out, width), pa.array([c or r[2] for c, r in zip(cuts, out)], pa.bool_()), pa.array([r[2] for r in out], pa.bool_()), batch.column(width + 2)]
+                yield pa.RecordBatch.from_arrays(cols, batch.schema.names[: width + 3]).filter(pa.array([r[0] for r in out], pa.bool_()))
+
+        after = written(joined.mapInArrow(one_round, inner))
+        settled = after.where("not again").select(*(f"_{i}" for i in range(width)))
+        done = settled if done is None else done.unionByName(settled)
+        rows = after.where("again")
+        if not rows.limit(1).count():
+            return done.toDF(*names)
+        blocks = one_or_more(benchmark)[1]
 
 
 ORACLE = r"""

@@ -98,3 +98,36 @@ def test_unleaked_over_blocks(spark, monkeypatch):
     out = decontam.unleaked(df, bench)
     assert all(not r[2] for r in brute([(r.doc_id, r.text) for r in out.collect()], items))
     assert {r[0] for r in before if not r[2]} <= {r.doc_id for r in out.collect()} <= {r[0] for r in before if not r[5]}
+
+
+def test_a_passage_of_many_items_costs_as_much_as_of_one():
+    import time
+
+    rng = random.Random(6)
+    passage = " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    words = decontam.words_of(" ".join([passage, " ".join(f"v{k}" for k in range(9))] * 200).encode())
+
+    def took(n):
+        block = decontam.Block([(f"i{k}", f"start{k} {passage} end{k}") for k in range(n)])
+        begin = time.process_time()
+        hit, found = block.hits(words)
+        assert hit.sum() == 200 * 60 and len(found) == n
+        return time.process_time() - begin
+
+    took(10)
+    assert took(2000) < 5 * took(50) + 0.1
+
+
+def test_blocks_are_given_up_one_by_one(spark, monkeypatch):
+    docs, items = make(2)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 150)
+    alive, most, real = [], [], decontam.Block.__init__
+
+    def counted(self, rows):
+        alive.append(sum(len(t or "") for _, t in rows))
+        most.append(len(rows))
+        real(self, rows)
+
+    monkeypatch.setattr(decontam.Block, "__init__", counted)
+    decontam.judged(*frames(spark, docs, items)).count()
+    assert len(alive) > 3 and all(n <= 150 or k == 1 for n, k in zip(alive, most))
