@@ -114,13 +114,18 @@ def drawn(docs: DataFrame, share_percent: int = SHARE_PERCENT, weights: Mapping[
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The drawn documents with their columns, domain, epoch and take_tokens; the text of a part is its first words, joined by spaces.
 
-    Of repeated rows that differ in take_tokens, all get the larger."""
-    parts = drawn(docs, **parameters).select("doc_id", "mark", "domain", "epoch", "n_tokens", "take_tokens")
-    parts = parts.groupBy("doc_id", "mark", "domain", "epoch", "n_tokens").agg(F.max("take_tokens").alias("take_tokens"))
+    Rows repeated with id and text are numbered, and each is drawn at most once an epoch: as many whole as drawn() has, then one in part."""
+    parts = drawn(docs, **parameters)
+    whole = F.col("take_tokens") == F.col("n_tokens")
+    parts = parts.groupBy("doc_id", "mark", "domain", "lang", "source", "epoch", "n_tokens").agg(F.sum(F.when(whole, 1).otherwise(0)).alias("p_whole"), F.max(F.when(~whole, F.col("take_tokens"))).alias("p_part"))
     rows, names = numbered(docs)
-    key, text = (F.col(f"_{names.index(c)}") for c in ("doc_id", "text"))
-    parts = parts.toDF("p_id", "p_mark", "domain", "epoch", "n_tokens", "take_tokens")
-    out = rows.join(parts, key.cast("long").eqNullSafe(F.col("p_id")) & (F.md5(F.coalesce(text.cast("string"), F.lit(""))) == F.col("p_mark")))
+    key, text, lang, source = (F.col(f"_{names.index(c)}") if c in names else F.lit(None).cast("string") for c in ("doc_id", "text", "lang", "source"))
+    rows = rows.withColumns({"r_id": key.cast("long"), "r_mark": F.md5(F.coalesce(text.cast("string"), F.lit(""))), "r_lang": F.coalesce(lang.cast("string"), F.lit("")), "r_source": F.coalesce(source.cast("string"), F.lit(""))})
+    copies = Window.partitionBy("r_id", "r_mark", "r_lang", "r_source").orderBy(F.lit(1))
+    rows = rows.withColumn("copy", F.row_number().over(copies))
+    parts = parts.toDF("p_id", "p_mark", "domain", "p_lang", "p_source", "epoch", "n_tokens", "p_whole", "p_part")
+    out = rows.join(parts, F.col("r_id").eqNullSafe(F.col("p_id")) & (F.col("r_mark") == F.col("p_mark")) & (F.col("r_lang") == F.col("p_lang")) & (F.col("r_source") == F.col("p_source")))
+    out = out.withColumn("take_tokens", F.when(F.col("copy") <= F.col("p_whole"), F.col("n_tokens")).when(F.col("copy") == F.col("p_whole") + 1, F.col("p_part"))).where("take_tokens is not null")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("take_tokens").cast("int")), " ")
     put = F.when(F.col("take_tokens") < F.col("n_tokens"), cut).otherwise(text)
     extra = [c for c in ("domain", "epoch", "take_tokens") if c.lower() not in {n.lower() for n in names}]

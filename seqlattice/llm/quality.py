@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WHITE, byte_texts, pick
+from .common import WHITE, byte_texts, lean, pick, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -148,6 +148,7 @@ def measured(docs: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame
     rules = RULES if rules is None else rules
     order = cascade_order(docs, rules)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -166,10 +167,12 @@ def measured(docs: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame
 
 def filtered(docs: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that no rule rejects; here base rules take part in the cascade."""
+    small_batches(docs.sparkSession)
     rules = BASE_RULES | (RULES if rules is None else rules)
     order = cascade_order(pick(docs, text="string"), rules)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [verdict(View(t), order, rules) for t in byte_texts(batch.column(at))]

@@ -16,7 +16,9 @@ so, and no conversion.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import BATCH_BYTES, lean, pick, small_batches
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -150,6 +152,7 @@ def derivatives(record: bytes) -> list[tuple[str, str, str, str, str, bytes]]:
 
 def responses(pages: DataFrame) -> DataFrame:
     """(page_id, record): a response record for each page."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records = [response(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
@@ -160,6 +163,7 @@ def responses(pages: DataFrame) -> DataFrame:
 
 def derived(records: DataFrame) -> DataFrame:
     """page_id, record_type, record_id, refers_to, target_uri, source_digest, record, from (page_id, record)."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "record"]
         kinds = [pa.int64(), *[pa.string()] * 5, pa.binary()]
@@ -180,14 +184,58 @@ def digested(derivative_records: DataFrame) -> DataFrame:
         F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"))
 
 
+#: Records in a file that save() writes, at most.
+FILE_RECORDS = 50_000
+
+
 def save(records: DataFrame, path: str) -> None:
-    """Writes the records as gzipped WARC files, part by part; their text is UTF-8 throughout."""
-    whole = F.decode("record", "UTF-8")
-    records.select(F.substring(whole, F.lit(1), F.length(whole) - 2).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    """Writes the records, whose bytes can be any, as gzipped WARC files, part by part."""
+    raw = F.col("record").cast("string")  # the bytes as they are; the writer doesn't look at them
+    records.select(raw.alias("value")).write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=FILE_RECORDS).text(path)
+
+
+def records_in(stream: io.BufferedIOBase) -> Iterator[bytes]:
+    """The records of a WARC file, each as long as its Content-Length says; what isn't a record's head is put out by itself, up to the next version line."""
+    line = stream.readline()
+    while line:
+        if not line.strip(b"\r\n"):
+            line = stream.readline()
+            continue
+        if not line.startswith(b"WARC/"):
+            broken = [line]
+            while (line := stream.readline()) and not line.startswith(b"WARC/"):
+                broken.append(line)
+            yield b"".join(broken)
+            continue
+        head, size = [line], 0
+        while line := stream.readline():
+            head.append(line)
+            if not line.strip(b"\r\n"):
+                break
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                size = int(value)
+        yield b"".join(head) + stream.read(size) + b"\r\n\r\n"
+        line = stream.readline()
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """(record) from WARC files.  Files are cut at the version line, so a block that itself holds that line comes out as a broken record."""
-    mark = f"{VERSION}\r\n"
-    rows = spark.read.option("lineSep", mark).text(path).where("length(trim(both '\r\n' from value)) > 0")
-    return rows.select(F.concat(F.lit(mark), F.col("value")).cast("binary").alias("record"))
+    """(record) from WARC files, gzipped or not.  A task reads a file from its begin to its end."""
+    small_batches(spark)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_buffer()
+                stream = pa.BufferReader(data)
+                held, size = [], 0
+                for record in records_in(gzip.GzipFile(fileobj=stream) if data[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(stream)):
+                    held.append(record)
+                    size += len(record)
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+                        held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(run, "record binary")
