@@ -11,8 +11,8 @@ from pyspark.sql.types import StringType
 
 #: Unicode white space, the separators that Java's \s leaves out, and zero-width marks.
 SPACES = r"[\p{Z}\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}\x{200b}\x{feff}]"
-#: What the normal form drops: brackets, quotes and sentence marks, ASCII and CJK.
-MARKS = "、,。.・:;!?「」『』()[]{}〈〉《》【】" + "\"'`“”‘’´" + "，．：；！？（）"
+#: What the normal form drops besides.  Braces and single curly quotes stay.
+MARKS = "、。，．,.・:：;；!！?？「」『』（）()[]［］【】〔〕〈〉《》“”\"'`´"
 
 
 @F.pandas_udf(StringType())
@@ -65,7 +65,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def input_text(mode: str, original: Column, kana: Column, theme: Column, season: Column, notes: Column) -> Column:
-    """The text to embed in one of the modes original, kana, original_kana, original_tags, all; empty parts are left out."""
+    """The text to embed in one of the modes original, kana, original_kana, original_tags, all: normal forms of original and kana, the others trimmed; empty parts are left out."""
+    original, kana = normalized(original), normalized(kana)
+
     def part(c: Column, prefix: str = "") -> Column:
         c = blank_to_null(c)
         return F.concat(F.lit(prefix), c) if prefix else c
@@ -77,6 +79,23 @@ def input_text(mode: str, original: Column, kana: Column, theme: Column, season:
     return F.concat_ws("\n", *parts)
 
 
+def without_links(c: Column) -> Column:
+    """Markdown links by their labels, images by their alternative texts."""
+    return F.trim(F.regexp_replace(c, r"!?\[([^\]]*)\]\([^)]*\)", "$1"))
+
+
+#: Layouts by the names they are shown with.
+LAYOUT_NAMES = {
+    "row_major": "Row", "row_serpentine": "Row serpentine", "column_major": "Column", "column_serpentine": "Column serpentine",
+    "diagonal_nw_se": "Diagonal NW-SE", "diagonal_ne_sw": "Diagonal NE-SW", "spiral": "Spiral"}
+
+
+def layout_name(c: Column) -> Column:
+    """A layout's display name; an unknown one is shown as it is."""
+    names = F.create_map(*(F.lit(x) for kv in LAYOUT_NAMES.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, c), c)
+
+
 def xml_escaped(c: Column) -> Column:
     for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "#x27")):
         c = F.replace(c, F.lit(mark), F.lit(f"&{name};"))

@@ -97,6 +97,16 @@ def pairs_met(graph: DataFrame) -> DataFrame:
     return graph.select(F.inline(F.array(*(F.struct((F.col("u") + a).alias("p"), (F.col("v") + b).alias("q")) for a, b in ((0, 0), (1, 1), (0, 1)))))).distinct()
 
 
+def check_full(base: DataFrame, swaps: DataFrame, n: int) -> None:
+    """Raises unless each configuration fills the n ordinals, each with one item."""
+    fixed = base.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ordinal", "id").alias("d"))
+    put = swaps.groupBy("config", "group").agg(F.count(F.lit(1)).alias("n2"), F.countDistinct("ordinal").alias("d2"))
+    twice = base.select("group", "ordinal").join(swaps.select("group", "ordinal").distinct(), ["group", "ordinal"], "left_semi").limit(1).count()
+    bad = put.join(fixed, "group", "left").where(f"n is null or n + n2 <> {n} or d + d2 <> {n}").limit(1).count()
+    if twice or bad:
+        raise ValueError(f"a configuration doesn't fill the {n} cells, each with one item")
+
+
 def swapped_means(graph: DataFrame, base: DataFrame, swaps: DataFrame, vectors: DataFrame) -> DataFrame:
     """config, layout, kind, mean: edges' mean similarity where some cells' items depend on the configuration.
 

@@ -70,6 +70,57 @@ def kernel_null(groups: DataFrame, similarity: np.ndarray, orders: np.ndarray) -
     return groups.groupBy("key").applyInArrow(run, "key string, trial long, mean double")
 
 
+def kernel_omissions(edges: DataFrame, similarity: np.ndarray, orders: np.ndarray, observed: DataFrame) -> DataFrame:
+    """layout, kind, omitted, mean, random_mean, random_sd, z_score, percentile for observed (layout, kind, omitted, mean).
+
+    edges (kind, u, v) join ordinals of a grid that holds one item less than
+    the sequence; an order deals ordinals to cells.  For each place left out an
+    edge joins one of three pairs of places (see grid.omission_sums), so that a
+    trial's means for all omissions are running sums over its edges.  Tasks
+    take trials, and give for each omission sums, squares and how many of
+    their trials are at or below each observed mean.
+    """
+    spark, n = edges.sparkSession, len(similarity)
+    rows = edges.collect()  # of a layout's size, as the matrix is
+    kinds = sorted({r.kind for r in rows})
+    ends = {k: np.array([(r.u, r.v) for r in rows if r.kind == k]) for k in kinds}
+    seen = observed.select("layout", "kind", "omitted", "mean").collect()
+    layouts = sorted({r.layout for r in seen})
+    table = np.full((len(kinds), len(layouts), n), np.nan)
+    for r in seen:
+        table[kinds.index(r.kind), layouts.index(r.layout), r.omitted] = r.mean
+    shared = spark.sparkContext.broadcast((similarity, orders, ends, table))
+    parts = max(1, min(len(orders) // 100, spark.sparkContext.defaultParallelism * 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sim, perms, graph, means = shared.value
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                for k, kind in enumerate(kinds):
+                    values = []
+                    for order in np.array_split(perms, parts)[part]:
+                        p, q = np.sort(order[graph[kind]].astype(np.int64), axis=1).T
+                        step = np.zeros(n + 1)
+                        for first, after, x, y in ((q + 1, np.full(len(q), n), p, q), (np.zeros(len(p), np.int64), p + 1, p + 1, q + 1), (p + 1, q + 1, p, q + 1)):
+                            s = sim[x, np.minimum(y, n - 1)] * (first < after)
+                            step += np.bincount(first, s, n + 1)[: n + 1] - np.bincount(after, s, n + 1)[: n + 1]
+                        values.append(np.cumsum(step[:n]) / len(p))
+                    values = np.array(values).reshape(-1, n)
+                    at_most = [(values <= m[None, :]).sum(axis=0) for m in means[k]]
+                    base = np.nanmean(means[k], axis=0)  # squares are taken around what is near the mean
+                    off = values - base
+                    yield pa.table({
+                        "kind": pa.array(np.full(n, kind), pa.int32()), "omitted": pa.array(np.arange(n), pa.int64()), "base": pa.array(base), "n": pa.array(np.full(n, len(values)), pa.int64()),
+                        "s": pa.array(off.sum(axis=0)), "s2": pa.array((off * off).sum(axis=0)), "at_most": pa.array(np.array(at_most).T.tolist(), pa.list_(pa.int64()))}).to_batches()[0]
+
+    found = spark.range(0, parts, 1, parts).mapInArrow(run, "kind int, omitted long, base double, n long, s double, s2 double, at_most array<long>")
+    each = found.groupBy("kind", "omitted").agg(F.first("base").alias("base"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"), *(F.sum(F.col("at_most")[k]).alias(f"c{k}") for k in range(len(layouts))))
+    each = each.select("kind", "omitted", "n", (F.col("base") + F.col("s") / F.col("n")).alias("m"), F.sqrt(F.greatest(F.col("s2") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))).alias("sd"), F.inline(F.array(*(F.struct(F.lit(name).alias("layout"), F.col(f"c{k}").alias("c")) for k, name in enumerate(layouts)))))
+    both = observed.join(each, ["layout", "kind", "omitted"])
+    z = (F.col("mean") - F.col("m")) / F.nullif(F.col("sd"), F.lit(0.0))
+    return both.select("layout", "kind", "omitted", F.round("mean", 6).alias("mean"), F.round("m", 6).alias("random_mean"), F.round("sd", 6).alias("random_sd"), F.round(z, 4).alias("z_score"), F.round(F.col("c") / F.col("n"), 6).alias("percentile"))
+
+
 def sampled_pairs(spark: SparkSession, n: int, k: int, trials: int) -> DataFrame:
     """(trial, i, j): k different pairs of 0..n-1 for each trial, drawn by digest; of 4k draws the first k different ones."""
     total = n * (n - 1) // 2

@@ -46,6 +46,7 @@ def _blocks(vectors: DataFrame) -> DataFrame:
     blocks = max(1, -(-n // BLOCK))
 
     def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")  # a block that is made twice, as fetches of a shuffle come in any order, is the same twice
         v = np.array(t.column("v").to_pylist(), np.float64).reshape(len(t), -1)
         length = np.linalg.norm(v, axis=1, keepdims=True)
         v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)

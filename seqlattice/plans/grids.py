@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import stats, text
 from ..functions.vectors import cosine
 from ..operators import grid, nulls
 from ..sources import tables
@@ -85,15 +85,17 @@ def layout_edge_extremes(spark, sf_dir):
     return ranked.where("hi <= 12 or lo <= 12").select("layout", "kind", "id_l", "id_r", "cosine", (F.col("hi") <= 12).alias("is_top"))
 
 
-def placement_null(seq: DataFrame, graph: DataFrame, trials: int) -> DataFrame:
-    """(kind, trial, mean) for random placements of a sequence's items on the cells; all full layouts have one cell graph, so the first is used."""
-    orders = nulls.random_orders(seq, trials).join(seq.select("id", "v"), "id")
+def placement_null(sets: DataFrame, graph: DataFrame, trials: int) -> DataFrame:
+    """(group, kind, trial, mean) for random placements of each group's items (group, id, v) on the cells; all full layouts have one cell graph, so the first is used."""
+    key = F.md5(F.concat(F.col("trial").cast("string"), F.lit(":"), F.col("id").cast("string")))
+    every = sets.join(F.broadcast(nulls.trials_of(sets.sparkSession, trials)))
+    orders = every.select("group", "trial", "id", "v", (F.row_number().over(Window.partitionBy("group", "trial").orderBy(key)) - 1).cast("long").alias("pos"))
     one = graph.where("layout = 'row_major'").select("kind", "u", F.col("v").alias("w"))
-    left = orders.select("trial", F.col("pos").alias("u"), F.col("v").alias("x"))
-    right = orders.select("trial", F.col("pos").alias("w"), F.col("v").alias("y"))
+    left = orders.select("group", "trial", F.col("pos").alias("u"), F.col("v").alias("x"))
+    right = orders.select("group", "trial", F.col("pos").alias("w"), F.col("v").alias("y"))
     four = one.where("kind = 8").join(one.where("kind = 4").select("u", "w", F.lit(True).alias("near")), ["u", "w"], "left")
-    met = four.join(left, "u").join(right, ["trial", "w"]).select("trial", F.when(F.col("near"), F.array(F.lit(4), F.lit(8))).otherwise(F.array(F.lit(8))).alias("kinds"), cosine(F.col("x"), F.col("y")).alias("c"))
-    return met.select("trial", F.explode("kinds").alias("kind"), "c").groupBy("kind", "trial").agg(F.avg("c").alias("mean"))
+    met = four.join(left, "u").join(right, ["group", "trial", "w"]).select("group", "trial", F.when(F.col("near"), F.array(F.lit(4), F.lit(8))).otherwise(F.array(F.lit(8))).alias("kinds"), cosine(F.col("x"), F.col("y")).alias("c"))
+    return met.select("group", "trial", F.explode("kinds").alias("kind"), "c").groupBy("group", "kind", "trial").agg(F.avg("c").alias("mean"))
 
 
 @registered("layout_null_stats", f"""{_MEANS}, o AS (SELECT layout, kind, avg(c) AS mean FROM e GROUP BY layout, kind),
@@ -105,29 +107,42 @@ def layout_null_stats(spark, sf_dir):
     seq = tables.first_order(spark, sf_dir)
     graph = graph_of(spark, seq.count())
     observed = grid.with_similarity(grid.occupied(graph, seq), seq).groupBy("layout", "kind").agg(F.avg("cosine").alias("mean"))
-    sample = placement_null(seq, graph, GRID_TRIALS)
+    sample = placement_null(seq.select(F.lit(0).alias("group"), "id", "v"), graph, GRID_TRIALS).select("kind", "mean")
     sample = sample.join(F.broadcast(observed.select("layout", "kind")), "kind")
     return stats.against_null(observed, sample, ["layout", "kind"])
 
 
+#: The kernels hold a matrix of all items with each other.
+MOST_ITEMS = 5000
+
+
+def similarity_of(seq: DataFrame) -> np.ndarray:
+    """The matrix of a sequence's similarities, for sequences of layouts' sizes: hundreds of items, MOST_ITEMS at most."""
+    n = seq.count()
+    if n > MOST_ITEMS:
+        raise ValueError(f"{n} items: beyond {MOST_ITEMS} the null over tables (layout_null_stats, loo_layout_scan) has to be used")
+    v = np.array([r.v for r in seq.select("pos", "v").orderBy("pos").collect()])
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    return v @ v.T
+
+
 @registered("layout_kernel_null")
 def layout_kernel_null(spark, sf_dir):
     """Random placements by seeded shuffles, each of the order before it; one layout's graph for each kind of neighbourhood."""
     seq = tables.first_order(spark, sf_dir)
     n = seq.count()
     graph = graph_of(spark, n)
-    v = np.array([r.v for r in seq.select("pos", "v").orderBy("pos").collect()])  # the reference's size: hundreds of items
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    similarity = similarity_of(seq)
     groups = graph.where("layout = 'row_major'").select(F.col("kind").cast("string").alias("key"), "u", "v")
-    sample = nulls.kernel_null(groups, v @ v.T, nulls.seeded_orders(n, KERNEL_TRIALS, SEED)).select(F.col("key").cast("int").alias("kind"), "mean")
+    sample = nulls.kernel_null(groups, similarity, nulls.seeded_orders(n, KERNEL_TRIALS, SEED)).select(F.col("key").cast("int").alias("kind"), "mean")
     observed = grid.with_similarity(grid.occupied(graph, seq), seq).groupBy("layout", "kind").agg(F.avg("cosine").alias("mean"))
     return stats.against_null(observed, sample.join(F.broadcast(observed.select("layout", "kind")), "kind"), ["layout", "kind"])
 
 
-def omission_means(seq: DataFrame) -> DataFrame:
-    """layout, kind, omitted (place), mean."""
+def omission_means(seq: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """layout, kind, omitted (place), mean, for the layouts' graph or another one over as many ordinals."""
     n = seq.count()
-    graph = graph_of(seq.sparkSession, n - 1)
+    graph = graph_of(seq.sparkSession, n - 1) if graph is None else graph
     at = lambda side, v: seq.select(F.col("pos").alias(side), F.col("v").alias(v))
     sims = grid.pairs_met(graph).join(at("p", "x"), "p").join(at("q", "y"), "q").select("p", "q", cosine(F.col("x"), F.col("y")).alias("total"))
     sums = grid.omission_sums(graph, n, sims, ["total"])
@@ -135,27 +150,76 @@ def omission_means(seq: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(size), ["layout", "kind"]).select("layout", "kind", "omitted", (F.col("total") / F.col("k")).alias("mean"))
 
 
+def placed_at_random(spark: SparkSession, n: int, trials: int) -> DataFrame:
+    """The cell graph for n items with ordinals dealt anew for each trial, which takes the layout's place."""
+    one = graph_of(spark, n).where("layout = 'row_major'").select("kind", "u", "v")
+    dealt = nulls.random_orders(spark.range(n), trials).select("trial", "pos", F.col("id").alias("to"))
+    side = lambda c: dealt.select("trial", F.col("pos").alias(c), F.col("to").alias(f"{c}_to"))
+    put = one.join(side("u"), "u").join(side("v"), ["trial", "v"])
+    return put.select(F.col("trial").cast("string").alias("layout"), "kind", F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v"))
+
+
+def omission_scores(seq: DataFrame, trials: int) -> DataFrame:
+    """layout, kind, omitted, mean, random_mean, random_sd, z_score, percentile: each configuration against random placements of the items it keeps."""
+    n = seq.count()
+    sample = omission_means(seq, placed_at_random(seq.sparkSession, n - 1, trials)).select("kind", "omitted", "mean")
+    observed = omission_means(seq)
+    keys = ["layout", "kind", "omitted"]
+    return stats.against_null(observed, sample.join(F.broadcast(observed.select("layout").distinct())), keys)
+
+
 _OMIT = f"""WITH {SEQUENCES}, {_grid_sql('b', less=1)}, sims AS MATERIALIZED (SELECT x.pos AS p, y.pos AS q, list_cosine_similarity(x.v, y.v) AS c FROM b x JOIN b y ON x.pos < y.pos),
 e AS (SELECT layout, kind, o.pos AS omitted, u + CASE WHEN u >= o.pos THEN 1 ELSE 0 END AS p, v + CASE WHEN v >= o.pos THEN 1 ELSE 0 END AS q FROM g, (SELECT pos FROM b) o)"""
 _OMIT_MEANS = f"{_OMIT}, om AS (SELECT layout, kind, omitted, avg(c) AS mean FROM e JOIN sims USING (p, q) GROUP BY layout, kind, omitted)"
+_OMIT_SCORES = f"""{_OMIT_MEANS}, rp AS (SELECT trial, k, row_number() OVER (PARTITION BY trial ORDER BY md5(trial || ':' || k)) - 1 AS pos FROM (SELECT pos AS k FROM b WHERE pos < (SELECT count(*) FROM b) - 1), (SELECT unnest(range({GRID_TRIALS})) AS trial)),
+rg AS (SELECT kind, x.trial, least(x.k, y.k) AS u, greatest(x.k, y.k) AS v FROM g JOIN rp x ON x.pos = u JOIN rp y ON y.pos = g.v AND y.trial = x.trial WHERE layout = 'row_major'),
+re AS (SELECT kind, trial, o.pos AS omitted, u + CASE WHEN u >= o.pos THEN 1 ELSE 0 END AS p, v + CASE WHEN v >= o.pos THEN 1 ELSE 0 END AS q FROM rg, (SELECT pos FROM b) o),
+rm AS MATERIALIZED (SELECT kind, trial, omitted, avg(c) AS mean FROM re JOIN sims USING (p, q) GROUP BY kind, trial, omitted),
+sc AS (SELECT om.layout, om.kind, om.omitted, round(om.mean, 6) AS mean, round(avg(rm.mean), 6) AS random_mean, round(stddev_pop(rm.mean), 6) AS random_sd, round((om.mean - avg(rm.mean)) / nullif(stddev_pop(rm.mean), 0), 4) AS z_score,
+  round(count(*) FILTER (rm.mean <= om.mean) / count(*), 6) AS percentile FROM om JOIN rm USING (kind, omitted) GROUP BY om.layout, om.kind, om.omitted, om.mean)"""
+_LABEL = "'S' || lpad(CAST(omitted + 1 AS VARCHAR), 5, '0') || '/H' || CASE WHEN own THEN 'none' ELSE CAST(b.id AS VARCHAR) END AS label"
+_SCORES = "mean, random_mean, random_sd, z_score, percentile"
+
+
+def labelled(seq: DataFrame) -> DataFrame:
+    """omitted (place), omitted_id, label."""
+    return seq.select(F.col("pos").alias("omitted"), F.col("id").alias("omitted_id"), F.format_string("S%05d/H%s", F.col("pos") + 1, F.when(F.col("own"), "none").otherwise(F.col("id").cast("string"))).alias("label"))
 
 
-@registered("loo_layout_scan", f"{_OMIT_MEANS} SELECT layout, kind, b.id AS omitted_id, 'S' || lpad(CAST(omitted + 1 AS VARCHAR), 5, '0') || '/H' || CASE WHEN own THEN 'none' ELSE CAST(b.id AS VARCHAR) END AS label, round(mean, 6) AS mean FROM om JOIN b ON b.pos = omitted")
+@registered("loo_layout_scan", f"{_OMIT_SCORES} SELECT layout, kind, b.id AS omitted_id, {_LABEL}, {_SCORES} FROM sc JOIN b ON b.pos = omitted")
 def loo_layout_scan(spark, sf_dir):
     """The second ordering in every layout with each of its items left out in turn."""
     seq = tables.second_order(spark, sf_dir)
-    names = seq.select(F.col("pos").alias("omitted"), F.col("id").alias("omitted_id"), F.format_string("S%05d/H%s", F.col("pos") + 1, F.when(F.col("own"), "none").otherwise(F.col("id").cast("string"))).alias("label"))
-    return omission_means(seq).join(names, "omitted").select("layout", "kind", "omitted_id", "label", F.round("mean", 6).alias("mean"))
+    return omission_scores(seq, GRID_TRIALS).join(labelled(seq), "omitted").drop("omitted")
 
 
-@registered("loo_top_by_z", f"{_OMIT_MEANS}, s AS (SELECT layout, kind, omitted, mean, (mean - avg(mean) OVER w) / nullif(stddev_pop(mean) OVER w, 0) AS z FROM om WINDOW w AS (PARTITION BY kind)) SELECT layout, kind, omitted, round(mean, 6) AS mean, round(z, 4) AS z_score FROM s QUALIFY row_number() OVER (PARTITION BY kind ORDER BY coalesce(nullif(round(z, 4), 0), '-inf'::DOUBLE) DESC, layout, omitted) <= 20")
+@registered("loo_top_by_z", f"{_OMIT_SCORES} SELECT layout, kind, omitted, {_SCORES} FROM sc QUALIFY row_number() OVER (PARTITION BY kind ORDER BY coalesce(nullif(z_score, 0), '-inf'::DOUBLE) DESC, layout, omitted) <= 20")
 def loo_top_by_z(spark, sf_dir):
-    """The 20 best configurations of each neighbourhood, standardised over all configurations; a z of 0 ranks last."""
-    means = omission_means(tables.second_order(spark, sf_dir))
-    base = means.groupBy("kind").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("sd"))
-    z = means.join(F.broadcast(base), "kind").select("layout", "kind", "omitted", F.round("mean", 6).alias("mean"), F.round(stats.z_score(F.col("mean"), F.col("m"), F.col("sd")), 4).alias("z_score"))
+    """The 20 best configurations of each neighbourhood by z against random placements; a z of 0 ranks last."""
     best = Window.partitionBy("kind").orderBy(stats.rank_of_z(F.col("z_score")).desc(), "layout", "omitted")
-    return z.withColumn("_r", F.row_number().over(best)).where("_r <= 20").drop("_r")
+    return omission_scores(tables.second_order(spark, sf_dir), GRID_TRIALS).withColumn("_r", F.row_number().over(best)).where("_r <= 20").drop("_r")
+
+
+#: Places of the second ordering whose omission is looked at by itself.
+FIXED_OMISSIONS = (0, 52, 72, 75, 89, 100)
+
+
+@registered("loo_fixed_omissions", f"{_OMIT_SCORES} SELECT layout, text_name AS layout_name, kind, omitted, {_LABEL}, {_SCORES} FROM sc JOIN b ON b.pos = omitted JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in text.LAYOUT_NAMES.items()) + f") n(code, text_name) ON code = layout WHERE omitted IN {FIXED_OMISSIONS}")
+def loo_fixed_omissions(spark, sf_dir):
+    seq = tables.second_order(spark, sf_dir)
+    few = omission_scores(seq, GRID_TRIALS).where(F.col("omitted").isin(*FIXED_OMISSIONS)).join(labelled(seq).drop("omitted_id"), "omitted")
+    return few.withColumn("layout_name", text.layout_name(F.col("layout")))
+
+
+@registered("loo_kernel_scan")
+def loo_kernel_scan(spark, sf_dir):
+    """The same scan against the 10,000 seeded shuffles, all omissions of a shuffle at once."""
+    seq = tables.second_order(spark, sf_dir)
+    n = seq.count()
+    observed = omission_means(seq)
+    edges = graph_of(spark, n - 1).where("layout = 'row_major'").select("kind", "u", "v")
+    sample = nulls.kernel_omissions(edges, similarity_of(seq), nulls.seeded_orders(n - 1, KERNEL_TRIALS, SEED), observed)
+    return sample.join(labelled(seq), "omitted").drop("omitted")
 
 
 def _assignments(spark: SparkSession, items: list[int], cells: int) -> DataFrame:
@@ -164,32 +228,58 @@ def _assignments(spark: SparkSession, items: list[int], cells: int) -> DataFrame
     return spark.createDataFrame(rows, "config string, slot int, id long")
 
 
+#: For sets of items (grp, id): s (grp, kind, trial, mean).  For scored configurations o (grp, ..., mean): their comparison.
+_SETS_NULL = f"""isims AS MATERIALIZED (SELECT x.id AS i, y.id AS j, list_cosine_similarity(x.v, y.v) AS c FROM items x JOIN items y ON x.id < y.id),
+ro AS MATERIALIZED (SELECT grp, trial, id, row_number() OVER (PARTITION BY grp, trial ORDER BY md5(trial || ':' || id)) - 1 AS pos FROM sets, (SELECT unnest(range({GRID_TRIALS})) AS trial)),
+rx AS MATERIALIZED (SELECT grp, trial, kind, id AS i, g.v AS spot FROM g JOIN ro ON pos = u WHERE layout = 'row_major'),
+ry AS MATERIALIZED (SELECT rx.grp, rx.trial, kind, least(i, id) AS i, greatest(i, id) AS j FROM rx JOIN ro ON ro.grp = rx.grp AND ro.trial = rx.trial AND pos = spot),
+s AS MATERIALIZED (SELECT grp, kind, trial, avg(c) AS mean FROM ry JOIN isims USING (i, j) GROUP BY grp, kind, trial)"""
+
+
+def against_sets(means: DataFrame, sets: DataFrame, graph: DataFrame, keys: list[str]) -> DataFrame:
+    """means (group, kind, *keys, mean) against random placements of the group's items (group, id, v)."""
+    sample = placement_null(sets, graph, GRID_TRIALS).select("group", "kind", F.col("mean").alias("r"))
+    return stats.against_null(means, means.select("group", "kind", *keys).join(sample, ["group", "kind"]), ["group", "kind", *keys], sample="r")
+
+
 _SHARED = f"""WITH {SEQUENCES}, {_grid_sql('a')}, holes AS (SELECT pos AS ordinal, row_number() OVER (ORDER BY pos) - 1 AS slot FROM a WHERE id IN (SELECT id FROM missing)),
-cfg AS (SELECT x.id || '-' || y.id || '-' || z.id AS config, [x.id, y.id, z.id] AS ids FROM own x, own y, own z WHERE x.id <> y.id AND x.id <> z.id AND y.id <> z.id),
-occ AS (SELECT config, pos AS ordinal, id FROM a, cfg WHERE id NOT IN (SELECT id FROM missing) UNION ALL SELECT config, ordinal, ids[slot + 1] FROM cfg, holes),
-ov AS (SELECT config, ordinal, v FROM occ JOIN items USING (id))
-SELECT x.config, layout, kind, round(avg(list_cosine_similarity(x.v, y.v)), 6) AS mean FROM g JOIN ov x ON x.ordinal = u JOIN ov y ON y.ordinal = g.v AND y.config = x.config GROUP BY x.config, layout, kind"""
+cfg AS (SELECT o.id AS grp, x.id || '-' || y.id || '-' || z.id AS config, [x.id, y.id, z.id] AS ids FROM own x, own y, own z, own o WHERE x.id <> y.id AND x.id <> z.id AND y.id <> z.id AND o.id NOT IN (x.id, y.id, z.id)),
+occ AS (SELECT grp, config, pos AS ordinal, id FROM a, cfg WHERE id NOT IN (SELECT id FROM missing) UNION ALL SELECT grp, config, ordinal, ids[slot + 1] FROM cfg, holes),
+ov AS (SELECT grp, config, ordinal, v FROM occ JOIN items USING (id)),
+o AS (SELECT x.grp, x.config, layout, kind, avg(list_cosine_similarity(x.v, y.v)) AS mean FROM g JOIN ov x ON x.ordinal = u JOIN ov y ON y.ordinal = g.v AND y.config = x.config GROUP BY x.grp, x.config, layout, kind),
+sets AS (SELECT o.id AS grp, i.id FROM own o, (SELECT id FROM a WHERE id NOT IN (SELECT id FROM missing) UNION ALL SELECT id FROM own) i WHERE i.id <> o.id), {_SETS_NULL},
+r AS ({null_sql('o', 's', ['grp', 'kind'], ['config', 'layout'])})
+SELECT grp AS omitted, config, layout, kind, {_SCORES} FROM r"""
 
 
 @registered("shared_cell_scan", _SHARED)
 def shared_cell_scan(spark, sf_dir):
-    """Items of both orderings keep the cells of the first; the cells of items that the second lacks take its own ones in every order."""
+    """Items of both orderings keep the cells of the first; the cells of items that the second lacks take its own ones but one, in every order."""
     first, items = tables.first_order(spark, sf_dir), tables.items(spark, sf_dir)
     gone, own = tables.missing_ids(items), sorted(r.id for r in tables.own_ids(items).collect())
     holes = [r.pos for r in first.join(gone, "id", "left_semi").orderBy("pos").collect()]
     base = first.join(gone, "id", "left_anti").select(F.lit(0).alias("group"), F.col("pos").alias("ordinal"), "id")
     at = F.element_at(F.array(*map(F.lit, holes)), F.col("slot") + 1).cast("long")
     swaps = _assignments(spark, own, len(holes)).select("config", F.lit(0).alias("group"), at.alias("ordinal"), "id")
-    out = grid.swapped_means(graph_of(spark, first.count()), base, swaps, items)
-    return out.select("config", "layout", "kind", F.round("mean", 6).alias("mean"))
+    graph = graph_of(spark, first.count())
+    grid.check_full(base, swaps, first.count())
+    out_of = F.element_at(F.array_except(F.array(*(F.lit(str(i)) for i in own)), F.split("config", "-")), 1).cast("long")
+    means = grid.swapped_means(graph, base, swaps, items).select(out_of.alias("group"), "config", "layout", "kind", "mean")
+    left_out = spark.createDataFrame([(o, i) for o in own for i in own if i != o], "group long, id long")
+    both = base.select("id").join(F.broadcast(spark.createDataFrame([(o,) for o in own], "group long")))
+    sets = both.select("group", "id").unionByName(left_out).join(items.select("id", "v"), "id")
+    return against_sets(means, sets, graph, ["config", "layout"]).withColumnRenamed("group", "omitted")
 
 
 _BASE = f"""WITH {SEQUENCES}, {_grid_sql('b', less=1)}, lo AS (SELECT o.id AS omitted, b.id, b.own, row_number() OVER (PARTITION BY o.id ORDER BY b.pos) - 1 AS ordinal FROM b, own o WHERE b.id <> o.id),
 holes AS (SELECT omitted, ordinal, row_number() OVER (PARTITION BY omitted ORDER BY ordinal) - 1 AS slot FROM lo WHERE own),
 cfg AS (SELECT o.id AS omitted, x.id || '-' || y.id || '-' || z.id AS config, [x.id, y.id, z.id] AS ids FROM own o, missing x, missing y, missing z WHERE x.id <> y.id AND x.id <> z.id AND y.id <> z.id),
 occ AS (SELECT omitted, 'base' AS config, ordinal, id FROM lo UNION ALL SELECT omitted, config, ordinal, lo.id FROM lo JOIN cfg USING (omitted) WHERE NOT own UNION ALL SELECT omitted, config, ordinal, ids[slot + 1] FROM cfg JOIN holes USING (omitted)),
-ov AS (SELECT omitted, config, ordinal, v FROM occ JOIN items USING (id))
-SELECT x.omitted, x.config, layout, kind, round(avg(list_cosine_similarity(x.v, y.v)), 6) AS mean FROM g JOIN ov x ON x.ordinal = u JOIN ov y ON y.ordinal = g.v AND y.config = x.config AND y.omitted = x.omitted GROUP BY x.omitted, x.config, layout, kind"""
+ov AS (SELECT omitted, config, ordinal, v FROM occ JOIN items USING (id)),
+o AS (SELECT CASE WHEN x.config = 'base' THEN x.omitted ELSE 0 END AS grp, x.omitted, x.config, layout, kind, avg(list_cosine_similarity(x.v, y.v)) AS mean FROM g JOIN ov x ON x.ordinal = u JOIN ov y ON y.ordinal = g.v AND y.config = x.config AND y.omitted = x.omitted GROUP BY x.omitted, x.config, layout, kind),
+sets AS (SELECT o.id AS grp, b.id FROM own o, b WHERE b.id <> o.id UNION ALL SELECT 0, id FROM b WHERE NOT own UNION ALL SELECT 0, id FROM missing), {_SETS_NULL},
+r AS ({null_sql('o', 's', ['grp', 'kind'], ['omitted', 'config', 'layout'])})
+SELECT omitted, config, layout, kind, {_SCORES} FROM r"""
 
 
 @registered("base_substitution_scan", _BASE)
@@ -204,8 +294,14 @@ def base_substitution_scan(spark, sf_dir):
     holes = moved.where("own").select("omitted", "ordinal", "id", (F.row_number().over(Window.partitionBy("omitted").orderBy("ordinal")) - 1).alias("slot"))
     kept = holes.select(F.concat_ws("|", F.col("omitted"), F.lit("base")).alias("config"), F.col("omitted").alias("group"), "ordinal", "id")
     swaps = holes.drop("id").join(_assignments(spark, gone, len(own) - 1), "slot").select(F.concat_ws("|", "omitted", "config").alias("config"), F.col("omitted").alias("group"), "ordinal", "id")
-    out = grid.swapped_means(graph_of(spark, n - 1), base, kept.unionByName(swaps), items)
-    return out.select(F.col("group").alias("omitted"), F.substring_index("config", "|", -1).alias("config"), "layout", "kind", F.round("mean", 6).alias("mean"))
+    graph, swaps = graph_of(spark, n - 1), kept.unionByName(swaps)
+    grid.check_full(base, swaps, n - 1)
+    means = grid.swapped_means(graph, base, swaps, items).select(F.col("group").alias("omitted"), F.substring_index("config", "|", -1).alias("config"), "layout", "kind", "mean")
+    # Substituted configurations have the same items, whichever own item was left out.
+    means = means.withColumn("group", F.when(F.col("config") == "base", F.col("omitted")).otherwise(F.lit(0)))
+    common = second.where("not own").select("id").unionByName(spark.createDataFrame([(i,) for i in gone], "id long"))
+    sets = moved.select(F.col("omitted").alias("group"), "id").unionByName(common.select(F.lit(0).cast("long").alias("group"), "id")).join(items.select("id", "v"), "id")
+    return against_sets(means, sets, graph, ["omitted", "config", "layout"]).drop("group")
 
 
 _OVERLAP = f"""WITH {SEQUENCES}, {_grid_sql('a')}, {_grid_sql('b', name='h')}, common AS (SELECT id FROM a WHERE id IN (SELECT id FROM b)), space AS (SELECT count(*) * (count(*) - 1) / 2 AS pairs FROM common),

@@ -10,17 +10,48 @@ from ..sources import tables
 from ..sources.embedding import cache_status
 from .registry import registered
 
-_MARKS_SQL = text.MARKS.replace("'", "''")
-_SPACES_SQL = text.SPACES
+#: The normal form in SQL, written out on its own: white space, zero-width marks, and each mark that goes.
+_GONE_SQL = r"[\s\p{Z}\x{200b}\x{feff}\x1c-\x1f\x85、。，．,.・:：;；!！?？「」『』（）()\[\]［］【】〔〕〈〉《》“”\x22\x27\x60´]"
+
+
+def _normal_sql(e: str) -> str:
+    return f"regexp_replace(coalesce({e}, ''), '{_GONE_SQL}', '', 'g')"
 
 
 def documents(spark, sf_dir) -> DataFrame:
     return tables.table(spark, sf_dir, "documents")
 
 
-@registered("normalize_documents", f"SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{_MARKS_SQL}', ''), '{_SPACES_SQL}', '', 'g') AS normalized FROM documents")
+#: Texts with every mark, dropped and kept, and their normal forms.
+_SPELLED = (
+    (-1, "a、b。c，d．e,f.g・h:i：j;k；l!m！n?o？p「q」r『s』t（u）v(w)x[y]z［1］2【3】4〔5〕6〈7〉8《9》0“A”B\"C'D`E´F", "abcdefghijklmnopqrstuvwxyz1234567890ABCDE\u0301F"),  # the acute accent is composed to a blank and a combining one
+    (-2, "a{b}c\u2018d\u2019e-f_g/h~i\u30fcj", "a{b}c\u2018d\u2019e-f_g/h~i\u30fcj"),
+    (-3, " a\u3000b\tc\nd\u200be\ufefff\u00a0g ", "abcdefg"),
+    (-4, "\uff21\uff11\u2460\uff76\uff9e\u33a1\ufb01", "A11\u30acm2fi"),
+)
+_SPELLED_SQL = " UNION ALL ".join(f"SELECT {k}, '{want}'" for k, _, want in _SPELLED)
+
+
+@registered("normalize_documents", f"SELECT doc_id, {_normal_sql('text')} AS normalized FROM documents UNION ALL {_SPELLED_SQL}")
 def normalize_documents(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.normalized(F.col("text")).alias("normalized"))
+    """All documents, and a few texts that hold every mark; in SQL these have their normal forms written out."""
+    spelled = spark.createDataFrame([(k, t) for k, t, _ in _SPELLED], "doc_id long, text string")
+    return documents(spark, sf_dir).select("doc_id", "text").unionByName(spelled).select("doc_id", text.normalized(F.col("text")).alias("normalized"))
+
+
+@registered("normalize_rows", f"SELECT doc_id, source, {_normal_sql('text')} AS normalized_original, {_normal_sql('lang')} AS normalized_kana, sha256(concat_ws(chr(10), nullif({_normal_sql('text')}, ''), nullif('theme: ' || trim(source), 'theme: '))) AS embedding_sha256 FROM documents")
+def normalize_rows(spark, sf_dir):
+    """A table's rows with the three columns of normal forms added."""
+    rows = documents(spark, sf_dir).select("doc_id", "source", F.col("text").alias("waka_original"), F.col("lang").alias("waka_kana"), F.col("source").alias("theme"))
+    return normalized_rows(rows, "original_tags").select("doc_id", "source", "normalized_original", "normalized_kana", F.sha2("embedding_text", 256).alias("embedding_sha256"))
+
+
+def normalized_rows(rows: DataFrame, mode: str) -> DataFrame:
+    """rows with normalized_original, normalized_kana and embedding_text; columns that aren't there count as empty."""
+    col = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    return rows.withColumns({
+        "normalized_original": text.normalized(col("waka_original")), "normalized_kana": text.normalized(col("waka_kana")),
+        "embedding_text": text.input_text(mode, col("waka_original"), col("waka_kana"), col("theme"), col("season"), col("notes"))})
 
 
 MODES = ("original", "kana", "original_kana", "original_tags", "all")
@@ -28,7 +59,7 @@ _PARTS = {"original": ("text",), "kana": ("lang",), "original_kana": ("text", "l
 
 
 def _mode_sql(mode: str) -> str:
-    blank = {"text": "nullif(trim(coalesce(text, '')), '')", "lang": "nullif(trim(coalesce(lang, '')), '')"}
+    blank = {"text": f"nullif({_normal_sql('text')}, '')", "lang": f"nullif({_normal_sql('lang')}, '')"}
     return "concat_ws(chr(10), " + ", ".join(blank.get(p, p) for p in _PARTS[mode]) + ")"
 
 
@@ -45,9 +76,9 @@ def text_hash(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-@registered("embedding_records", "SELECT format('S{:06d}', doc_id) AS id, source AS poet, 'original' AS input_mode, 'local-64' AS model, sha256(coalesce(trim(text), '')) AS text_sha256 FROM documents")
+@registered("embedding_records", "SELECT format('S{:06d}', doc_id) AS id, source AS poet, 'original' AS input_mode, 'local-64' AS model, sha256(" + _normal_sql('text') + ") AS text_sha256 FROM documents")
 def embedding_records(spark, sf_dir):
-    return documents(spark, sf_dir).select(F.format_string("S%06d", "doc_id").alias("id"), F.col("source").alias("poet"), F.lit("original").alias("input_mode"), F.lit("local-64").alias("model"), F.sha2(F.coalesce(F.trim("text"), F.lit("")), 256).alias("text_sha256"))
+    return documents(spark, sf_dir).select(F.format_string("S%06d", "doc_id").alias("id"), F.col("source").alias("poet"), F.lit("original").alias("input_mode"), F.lit("local-64").alias("model"), F.sha2(text.normalized(F.col("text")), 256).alias("text_sha256"))
 
 
 _CACHED = "w AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS sha FROM documents), c AS (SELECT doc_id AS id, sha256(CASE WHEN source = 'src1' THEN text || '!' ELSE coalesce(text, '') END) AS sha FROM documents WHERE lang <> 'fr')"
@@ -150,8 +181,8 @@ SECRETS = {
     "github_token_like": r"(?:ghp|github_pat)_[A-Za-z0-9_]{20,}",
     "private_key_block": r"-----BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY-----",
 }
-LOCAL_PATHS = ("/" + "Users/", "/" + "private/", "Documents" + "/Codex", "file" + "://")
-IGNORED = ("_private/", "data/raw/", "data/embeddings/", "public/data/", ".env")
+LOCAL_PATHS = ("/Users/", "/private/", "Documents/Codex", "file://")
+IGNORED = ("_private/", "data/raw/", "data/embeddings/", "public/data/", ".env", "__pycache__/", "*.pyc", ".DS_Store")
 
 _PLANTED = ("'s' || 'k-' || repeat('a1', 12)", "'gh' || 'p_' || repeat('Z9', 11)", "'-----BEGIN ' || 'RSA PRIVATE KEY-----'", "'see /' || 'Users/x and fi' || 'le://y'", "'clean'")
 _SCANNED = "t AS (SELECT CAST(doc_id AS VARCHAR) AS name, coalesce(text, '') AS text FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT 'planted{k}', {e}" for k, e in enumerate(_PLANTED)) + ")"
