@@ -204,7 +204,7 @@ def train(flat: np.ndarray, squares: np.ndarray, texts: list[np.ndarray], width:
         ids = x.reshape(-1)
         by = np.argsort(ids, kind="stable")
         ids, at = np.unique(ids[by], return_index=True)
-        step = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[by], at, axis=0)
+        step = np.add.reduceat(into.reshape(-1, 3 * HIDDEN).take(by, axis=0), at, axis=0)
         squared["e"][ids] += step * step
         w["e"][ids] -= RATE * step / np.sqrt(squared["e"][ids] + EPSILON)
         for name, g in grads.items():

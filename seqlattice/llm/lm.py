@@ -33,7 +33,6 @@ likely.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -48,7 +47,7 @@ from . import gru
 from .common import LOWER, byte_texts, lean, pick, written
 
 END = b"\n"  # no word has white space
-KNOWN, LONGEST, WARM_DOCS, FLUSH = 200_000, 64, 1500, 400_000
+KNOWN, LONGEST, WARM_DOCS, FLUSH = 200_000, 64, 1500, 1_000_000
 SHARD_TOKENS, MERGE = 2_000_000, 16
 SMOOTH = 0.1
 LN10 = float(np.log(10))
@@ -76,21 +75,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
+        texts = size = 0
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "c"])
-            count.clear()
-            return out
+            words, counts = pa.concat_arrays([*held, pa.array([END], pa.large_binary())]).value_counts().flatten()
+            # The one end mark stands for those of all texts.
+            c = counts.to_numpy().astype(np.int64)
+            c[-1] += texts - 1
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(c)], ["word", "c"])
 
         for batch in batches:
-            values, counts = all_words(batch.column(0))[1].value_counts().flatten()
-            for w, c in zip(values.to_pylist(), counts.to_pylist()):
-                count[w] += c
-            count[END] += len(batch)
-            if len(count) > FLUSH:
+            held.append(all_words(batch.column(0))[1])
+            texts, size = texts + len(batch), size + len(held[-1])
+            if size > FLUSH:
                 yield rows()
-        if count:
+                held, texts, size = [], 0, 0
+        if texts:
             yield rows()
 
     partial = docs.where("not held_out").select("text").mapInArrow(run, "word binary, c long")
@@ -137,7 +138,7 @@ class Lexicon:
 
 
 def items_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16).astype(np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
 def warm_weights(coded: DataFrame, documents: int, item_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,25 +249,19 @@ def scored(docs: DataFrame) -> DataFrame:
             logs = np.where(here, lex.log_count[numbers], 0.0)
             more = np.where(other, logs - log_share[np.where(other, items - gru.WORDS, 0)], 0.0)
             cols = [np.add.reduceat(x, edges) for x in ((here & lex.known[numbers]).astype(np.int64), logs, more)] if len(batch) else [np.zeros(0)] * 3
-            rare_words, rare_counts = [], []
             rare = np.flatnonzero(~here)
             text_of = np.searchsorted(begin, rare, "right") - 1
-            few: list[Counter] = [Counter() for _ in range(len(batch))]
-            for k, w in zip(text_of.tolist(), words.take(pa.array(rare - text_of)).to_pylist()):
-                few[k][w] += 1
-            for c in few:
-                rare_words.append(list(c))
-                rare_counts.append(list(c.values()))
-            short = items.astype(np.uint16)
-            packed = pa.array([short[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())
+            per_text = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(batch)))])
+            rare_words = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), words.take(pa.array(rare - text_of)).cast(pa.binary()))
+            packed = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(items.astype(np.uint16))])
             tags = pa.array([xxh3_64_intdigest(t or b"") - (1 << 63) for t in byte_texts(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), tags, pa.array(np.diff(begin).astype(np.int64)), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.float64)), pa.array(cols[2].astype(np.float64)), packed, pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int64()))],
-                ["doc_id", "held_out", "spot", "tag", "n_tokens", "n_known", "logs", "more", "items", "words", "times"])
+                [batch.column(0), batch.column(2), batch.column(3), tags, pa.array(np.diff(begin).astype(np.int64)), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.float64)), pa.array(cols[2].astype(np.float64)), packed, rare_words],
+                ["doc_id", "held_out", "spot", "tag", "n_tokens", "n_known", "logs", "more", "items", "words"])
 
     # A document's spot, which orders and deals the documents, is a hash of its id and text.
     spotted = docs.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("spot"))
-    parts = written(spotted.mapInArrow(encode, "doc_id long, held_out boolean, spot long, tag long, n_tokens long, n_known long, logs double, more double, items binary, words array<binary>, times array<long>"))
+    parts = written(spotted.mapInArrow(encode, "doc_id long, held_out boolean, spot long, tag long, n_tokens long, n_known long, logs double, more double, items binary, words array<binary>"))
     n_docs = parts.where("not held_out").count()
     warm = sc.broadcast(warm_weights(parts, n_docs, lexicon.value.item_counts))
     weights = sc.broadcast(trained_weights(parts, n_train, warm))
@@ -278,9 +273,8 @@ def scored(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(network, pa.float64())], ["doc_id", "held_out", "tag", "n_tokens", "n_known", "logs", "network"])
 
     scores = parts.select("doc_id", "held_out", "tag", "n_tokens", "n_known", "logs", "items", "more").mapInArrow(run, "doc_id long, held_out boolean, tag long, n_tokens long, n_known long, logs double, network double")
-    away = parts.where("size(words) > 0").dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "tag", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    log_c = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH) * F.col("n")
-    away = away.join(counts, "word", "left").groupBy("doc_id", "tag").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"), F.sum(log_c).alias("more_logs"))
+    away = parts.where("size(words) > 0").dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", F.explode("words").alias("word"))
+    away = away.join(counts, "word", "left").groupBy("doc_id", "tag").agg(F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("more_logs"))
     away = away.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "more_known", "more_logs")
     out = scores.join(away, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
     whole = float(np.log10(n_train + SMOOTH * (distinct + 1)))
