@@ -111,6 +111,26 @@ def nearest(targets: DataFrame, others: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def correlation(vectors: DataFrame) -> DataFrame:
+    """n_pairs, pearson of the similarities of all pairs by v and by w, for (id, v, w); block pairs give sums only."""
+    left = _blocks(vectors.select("id", "v"))
+    both = left.join(_blocks(vectors.select("id", F.col("w").alias("v"))).select("block", F.col("data").alias("other")), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for il, a, b, ir, c, d in zip(*(x.to_pylist() for x in batch.columns)):
+                x, y = (np.frombuffer(p).reshape(len(il), -1) @ np.frombuffer(q).reshape(len(ir), -1).T for p, q in ((a, c), (b, d)))
+                once = np.array(il)[:, None] < np.array(ir)[None, :] if il == ir else np.ones((len(il), len(ir)), bool)
+                x, y = x[once], y[once]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (len(x), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum())], ["n", "x", "y", "xx", "yy", "xy"])
+
+    pairs = both.toDF("bl", "il", "al", "dl").join(both.toDF("br", "ir", "ar", "dr"), F.expr("bl <= br")).select("il", "al", "dl", "ir", "ar", "dr")
+    sums = pairs.mapInArrow(run, "n long, x double, y double, xx double, yy double, xy double").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    top = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
+    below = F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
+    return sums.select(F.col("n").alias("n_pairs"), (top / F.nullif(below, F.lit(0.0))).alias("pearson"))
+
+
 def label_gap(vectors: DataFrame) -> DataFrame:
     """Mean similarity of pairs within and across labels, by sums of unit vectors instead of pairs."""
     from ..functions.vectors import dot, unit

@@ -35,6 +35,22 @@ def adjacent_bottom10(spark, sf_dir):
     return neighbours(spark, sf_dir).orderBy("cosine", "id_l").limit(10)
 
 
+_EXTREMES = "k AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, id_l, id_r) AS hi, row_number() OVER (ORDER BY cosine, id_l, id_r) AS lo FROM r) SELECT id_l, id_r, cosine, hi <= 12 AS is_top FROM k WHERE hi <= 12 UNION ALL SELECT id_l, id_r, cosine, false FROM k WHERE lo <= 12 AND hi > 12"
+
+
+def extremes(found: DataFrame, k: int = 12) -> DataFrame:
+    """The k most and the k least similar of pairs (id_l, id_r, cosine); one that is both is a top one."""
+    top = found.orderBy(F.desc("cosine"), "id_l", "id_r").limit(k).withColumn("is_top", F.lit(True))
+    low = found.orderBy("cosine", "id_l", "id_r").limit(k).withColumn("is_top", F.lit(False))
+    return top.unionByName(low).groupBy("id_l", "id_r", "cosine").agg(F.max("is_top").alias("is_top"))
+
+
+@registered("second_adjacent_extremes", f"WITH {SEQUENCES}, r AS (SELECT l.id AS id_l, r.id AS id_r, round(list_cosine_similarity(l.v, r.v), 6) AS cosine FROM b l JOIN b r ON r.pos = l.pos + 1), {_EXTREMES}")
+def second_adjacent_extremes(spark, sf_dir):
+    """The 12 most and least similar neighbours of the second ordering."""
+    return extremes(pairs.adjacent(tables.second_order(spark, sf_dir)).select("id_l", "id_r", F.round("cosine", 6).alias("cosine")))
+
+
 def random_means(seq: DataFrame, trials: int = TRIALS, first: int | None = None) -> DataFrame:
     """(trial, mean): mean similarity of neighbours in random orders, or of their first pairs only."""
     met = nulls.random_neighbours(seq, trials)
@@ -105,6 +121,19 @@ def mirror_pairs(spark, sf_dir):
     return pairs.mirrored(tables.sequence(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
 
 
+@registered("mirror_extremes", f"{_MIRROR}, r AS (SELECT id_l, id_r, round(c, 6) AS cosine FROM mir), {_EXTREMES}")
+def mirror_extremes(spark, sf_dir):
+    return extremes(pairs.mirrored(tables.sequence(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6)))
+
+
+@registered("cross_model_correlation", f"WITH {SEQUENCES} SELECT count(*) AS n_pairs, round(corr(list_cosine_similarity(x.v, y.v), list_cosine_similarity(x.v[1:48], y.v[1:48])), 6) AS pearson FROM items x JOIN items y ON x.id < y.id")
+def cross_model_correlation(spark, sf_dir):
+    """How the similarities of all pairs in one model's vectors go with those in another's; a smaller model is the first 48 components."""
+    items = tables.items(spark, sf_dir)
+    out = pairs.correlation(items.select("id", "v", F.slice("v", 1, 48).alias("w")))
+    return out.select("n_pairs", F.round("pearson", 6).alias("pearson"))
+
+
 @registered("mirror_null", f"""{_MIRROR}, k AS (SELECT n // 2 AS k, n * (n - 1) // 2 AS total FROM n),
 d AS (SELECT trial, draw, ('0x' || substr(md5('pair:' || trial || ':' || draw), 1, 12))::BIGINT % total AS p, k FROM k, (SELECT unnest(range({TRIALS})) AS trial) t, LATERAL (SELECT unnest(range(4 * k)) AS draw) x),
 f AS (SELECT trial, p, k, min(draw) AS draw FROM d GROUP BY trial, p, k), r AS (SELECT trial, p, k, row_number() OVER (PARTITION BY trial ORDER BY draw) AS q FROM f),

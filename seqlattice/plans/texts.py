@@ -214,14 +214,25 @@ def required_markers(spark, sf_dir):
     return wanted.join(held, "marker", "left_anti").select(F.lit("missing").alias("error"), "marker").unionByName(held.where("endswith(marker, '.pyc')").select(F.lit("forbidden").alias("error"), "marker"))
 
 
-WIKI = "{|\n!style=\"x\"|<span id=\"a\">%s</span>\n|秋の田の<br/>わが衣手は（あきのたの<br />わがころもでは）\n|[[天智天皇]]<br>（てんじ）\n|後撰集 秋 302\n"
+#: Wiki text of three records (number, verse, author, source), and the records.
+_WIKI = (
+    ("二", "春過ぎて<br/>夏来にけらし（はるすぎて<br />なつきにけらし）", "[[持統天皇]]<br>（じとう）", "新古今集 夏 175"),
+    ("百", "\'\'\'百敷や\'\'\'<br>古き軒端の", "[[順徳院]]", "無名集 恋 7"),
+    ("二十三", "月見れば&nbsp;<br/>千々に（つきみれば<br/>ちぢに）", "大江千里<br>（おおえ）", "古今集 秋上"),
+)
+WIKI = "{|\n" + "".join(f"!style=\"x\"|<span id=\"a\">{n}</span>\n|{v}\n|{a}\n|{s}\n" for n, v, a, s in _WIKI) + "!style=\"no span\"|x\n|}"
+_RECORDS = (
+    (2, "持統天皇", "じとう", "春過ぎて 夏来にけらし", "はるすぎて なつきにけらし", "春過ぎて", "夏来にけらし", "新古今集", "夏", "175", "夏", "夏"),
+    (100, "順徳院", "", "百敷や 古き軒端の", "", "百敷や", "古き軒端の", "", "無名集恋", "7", "恋", ""),
+    (23, "大江千里", "おおえ", "月見れば 千々に", "つきみれば ちぢに", "月見れば", "千々に", "古今集", "秋上", "", "秋", "秋"),
+)
+_FIELDS = "id poet poet_kana original kana upper lower anthology book number theme season".split()
 
 
-@registered("wiki_rows")
+@registered("wiki_rows", f"SELECT * FROM (VALUES {', '.join(map(repr, _RECORDS))}) r({', '.join(_FIELDS)})")
 def wiki_rows(spark, sf_dir):
     """Records of wiki text, which goes through the parser as lines with their numbers."""
     from ..operators.wiki import records as parsed
 
-    source = "".join(WIKI % n for n in ("二", "一", "百", "二十三"))
-    lines = spark.createDataFrame([(k, x) for k, x in enumerate(source.split("\n"))], "line_no long, line string")
+    lines = spark.createDataFrame(list(enumerate(WIKI.split("\n"))), "line_no long, line string")
     return parsed(lines)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +27,30 @@ def local_vectors(texts: list[str], size: int = 64) -> list[list[float]]:
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0).tolist()
 
 
+def http_vectors(url: str, model: str, key: str = "", timeout: float = 120, attempts: int = 3) -> Provider:
+    """A provider that posts texts to a service and takes the vectors in the order of their index.  Errors of the service's side and time-outs are tried again."""
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(url, json.dumps({"model": model, "input": texts}).encode(), headers, method="POST")
+        for left in range(attempts - 1, -1, -1):
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as response:
+                    data = json.load(response).get("data", [])
+                break
+            except urllib.error.HTTPError as e:
+                if e.code < 500 or not left:
+                    raise RuntimeError(f"{url}: {e.code} {e.read().decode(errors='replace')[:2000]}") from e
+            except OSError:
+                if not left:
+                    raise
+        if sorted(item["index"] for item in data) != list(range(len(texts))):
+            raise ValueError(f"{url}: {len(data)} vectors for {len(texts)} texts")
+        return [item["embedding"] for item in sorted(data, key=lambda item: item["index"])]
+
+    return ask
+
+
 def embedded(records: DataFrame, provider: Provider = local_vectors, batch_size: int = 100) -> DataFrame:
     """records (id, text) with sha and embedding, asked for in batches; a task that runs again asks for the same."""
 
@@ -48,8 +75,8 @@ def matches(wanted: DataFrame, held: DataFrame) -> bool:
     return cache_status(wanted, held).where("status <> 'fresh'").limit(1).count() == 0
 
 
-def refreshed(wanted: DataFrame, held: DataFrame, provider: Provider = local_vectors) -> DataFrame:
+def refreshed(wanted: DataFrame, held: DataFrame, provider: Provider = local_vectors, batch_size: int = 100) -> DataFrame:
     """The vectors of wanted (id, text): what fits from held (id, sha, embedding), the rest from the provider."""
     keyed = wanted.select(F.col("id").cast("string").alias("id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     kept = held.join(keyed.select("id", "sha"), ["id", "sha"], "left_semi").select("id", "sha", "embedding")
-    return kept.unionByName(embedded(keyed.join(held.select("id", "sha"), ["id", "sha"], "left_anti"), provider))
+    return kept.unionByName(embedded(keyed.join(held.select("id", "sha"), ["id", "sha"], "left_anti"), provider, batch_size))

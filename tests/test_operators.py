@@ -138,3 +138,121 @@ def test_tree_of_files(spark, tmp_path):
         (tmp_path / name).write_text("é")
     got = files.read_tree(spark, f"{tmp_path}/t", (".md", ".txt")).collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in got) == ["a.md", "b.txt"] and {r.text for r in got} == {"é"}
+
+
+def test_commands(spark, tmp_path):
+    from seqlattice.__main__ import main
+
+    data = tmp_path / "data"
+    data.mkdir()
+    assert main(["init", "--data", str(data)]) == 0 and main(["init", "--data", str(data)]) == 0
+    assert main(["check", "--data", str(data)]) == 0
+    poems = tmp_path / "poems.csv"
+    poems.write_text("\ufeffid,poet_jp,waka_original,waka_kana,theme,season,notes\n1,A,秋の、田,あき の,恋,,n\n2,B,,,,,\n", encoding="utf-8")
+    assert main(["normalize", "--input", str(poems), "--output", f"{tmp_path}/n", "--mode", "all"]) == 0
+    got = {r.id: r for r in spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(f"{tmp_path}/n").collect()}
+    assert got["1"].normalized_original == "秋の田" and got["1"].embedding_text == "秋の田\nあきの\ntheme: 恋\nnotes: n"
+    ask = ["embed", "--input", str(poems), "--output", f"{tmp_path}/v", "--batch-size", "1"]
+    assert main([*ask, "--dry-run"]) == 0 and not (tmp_path / "v").exists()
+    assert main(ask) == 0 and spark.read.parquet(f"{tmp_path}/v").count() == 2
+    before = sorted(p.name for p in (tmp_path / "v").glob("part-*"))
+    assert main(ask) == 0 and sorted(p.name for p in (tmp_path / "v").glob("part-*")) == before
+    assert main([*ask, "--force"]) == 0 and sorted(p.name for p in (tmp_path / "v").glob("part-*")) != before
+    assert main(["export", "--input", str(poems), "--output", f"{tmp_path}/e"]) == 0
+    texts = "".join(r.value for r in spark.read.text(f"{tmp_path}/e").collect())
+    assert "秋" not in texts and '"text_status":"omitted"' in texts and '"season":null' in texts
+    raw = tmp_path / "wiki.txt"
+    from seqlattice.plans import texts as plans
+
+    raw.write_text(plans.WIKI, encoding="utf-8")
+    assert main(["import-wiki", "--raw", str(raw), "--output", f"{tmp_path}/w"]) == 0 and spark.read.csv(f"{tmp_path}/w", header=True).count() == 3
+    (data / "poems.csv").unlink() if (data / "poems.csv").is_file() else __import__("shutil").rmtree(data / "poems.csv")
+    columns = "id,poet_jp,poet_kana,waka_original,waka_kana,kami_no_ku,shimo_no_ku,source_anthology,source_book,source_number,theme,season,notes"
+    (data / "poems.csv").write_text(columns + "\n" + "\n".join(f"{k},,,,,,,,,,,," for k in ("1", "1", "x", "900")) + "\n")
+    assert main(["check", "--data", str(data)]) == 1
+
+
+def test_http_vectors_come_in_the_order_of_their_index():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    import pytest
+    from seqlattice.sources import embedding
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.headers["Authorization"], body["model"]))
+            self.send_response(503 if len(asked) == 1 else 400 if body["input"] == ["bad"] else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": [{"index": k, "embedding": [float(len(t))]} for k, t in reversed(list(enumerate(body["input"])))]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = embedding.http_vectors(f"http://127.0.0.1:{server.server_port}/", "m", "k", timeout=5)
+    assert ask(["a", "bbb", "cc"]) == [[1.0], [3.0], [2.0]] and asked == [("Bearer k", "m")] * 2
+    with pytest.raises(RuntimeError, match="400"):
+        ask(["bad"])
+    server.shutdown()
+
+
+def test_addresses_stay_below_the_root(spark):
+    from pyspark.sql import functions as F
+    from seqlattice.operators import html
+
+    rows = [("/a/b/c.html", s) for s in ("x.png", "../x.png?v=1", "/y/z%20w.png", "../../x.png", "../../../x.png", "https://h/x.png", "//h/x.png", "data:x", "./x/../y.png")]
+    got = [r[0] for r in spark.createDataFrame(rows, "page string, src string").select(html.inside_root(F.col("page"), F.col("src"))).collect()]
+    assert got == ["/a/b/x.png", "/a/x.png", "/y/z w.png", "/x.png", None, None, None, None, "/a/b/y.png"]
+    manifest = html.image_manifest(spark.createDataFrame([("two", "H|1", 1, "a.png", "see [this](x) | that"), ("one", "H", 1, "b.png", None)], "chapter string, heading string, place int, image string, caption string"))
+    assert manifest.split("\n")[4:] == ["| one | H | 1 | `images/b.png` |", "| two | H\\|1 | 1 | `images/a.png` | see this \\| that |", ""]
+
+
+def test_configurations_have_to_fill_the_grid(spark):
+    import pytest
+    from seqlattice.operators import grid
+
+    base = spark.createDataFrame([(0, 0, 5), (0, 1, 6)], "group long, ordinal long, id long")
+    good = spark.createDataFrame([("a", 0, 2, 7), ("b", 0, 2, 8)], "config string, group long, ordinal long, id long")
+    grid.check_full(base, good, 3)
+    for bad, n in ((good, 4), (good.selectExpr("config", "group", "1L as ordinal", "id"), 3), (good.where("config = 'a'").unionByName(good.where("config = 'a'")), 4)):
+        with pytest.raises(ValueError):
+            grid.check_full(base, bad, n)
+
+
+def test_kernel_of_omissions_against_plain_means(spark):
+    import numpy as np
+    from seqlattice.operators import nulls
+
+    n, rng = 10, np.random.default_rng(1)
+    v = rng.standard_normal((n, 4))
+    sim = v @ v.T
+    pairs = [(u, w) for u in range(n - 1) for w in range(u + 1, n - 1) if (u * 7 + w) % 3 == 0]
+    orders = nulls.seeded_orders(n - 1, 250, 3)
+    kept = [[k for k in range(n) if k != o] for o in range(n)]
+    random_means = np.array([[np.mean([sim[kept[o][p[u]], kept[o][p[w]]] for u, w in pairs]) for o in range(n)] for p in orders])
+    means = {o: float(np.mean([sim[kept[o][u], kept[o][w]] for u, w in pairs])) for o in range(n)}
+    edges = spark.createDataFrame([(4, u, w) for u, w in pairs], "kind int, u long, v long")
+    observed = spark.createDataFrame([("one", 4, o, m) for o, m in means.items()], "layout string, kind int, omitted long, mean double")
+    for r in nulls.kernel_omissions(edges, sim, orders, observed).collect():
+        own = random_means[:, r.omitted]
+        assert abs(r.random_mean - own.mean()) < 1e-5 and abs(r.random_sd - own.std()) < 1e-5
+        assert abs(r.percentile - (own <= means[r.omitted] + 1e-12).mean()) < 1e-6 and abs(r.z_score - (means[r.omitted] - own.mean()) / own.std()) < 1e-3
+
+
+def test_a_block_of_pairs_is_the_same_each_time_it_is_made(spark):
+    """Rows of a block come in any order; pairs are counted once all the same."""
+    from seqlattice.operators import pairs
+
+    rows = [(k, [float(k % 7), float(k % 5) + 1, float(k % 3)]) for k in range(60)]
+    want = None
+    for seed in range(4):
+        df = spark.createDataFrame(rows, "id long, v array<double>").repartition(7, "v").orderBy(F.rand(seed)).repartition(5)
+        got = [tuple(r) for r in pairs.extreme_pairs(df, 30, False).collect()]
+        want = want or got
+        assert got == want and len({r[:2] for r in got}) == 30
