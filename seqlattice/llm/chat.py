@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import lean, pick
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = -1, 0, 1, 2
@@ -156,10 +156,12 @@ def repaired(turns: DataFrame) -> DataFrame:
     turns = pick(turns, conv_id="long", turn="long", role="string", text="string")
     turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))).cast("long"))
 
+    @lean
     def to_matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, chunk), rows in _segments(batches, 2):
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([matrix([r[3] for r in rows])], pa.list_(pa.int64()))], ["conv_id", "chunk", "costs"])
 
+    @lean
     def to_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv,), rows in _segments(batches, 1):
             states = borders([r[2] for r in rows])
@@ -168,6 +170,7 @@ def repaired(turns: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "chunk", "entry", "leave", "last"])
 
+    @lean
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, _), rows in _segments(batches, 2):
             out = pieces([(r[3], r[4]) for r in rows], *rows[0][5:8])

@@ -42,6 +42,22 @@ def test_repair_is_cheapest():
             assert got == cost_of(roles) and whole[0] == chat.START
 
 
+def test_the_chosen_path_has_the_least_cost():
+    """Step by step, through chunks of two turns as well."""
+    for n in range(1, 6):
+        for roles in itertools.product(("system", "user", "assistant", "tool"), repeat=n):
+            for size in (n, 2):
+                chunks = [list(roles[k : k + size]) for k in range(0, n, size)]
+                states = chat.borders([chat.matrix(c) for c in chunks])
+                total, at = chat.INSERT * len(chat.CLOSE[states[-1]]), chat.START
+                for c, entry, leave in zip(chunks, states, states[1:]):
+                    for role, (state, to, merged) in zip(c, chat.path(c, entry, leave)):
+                        assert state == at and (state == to if merged else (state, to) in chat.FILL)
+                        total += chat.label_cost(role, to) + (chat.MERGE if merged else chat.INSERT * len(chat.FILL[state, to]))
+                        at = to
+                assert at == states[-1] and total == cost_of(roles)
+
+
 def test_rendered_conversations_are_legal_and_chunks_change_nothing(spark, monkeypatch):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "assistant", "x"), (2, 5, "system", "y"), (2, 6, None, None), (None, 0, "user", "<|im_end|>"), (3, None, "user", "n"), (3, 0, "assistant", "m"), (3, 0, "assistant", "m")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

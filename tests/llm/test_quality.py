@@ -37,3 +37,11 @@ def test_edges(spark):
     only = df.toDF("doc_id", "text", "other").select("doc_id", "text")
     assert sorted(str(r.doc_id) for r in quality.filtered(only).collect()) == ["4", "4", "None"]
     assert quality.measured(only.limit(0)).count() == 0 == quality.filtered(only.limit(0)).count()
+
+
+def test_rules_are_timed_on_what_is_measured_before():
+    import time
+
+    seen = []
+    rules = {"reads": lambda v: seen.append("n_words" in v.__dict__) or False, "slow": lambda v: time.sleep(0.001) or True}
+    assert quality.by_yield([b"a b"] * 3, rules, ready=lambda v: v.n_words) == ["slow", "reads"] and seen == [True] * 3
