@@ -40,6 +40,11 @@ def read_records(spark: SparkSession, path: str, field: str = "records") -> Data
     return df.select(*meta, F.explode(field).alias("_r")).select(*meta, "_r.*")
 
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points of a JSON document of principal components, by id."""
+    return read_records(spark, path, "points").orderBy("id")
+
+
 def read_tree(spark: SparkSession, path: str, suffixes: tuple[str, ...], without: tuple[str, ...] = ("__pycache__",)) -> DataFrame:
     """path, text of all files below a folder with one of the suffixes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -82,3 +87,18 @@ def zip_pages(pages: DataFrame, path: str) -> list[str]:
             z.writestr(r.name, r.markdown)
             names.append(r.name)
     return names
+
+
+def package(pages: DataFrame, manifest: str, path: str) -> list[str]:
+    """A deflated archive of pages (name, markdown), all of them in one file, and a manifest of images; the names, sorted.
+
+    It is written on the driver page by page; the file of all pages is read once more."""
+    with zipfile.ZipFile(Path(path), "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("IMAGES.md", manifest)
+        with z.open("all.md", "w") as whole:
+            for k, r in enumerate(pages.orderBy("name").toLocalIterator()):
+                whole.write((("\n\n---\n\n" if k else "") + r.markdown.strip()).encode())
+            whole.write(b"\n")
+        for r in pages.orderBy("name").toLocalIterator():
+            z.writestr(f"pages/{r.name}", r.markdown.strip() + "\n")
+        return sorted(z.namelist())

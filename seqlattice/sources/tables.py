@@ -51,6 +51,13 @@ def missing_ids(all_items: DataFrame) -> DataFrame:
     return rest.orderBy(F.md5(F.concat(F.lit("A:"), F.col("id").cast("string")))).limit(MISSING)
 
 
+def is_own(variant: bool = False) -> Column:
+    """Whether a row of the second ordering (hyakunin_id, variant_group) has no counterpart in the first; if asked, also where its group says so."""
+    id_ = F.col("hyakunin_id").cast("string")
+    absent = id_.isNull() | (F.trim(id_) == "")
+    return absent | F.coalesce(F.col("variant_group") == "shuka_only", F.lit(False)) if variant else absent
+
+
 def first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ordering: pos, id, v, label."""
     every = items(spark, sf_dir)

@@ -256,3 +256,35 @@ def test_a_block_of_pairs_is_the_same_each_time_it_is_made(spark):
         got = [tuple(r) for r in pairs.extreme_pairs(df, 30, False).collect()]
         want = want or got
         assert got == want and len({r[:2] for r in got}) == 30
+
+
+def test_figures_are_whole_svg(spark):
+    import re
+    import xml.etree.ElementTree as tree
+
+    from seqlattice.sources import svg
+
+    points = spark.createDataFrame([(k, k, k, float(k), float(k * k % 7), "#b03a2e" if k % 2 else None, k * 0.5, k * 0.25, k + 1.0, f"a<{k}>&") for k in range(12)], "id int, pos int, k int, x double, y double, colour string, value double, low double, high double, label string")
+    drawn = {"map": svg.points_map(points, "Map & more", connected=True), "path": svg.path(points, "Path"), "band": svg.band(points, "Band"), "bars": svg.bars(points, "Bars")}
+    count = lambda name, what: len(tree.fromstring(drawn[name]).findall(f"{{http://www.w3.org/2000/svg}}{what}"))
+    assert count("map", "circle") == 12 and count("map", "polyline") == 1 and count("path", "line") == 11 and count("band", "polygon") == 1 and count("bars", "rect") == 13
+    assert all(re.fullmatch(r"-?[0-9]+\.[0-9]{2}", v) for v in re.findall(r' c[xy]="([^"]*)"', drawn["map"]))
+    for empty in (svg.points_map, svg.path, svg.band, svg.bars):
+        tree.fromstring(empty(points.limit(0), "none"))
+    with pytest.raises(ValueError):
+        svg.rows_of(spark.range(svg.MOST_ROWS + 1))
+
+
+def test_packages_points_and_own_rows(spark, tmp_path):
+    import zipfile
+
+    from seqlattice.sources import tables
+
+    pages = spark.createDataFrame([("b.md", "# B\n"), ("a.md", "# A")], "name string, markdown string")
+    assert files.package(pages, "# Image Manifest\n", f"{tmp_path}/p.zip") == ["IMAGES.md", "all.md", "pages/a.md", "pages/b.md"]
+    with zipfile.ZipFile(f"{tmp_path}/p.zip") as z:
+        assert z.read("all.md").decode() == "# A\n\n---\n\n# B\n" and z.read("pages/b.md") == b"# B\n"
+    (tmp_path / "points.json").write_text('{"meta": {"method": "pca"}, "points": [{"id": 2, "x": 1.0, "y": 0.0}, {"id": 1, "x": 0.5, "y": 2.0}]}')
+    assert [r.id for r in files.read_points(spark, f"{tmp_path}/points.json").collect()] == [1, 2]
+    rows = spark.createDataFrame([(1, "1", None), (2, None, None), (3, " ", ""), (4, "5", "shuka_only")], "k int, hyakunin_id string, variant_group string")
+    assert [[r.k for r in rows.where(tables.is_own(v)).collect()] for v in (False, True)] == [[2, 3], [2, 3, 4]]
