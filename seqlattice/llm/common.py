@@ -116,6 +116,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a few whole numbers each that may be sent to every executor.
+FEW_ROWS = 2_000_000
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most FEW_ROWS rows; beyond that a join with it is a shuffle."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """df as a table in the shared folder, bucketed and sorted by key, so that joins on it needn't shuffle it again.
 

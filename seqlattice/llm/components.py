@@ -19,6 +19,8 @@ def connected(edges: DataFrame) -> DataFrame:
     and a round that changes none is the last.
     """
     both = written(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if not both.limit(1).count():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import LOWER, bucketed, byte_texts, forget, lean, mix64, numbered, pick, written
+from .common import LOWER, bucketed, byte_texts, forget, if_few, lean, mix64, numbered, pick, written
 from .components import connected
 
 BANDS, ROWS, MANTISSA, SPLIT = 56, 6, 10, 1024
@@ -417,7 +417,7 @@ def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     heads = written(heads.select("id", "n", "each", "dealt"))
     shared = written(in_company(banded(heads)))
     ids = written(shared.select("id").distinct())
-    texts = bucketed(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").distinct(), "id")
+    texts = bucketed(docs.select(F.col("doc_id").alias("id"), "text").join(if_few(ids), "id", "left_semi").distinct(), "id")
 
     single = shared.where("early").select("key", F.lit(1).cast("long").alias("size"), F.col("id").alias("component"))
     pairs = beside_hub(single).select(F.col("hub").alias("a"), F.col("component").alias("b")).distinct()
@@ -453,7 +453,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     Rows without an id stay.  Of rows equal in id and text one stays (which one
     isn't defined); rows that share an id only are different documents."""
     judged = written(components(docs, size, percent))
-    gone = judged.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = if_few(written(judged.where("not kept").select(F.col("doc_id").alias("gone")).distinct()))
     rows, names = numbered(docs)
     key, text = f"_{names.index('doc_id')}", f"_{names.index('text')}"
     rows = rows.join(gone, F.col(key).cast("long") == F.col("gone"), "left_anti")

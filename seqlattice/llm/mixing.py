@@ -120,11 +120,12 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     parts = parts.groupBy("doc_id", "mark", "domain", "lang", "source", "epoch", "n_tokens").agg(F.sum(F.when(whole, 1).otherwise(0)).alias("p_whole"), F.max(F.when(~whole, F.col("take_tokens"))).alias("p_part"))
     rows, names = numbered(docs)
     key, text, lang, source = (F.col(f"_{names.index(c)}") if c in names else F.lit(None).cast("string") for c in ("doc_id", "text", "lang", "source"))
-    rows = rows.withColumns({"r_id": key.cast("long"), "r_mark": F.md5(F.coalesce(text.cast("string"), F.lit(""))), "r_lang": F.coalesce(lang.cast("string"), F.lit("")), "r_source": F.coalesce(source.cast("string"), F.lit(""))})
-    copies = Window.partitionBy("r_id", "r_mark", "r_lang", "r_source").orderBy(F.lit(1))
-    rows = rows.withColumn("copy", F.row_number().over(copies))
-    parts = parts.toDF("p_id", "p_mark", "domain", "p_lang", "p_source", "epoch", "n_tokens", "p_whole", "p_part")
-    out = rows.join(parts, F.col("r_id").eqNullSafe(F.col("p_id")) & (F.col("r_mark") == F.col("p_mark")) & (F.col("r_lang") == F.col("p_lang")) & (F.col("r_source") == F.col("p_source")))
+    # One key without nulls for numbering and join, so that texts are moved once.
+    same = ["r_id", "r_mark", "r_lang", "r_source"]
+    rows = rows.withColumns({"r_id": F.coalesce(key.cast("long").cast("string"), F.lit("")), "r_mark": F.md5(F.coalesce(text.cast("string"), F.lit(""))), "r_lang": F.coalesce(lang.cast("string"), F.lit("")), "r_source": F.coalesce(source.cast("string"), F.lit(""))})
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
+    parts = parts.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).toDF("r_id", "r_mark", "domain", "r_lang", "r_source", "epoch", "n_tokens", "p_whole", "p_part")
+    out = rows.join(parts, same)
     out = out.withColumn("take_tokens", F.when(F.col("copy") <= F.col("p_whole"), F.col("n_tokens")).when(F.col("copy") == F.col("p_whole") + 1, F.col("p_part"))).where("take_tokens is not null")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("take_tokens").cast("int")), " ")
     put = F.when(F.col("take_tokens") < F.col("n_tokens"), cut).otherwise(text)
