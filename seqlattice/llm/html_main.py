@@ -21,6 +21,8 @@ outside of elements that say what they are.
 The pages are put in a global order once, in partitions.  A page whose
 neighbour is in another partition is settled with those of other partitions'
 ends, in as many rounds as it takes until one small task has the last ones.
+Only hashes and sizes of lines are moved for this; what pages lose is then
+sent to the lines if it is small (a count is taken), else joined.
 
 Nulls: a null html gives an empty text; pages without url form a host of their
 own; a null page_id passes through.  Repeated rows count as one page and have
@@ -72,6 +74,8 @@ ARTICLE, FURNITURE, OUTSIDE, NAMED = 0, 1, 2, 3
 FEW_WORDS = 5
 #: Rows that the last round of pairing settles in one task.
 LAST_ROWS = 2000
+#: What pages lose is sent to all executors up to so many numbers (keys and lines).
+FEW_NUMBERS = 10_000_000
 
 Line = tuple[str, int]  # text, place
 
@@ -265,7 +269,7 @@ def common_by_halves(a: list[int], b: list[int]) -> list[int]:
     return common_by_halves(a[:mid], b[:j]) + [mid + k for k in common_by_halves(a[mid:], b[j:])]
 
 
-Page = tuple  # page_id, url, tag, host, path, hashes and sizes (characters * 4 + place) of all lines, own lines, copies of the row, whether it is settled
+Page = tuple  # page_id, url, tag, host, path, hashes and sizes (characters * 4 + place) of all lines, whether it is settled
 
 
 def alike(a: str, b: str) -> int:
@@ -295,21 +299,20 @@ def to_delete(page: Page, before: Page | None, after: Page | None) -> set[int]:
 
 
 def result(page: Page, gone: set[int]) -> tuple:
-    """page_id, url, text, lines deleted by differences, further lines that structure leaves out."""
+    """page_id, url, tag, which of its own lines the page loses by differences, and how many of all."""
     places = [s & 3 for s in page[6]]
     own = own_places(places)
     at = [i for i, p in enumerate(places) if p in own]
-    text = "\n\n".join(t for i, t in zip(at, page[7]) if i not in gone)
-    return page[0], page[1], text, len(gone), len(places) - len(at) - sum(places[i] not in own for i in gone)
+    return *page[:3], [k for k, i in enumerate(at) if i in gone], len(gone)
 
 
 _KEY = ["host", "path", "page_id", "url", "tag"]
-_PAGE = "page_id long, url string, tag long, host string, path string, hashes array<long>, sizes array<long>, lines array<string>, copies long, settled boolean"
+_PAGE = "page_id long, url string, tag long, host string, path string, hashes array<long>, sizes array<long>, settled boolean"
 _PAGE_NAMES = [x.split()[0] for x in _PAGE.split(", ")]
-_PAGE_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.bool_()]
-_OUT = "out_id long, out_url string, text string, n_deleted long, n_structural long, times long"
+_PAGE_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
+_OUT = "p long, u string, t long, gone array<long>, n_gone long"
 _OUT_NAMES = [x.split()[0] for x in _OUT.split(", ")]
-_OUT_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+_OUT_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -318,7 +321,8 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """The pages' keys, lines, and what pairing needs of them."""
+    """What pairing needs of the pages, their own lines, and how many others there are."""
+    schema = _PAGE + ", lines array<string>, n_other long"
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,20 +332,20 @@ def parsed(pages: DataFrame) -> DataFrame:
                 for page_id, url, html in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
                     lines = lines_of(html)
                     own = own_places([p for _, p in lines])
+                    mine = [t for t, p in lines if p in own]
                     rows.append((page_id, url, xxh3_64_intdigest((html or "").encode()) - (1 << 63), *place_of(url), [xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in lines],
-                                 [len(t) * 4 + p for t, p in lines], [t for t, p in lines if p in own], 1, False))
-                yield _batch(rows, _PAGE_NAMES, _PAGE_KINDS)
+                                 [len(t) * 4 + p for t, p in lines], False, mine, len(lines) - len(mine)))
+                yield _batch(rows, [*_PAGE_NAMES, "lines", "n_other"], [*_PAGE_KINDS, pa.list_(pa.string()), pa.int64()])
 
-    return pages.mapInArrow(run, _PAGE)
+    return pages.mapInArrow(run, schema)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:
-    """The pages, of equal ones next to each other one, with their number."""
+    """The pages, of equal ones next to each other one."""
     held: list | None = None
     for row in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
         if held and row[:3] == tuple(held[:3]):
-            held[8] += row[8]
-            held[9] = held[9] or row[9]
+            held[7] = held[7] or row[7]
             continue
         if held:
             yield tuple(held)
@@ -361,7 +365,7 @@ def _neighbours(rows: Iterator[Page]) -> Iterator[tuple[Page, Page | None, Page
 
 
 def settled(ordered: DataFrame, last: bool) -> DataFrame:
-    """From pages in order: results of those that have both neighbours here (of all, if last), and the pages at the ends of partitions with those next to them.
+    """From pages in order: what those lose that have both neighbours here (all, if last), and the pages at the ends of partitions with those next to them.
 
     A page that is there for another one's sake counts as settled."""
     ends = _OUT + ", " + _PAGE
@@ -373,14 +377,14 @@ def settled(ordered: DataFrame, last: bool) -> DataFrame:
         previous: Page | None = None
         for k, (page, before, after) in enumerate(_neighbours(_each(batches))):
             outer = not last and (before is None or after is None)
-            if not page[9] and not outer:
-                held.append((*result(page, to_delete(page, before, after)), page[8], *none_page))
+            if not page[7] and not outer and (gone := to_delete(page, before, after)):
+                held.append((*result(page, gone), *none_page))
             if outer:
                 held.append((*none_out, *page))
                 if after is None and k > 2:
-                    held.append((*none_out, *previous[:9], True))
+                    held.append((*none_out, *previous[:7], True))
             elif not last and k == 1:
-                held.append((*none_out, *page[:9], True))
+                held.append((*none_out, *page[:7], True))
             previous = page
             if len(held) >= 500:
                 yield _batch(held, _OUT_NAMES + _PAGE_NAMES, _OUT_KINDS + _PAGE_KINDS)
@@ -394,17 +398,22 @@ def settled(ordered: DataFrame, last: bool) -> DataFrame:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text (lines joined by two line ends), n_chars, n_deleted (lines deleted by differences), n_structural (further lines left out by structure)."""
     pages = pick(pages, page_id="long", url="string", html="string")
-    rows, done = written(parsed(pages)), None
+    read, done = written(parsed(pages)), None
+    rows = read.select(*_PAGE_NAMES)
     ordered = rows.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY)
     while True:
         round_ = written(settled(ordered, last=False))
-        own = round_.where("times is not null").select(*_OUT_NAMES)
-        done = own if done is None else done.unionByName(own)
-        rows = round_.where("times is null").select(*_PAGE_NAMES)
+        lost = round_.where("n_gone is not null").select(*_OUT_NAMES)
+        done = lost if done is None else done.unionByName(lost)
+        rows = round_.where("n_gone is null").select(*_PAGE_NAMES)
         n = rows.count()
         if n <= LAST_ROWS:
             break
         ordered = rows.repartitionByRange(-(-4 * n // LAST_ROWS), *_KEY).sortWithinPartitions(*_KEY)
-    done = done.unionByName(settled(rows.repartition(1).sortWithinPartitions(*_KEY), last=True).select(*_OUT_NAMES))
-    each = done.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return each.select(F.col("out_id").alias("page_id"), F.col("out_url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"), "n_deleted", "n_structural")
+    done = written(done.unionByName(settled(rows.repartition(1).sortWithinPartitions(*_KEY), last=True).select(*_OUT_NAMES)))
+    weight = done.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
+    done = F.broadcast(done) if weight <= FEW_NUMBERS else done
+    joined = read.join(done, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("tag") == F.col("t")), "left")
+    kept = F.when(F.size("gone") > 0, F.filter("lines", lambda x, i: ~F.array_contains("gone", i.cast("long")))).otherwise(F.col("lines"))
+    out = joined.select("page_id", "url", F.array_join(kept, "\n\n").alias("text"), F.coalesce("n_gone", F.lit(0).cast("long")).alias("n_deleted"), (F.col("n_other") - F.coalesce(F.col("n_gone") - F.size("gone"), F.lit(0))).cast("long").alias("n_structural"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted", "n_structural")
