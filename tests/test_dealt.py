@@ -95,27 +95,26 @@ def test_omissions_against_plain_means(spark):
         assert np.allclose((r["mean"], r.random_mean, r.random_sd, r.z_score, r.percentile), want[r.layout, r.kind, r.omitted], atol=1e-4, rtol=1e-4)
 
 
-@pytest.mark.parametrize("size", [2, 65, 1000, 3001])
-def test_draws_are_those_of_the_generator(size):
-    rng, order, want = random.Random(5), list(range(size)), list(range(size))
-    draws = nulls.Draws(nulls._state(random.Random(5)))
-    for trial in range(12):
-        if trial == 7:
-            state = draws.state()
-            draws = nulls.Draws(state[:625], state[625])
-        nulls.shuffled(order, draws)
+@pytest.mark.parametrize("size", [0, 1, 2, 64, 1001])
+def test_shuffles_are_those_of_the_generator(size):
+    rng, mine, far = random.Random(5), random.Random(5), random.Random(5)
+    order, want = list(range(size)), list(range(size))
+    for _ in range(5):
+        nulls.shuffled(order, mine)
+        nulls.passed(size, far)
         rng.shuffle(want)
-        assert order == want
+        assert order == want and rng.getstate() == mine.getstate() == far.getstate()
 
 
-@pytest.mark.parametrize("size", [30, 1100])
-def test_parts_of_seeded_orders_continue_each_other(spark, size):
-    orders, got = nulls.SeededOrders(size, 11, 3), []
+@pytest.mark.parametrize("most", [10, 20_000])
+def test_parts_of_seeded_orders_continue_each_other(spark, monkeypatch, most):
+    monkeypatch.setattr(nulls.SeededOrders, "SMALL", most)
+    orders, got = nulls.SeededOrders(110, 11, 3), []
     starts = orders.starts(spark, 3).collect()
     for part in range(3):
         rows = pa.Table.from_pylist([{"what": r.what, "ids": bytes(r.ids), "width": r.width, "data": b""} for r in starts if r.number == part])
         got += list(orders.of(part, 3, rows))
-    assert np.array_equal(np.array(got), nulls.seeded_orders(size, 11, 3))
+    assert np.array_equal(np.array(got), nulls.seeded_orders(110, 11, 3))
 
 
 @pytest.mark.parametrize("name", ["layout_kernel_null", "loo_kernel_scan"])
