@@ -125,3 +125,21 @@ def test_kernels_take_more_items_than_a_matrix_of_pairs(spark, tmp_path, monkeyp
     spark.range(5100).selectExpr("id as vec_id", "array(float(sin(id)), float(cos(id * 3)), float(sin(id * id))) as embedding", "int(id % 10) as label").write.parquet(f"{tmp_path}/embeddings.parquet")
     rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     assert len(rows) == (14 if name == "layout_kernel_null" else 14 * 5097) and all(r.random_sd is not None for r in rows)
+
+
+def test_random_orders_of_pairs_and_points_against_plain_means(spark):
+    items, u = vectors_of(spark, 11)
+    order = by_digest(range(11), "1:")
+    plain = np.array([u[a] @ u[b] for a, b in zip(order, order[1:])])
+    for want, kw in ((plain, {}), (plain[:4], {"first": 4}), (plain[1::2], {"parity": 1})):
+        assert abs({r.trial: r["mean"] for r in nulls.order_means(items, 3, **kw).collect()}[1] - want.mean()) < 1e-12
+    v = np.array([r.v for r in items.orderBy("id").collect()])[:, :2]
+    got = {(r.trial, r.lag): r.msd for r in nulls.displacements(items.selectExpr("id", "slice(v, 1, 2) as v"), 2, 40).collect()}
+    assert set(got) == {(t, lag) for t in (0, 1) for lag in range(1, 11)}
+    assert abs(got[1, 3] - ((v[order[3:]] - v[order[:-3]]) ** 2).sum(axis=1).mean()) < 1e-12
+
+
+def test_the_band_has_the_references_trials():
+    from seqlattice.plans import catalogue, sequences
+
+    assert sequences.MSD_TRIALS == 10_000 and "range(10000)" in catalogue.ORACLES["msd_band"]
