@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from . import dealt
 
 BLOCK = 2048
+#: Components of a group of vectors at most, and rows and columns that are multiplied at once.
+GROUP, LEFT, RIGHT = 65_536 * 64, 512, 2048
 
 
 def side(df: DataFrame, suffix: str, *columns: str) -> DataFrame:
@@ -56,57 +59,138 @@ def _blocks(vectors: DataFrame) -> DataFrame:
     return keyed.groupBy("block").applyInArrow(pack, "block int, ids array<long>, data binary")
 
 
-def _products(left: DataFrame, right: DataFrame, keep, schema: str, same: bool) -> DataFrame:
-    """keep(ids, ids, similarities) -> columns, for each pair of blocks (for one set of items, each unordered pair once)."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids_l, data_l, ids_r, data_r in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(data_l).reshape(len(ids_l), -1), np.frombuffer(data_r).reshape(len(ids_r), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in keep(np.array(ids_l), np.array(ids_r), a @ b.T)], names)
-
-    pairs = left.toDF("bl", "il", "dl").join(right.toDF("br", "ir", "dr"), F.expr("bl <= br") if same else F.lit(True))
-    return pairs.select("il", "dl", "ir", "dr").mapInArrow(run, schema)
+class _Group:
+    """A group's unit vectors in the order of their ids, in double and in single precision; what is null is left out."""
+
+    def __init__(self, rows: pa.Table, what: str, sign: int = 1) -> None:
+        held = dealt.Vectors(rows, what)
+        known = np.flatnonzero(held.known[:-1])
+        self.ids, self.unit = held.keys[known], sign * held.unit(known)
+        self.short = self.unit.astype(np.float32)
+        #: What a product in single precision, and rounding to six digits, may be off.
+        self.slack = 5e-7 + (self.unit.shape[1] + 8) * 2.0**-23
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _size(vectors: DataFrame) -> tuple[int, int]:
+    """Rows, and groups that they take at least."""
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return n, max(1, -(-n * max(1, width or 0) // GROUP))
+
+
+def _chosen(left: _Group, i: np.ndarray, right: _Group, at: int, s: np.ndarray, near: np.ndarray, better) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded similarity) of the near products that are better(similarities, rows) in double precision.  s are those of rows i and the columns from at on."""
+    m = s.shape[1]
+    if len(near) > s.size // 16:  # copies, or nothing found yet: all are multiplied again
+        t = np.round(left.unit[i] @ right.unit[at : at + m].T, 6)
+        r, c = np.divmod(np.flatnonzero(better(t, np.arange(len(i))[:, None])), m)
+        return r, c, t[r, c]
+    r, c = np.divmod(near, m)
+    t = np.round(np.einsum("ij,ij->i", left.unit[i[r]], right.unit[at + c]), 6)
+    keep = better(t, r)
+    return r[keep], c[keep], t[keep]
+
+
+def _extremes(left: _Group, right: _Group, same: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest (id_l < id_r, similarity) between two groups, or in one; by rounded similarity, then ids."""
+    a, b, v = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for i in range(0, len(left), LEFT):
+        rows = np.arange(i, min(i + LEFT, len(left)))
+        for j in range(i // RIGHT * RIGHT if same else 0, len(right), RIGHT):
+            least, last = (v[-1], (a[-1], b[-1])) if len(v) == k else (-np.inf, (0, 0))
+            if least >= 1 and min(left.ids[i], right.ids[j]) > last[0]:
+                continue  # nothing is larger, and ties go to smaller ids
+            columns = right.ids[j : j + RIGHT]
+            s = left.short[rows] @ right.short[j : j + RIGHT].T
+            tied = (left.ids[rows] <= last[0])[:, None] | (columns <= last[0])[None, :]
+            better = lambda t, r: (t > least) | (t == least) & tied if t.ndim == 2 else t >= least  # noqa: E731, B023
+            r, c, t = _chosen(left, rows, right, j, s, np.flatnonzero(s >= least - left.slack), better)
+            x, y = left.ids[rows[r]], columns[c]
+            real = (x != y) & (rows[r] < j + c) if same else x != y
+            x, y, t = np.minimum(x, y)[real], np.maximum(x, y)[real], t[real]
+            if len(t) > 8 * k:
+                some = t >= np.partition(t, len(t) - k)[len(t) - k]
+                x, y, t = x[some], y[some], t[some]
+            a, b, v = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([v, t])
+            best = np.lexsort((b, a, -v))[:k]
+            a, b, v = a[best], b[best], v[best]
+    return a, b, v
 
 
 def extreme_pairs(vectors: DataFrame, k: int, largest: bool) -> DataFrame:
-    """The k most (or least) similar pairs (id_l < id_r): blocks are multiplied, and each keeps its k best only.
+    """The k most (or least) similar pairs (id_l < id_r): groups of vectors are multiplied, a pair of groups in a task, which gives its k best only.
 
-    Candidates are chosen by rounded similarity, then ids, as the final order is.
+    Single precision finds what may be among the k best so far; it is multiplied
+    again in double.  Candidates are chosen by rounded similarity, then ids, as the
+    final order is.
     """
-
-    def keep(l: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        i, j = np.nonzero(l[:, None] < r[None, :]) if not np.array_equal(l, r) else np.nonzero(l[:, None] < l[None, :])
-        if not np.array_equal(l, r):
-            i2, j2 = np.nonzero(l[:, None] > r[None, :])
-            a, b, v = np.concatenate([l[i], r[j2]]), np.concatenate([r[j], l[i2]]), np.concatenate([s[i, j], s[i2, j2]])
-        else:
-            a, b, v = l[i], r[j], s[i, j]
-        v = np.round(v, 6)
-        edge = np.partition(-v if largest else v, min(k, len(v)) - 1)[: k] if len(v) else v
-        near = np.flatnonzero((-v if largest else v) <= (edge.max() if len(edge) else 0))
-        best = near[np.lexsort((b[near], a[near], -v[near] if largest else v[near]))][:k]
-        return a[best], b[best], v[best]
-
-    blocks = _blocks(vectors)
-    found = _products(blocks, blocks, keep, "id_l long, id_r long, cosine double", same=True)
+    spark, (n, least) = vectors.sparkSession, _size(vectors)
+    groups = least
+    while groups * (groups + 1) // 2 < 2 * spark.sparkContext.defaultParallelism and groups < n // RIGHT:
+        groups += 1
+    tiles = [(g, h) for g in range(groups) for h in range(g, groups)]
+    keys = dealt.task_keys(spark, len(tiles))
+    tasks = [[key for key, tile in zip(keys, tiles) if g in tile] for g in range(groups)]
+    sign = 1 if largest else -1
+
+    def run(number: int, rows: pa.Table) -> pa.Table:
+        g, h = tiles[number]
+        left = _Group(rows, f"v{g}", sign)
+        a, b, v = _extremes(left, _Group(rows, f"v{h}"), g == h, k)
+        return pa.table({"id_l": a, "id_r": b, "cosine": sign * v})
+
+    found = dealt.in_tasks(dealt.grouped(vectors, groups, tasks, "v"), keys, run, "id_l long, id_r long, cosine double")
     return found.orderBy(F.desc("cosine") if largest else F.asc("cosine"), "id_l", "id_r").limit(k)
 
 
+def _nearest(left: _Group, right: _Group, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, others), len(left) x k: the best of a group for each item, never itself; -inf where there are fewer.
+
+    Columns come by their ids, so that among equals those found first stay.
+    """
+    values, others = np.full((len(left), k), -np.inf), np.zeros((len(left), k), np.int64)
+    starts = [0, *range(LEFT // 2, len(right), RIGHT)]
+    for i in range(0, len(left), LEFT):
+        for j, end in zip(starts, [*starts[1:], len(right)]):
+            rows = i + np.flatnonzero(values[i : i + LEFT, -1] < 1)  # nothing is above 1
+            if not len(rows):
+                break
+            least, columns = values[rows, -1], right.ids[j:end]
+            s = left.short[rows] @ right.short[j:end].T
+            near = np.flatnonzero(s >= (least - left.slack).astype(np.float32)[:, None])
+            r, c, t = _chosen(left, rows, right, j, s, near, lambda t, r: t > least[r])  # noqa: B023
+            real = left.ids[rows[r]] != columns[c]
+            if not real.any():
+                continue
+            r, c, t = r[real], c[real], t[real]
+            met, number = np.unique(r, return_inverse=True)
+            of = np.concatenate([np.repeat(np.arange(len(met)), k), number])
+            v, o = np.concatenate([values[rows[met]].ravel(), t]), np.concatenate([others[rows[met]].ravel(), columns[c]])
+            order = np.lexsort((o, -v, of))
+            best = order[np.searchsorted(of[order], np.arange(len(met)))[:, None] + np.arange(k)]
+            values[rows[met]], others[rows[met]] = v[best], o[best]
+    return values, others
+
+
 def nearest(targets: DataFrame, others: DataFrame, k: int) -> DataFrame:
-    """(id, other, cosine, rank): for each target its k most similar other items, never itself."""
-
-    def keep(l: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        s = np.round(s, 6)
-        s[l[:, None] == r[None, :]] = -np.inf
-        order = np.argsort(r)
-        top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-        a, b, v = np.repeat(l, top.shape[1]), r[top].ravel(), np.take_along_axis(s, top, 1).ravel()
-        real = v > -np.inf
-        return a[real], b[real], v[real]
-
-    found = _products(_blocks(targets), _blocks(others), keep, "id long, other long, cosine double", same=False)
+    """(id, other, cosine, rank): for each target its k most similar other items, never itself; a group of targets and one of others are multiplied in a task."""
+    spark, (n, gl), (m, gr) = targets.sparkSession, _size(targets), _size(others)
+    want = 2 * spark.sparkContext.defaultParallelism
+    gl = max(gl, min(-(-want // gr), n // LEFT))
+    gr = max(gr, min(-(-want // gl), m // RIGHT))
+    keys = dealt.task_keys(spark, gl * gr)
+
+    def run(number: int, rows: pa.Table) -> pa.Table:
+        left = _Group(rows, f"l{number // gr}")
+        values, found = _nearest(left, _Group(rows, f"r{number % gr}"), k)
+        real = values.ravel() > -np.inf
+        return pa.table({"id": np.repeat(left.ids, k)[real], "other": found.ravel()[real], "cosine": values.ravel()[real]})
+
+    sent = dealt.grouped(targets, gl, [keys[g * gr : (g + 1) * gr] for g in range(gl)], "l")
+    sent = sent.unionByName(dealt.grouped(others, gr, [keys[h::gr] for h in range(gr)], "r"))
+    found = dealt.in_tasks(sent, keys, run, "id long, other long, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seqlattice.operators import dealt, grid, nulls
+from seqlattice.operators import dealt, grid, nulls, pairs
 
 
 def vectors_of(spark, n, width=4, key="id"):
@@ -143,3 +143,66 @@ def test_the_band_has_the_references_trials():
     from seqlattice.plans import catalogue, sequences
 
     assert sequences.MSD_TRIALS == 10_000 and "range(10000)" in catalogue.ORACLES["msd_band"]
+
+
+def ranked(u, ids, largest):
+    """All pairs of different ids by rounded similarity, then ids."""
+    s = np.round(u @ u.T, 6)
+    return sorted(((min(a, b), max(a, b), s[i, j]) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j), key=lambda x: (-x[2] if largest else x[2], x[0], x[1]))
+
+
+def with_copies(n, width=5):
+    """Vectors of which many are copies of two that point apart, so that bests are tied."""
+    v = np.random.default_rng(n).standard_normal((n, width)).astype(np.float32)
+    v[5::3], v[6::7] = v[5], -v[5]
+    return v
+
+
+@pytest.mark.parametrize("largest", [True, False])
+@pytest.mark.parametrize("group", [5 * 1000, 5 * 30])
+def test_extreme_pairs_of_groups_against_all_pairs(spark, monkeypatch, group, largest):
+    monkeypatch.setattr(pairs, "GROUP", group)
+    v = with_copies(100).astype(float)
+    ids = [7 * i % 101 for i in range(100)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id long, v array<double>")
+    found = pairs.extreme_pairs(df, 20, largest)
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan  # vectors go to tasks by groups, not by pairs of blocks
+    got = [(r.id_l, r.id_r, r.cosine) for r in found.collect()]
+    assert got == ranked(v / np.linalg.norm(v, axis=1, keepdims=True), ids, largest)[:20]
+
+
+@pytest.mark.parametrize("group", [5 * 1000, 5 * 30])
+def test_nearest_in_groups_against_all(spark, monkeypatch, group):
+    monkeypatch.setattr(pairs, "GROUP", group)
+    v = with_copies(100).astype(float)
+    u, ids = v / np.linalg.norm(v, axis=1, keepdims=True), [7 * i % 101 for i in range(100)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id long, v array<double>")
+    found = pairs.nearest(df, df, 4)
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    s = np.round(u @ u.T, 6)
+    want = {(a, r + 1): (b, c) for i, a in enumerate(ids) for r, (b, c) in enumerate(sorted(((ids[j], s[i, j]) for j in range(100) if j != i), key=lambda x: (-x[1], x[0]))[:4])}
+    assert {(r.id, r["rank"]): (r.other, r.cosine) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("shift", [0, 1])
+def test_blocks_of_products_against_all(monkeypatch, shift):
+    """Small blocks, so that thresholds of earlier ones count; with copies and, shifted, without."""
+    monkeypatch.setattr(pairs, "LEFT", 16)
+    monkeypatch.setattr(pairs, "RIGHT", 24)
+    v = with_copies(150) if not shift else np.random.default_rng(1).standard_normal((150, 5)).astype(np.float32)
+    table = lambda x, what, at: pa.table({"what": [what], "ids": [np.arange(at, at + len(x)).tobytes()], "width": pa.array([5], pa.int32()), "data": [x.tobytes()]})
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    for largest, sign in ((True, 1), (False, -1)):
+        for parts, same in (((0, 150), (0, 150)), True), (((0, 90), (90, 150)), False):
+            (a, b), (c, d) = parts
+            left, right = pairs._Group(table(v[a:b], "x", a), "x", sign), pairs._Group(table(v[c:d], "y", c), "y")
+            got = list(zip(*(x.tolist() for x in pairs._extremes(left, right, same, 30))))
+            want = [x for x in ranked(u, range(150), largest) if same or (x[0] < 90) != (x[1] < 90)][:30]
+            assert [(i, j, sign * x) for i, j, x in got] == want
+    side = pairs._Group(table(v, "x", 0), "x")
+    values, others = pairs._nearest(side, side, 6)
+    s = np.round(u @ u.T, 6)
+    for i in range(150):
+        assert others[i].tolist() == sorted((j for j in range(150) if j != i), key=lambda j: (-s[i, j], j))[:6]
