@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.batches import let_go
+
 #: Unicode white space, the separators that Java's \s leaves out, and zero-width marks.
 SPACES = r"[\p{Z}\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}\x{200b}\x{feff}]"
 #: What the normal form drops besides.  Braces and single curly quotes stay.
@@ -16,8 +19,17 @@ MARKS = "、。，．,.・:：;；!！?？「」『』（）()[]［］【】〔
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+def composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    try:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    finally:  # the worker waits for further tasks
+        let_go()
+
+
+def nfkc(c: Column) -> Column:
+    """ASCII stays as it is and isn't sent to Python."""
+    return F.coalesce(composed(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def without_marks(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import batches
 from ..sources import tables
 from ..sources.embedding import cache_status
 from .registry import registered
@@ -19,6 +20,7 @@ def _normal_sql(e: str) -> str:
 
 
 def documents(spark, sf_dir) -> DataFrame:
+    batches.small(spark)
     return tables.table(spark, sf_dir, "documents")
 
 
