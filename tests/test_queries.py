@@ -32,7 +32,7 @@ def test_kernel_null_runs_the_references_trials(spark, monkeypatch):
     assert all(abs(r.percentile * 10_000 - round(r.percentile * 10_000)) < 1e-6 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["normalize_rows"])
+@pytest.mark.parametrize("name", ["normalize_rows", "html_to_markdown", "page_links"])
 def test_whole_texts_come_to_python_in_small_batches(spark, name):
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     for key in (rows, size):
