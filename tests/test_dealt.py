@@ -206,3 +206,9 @@ def test_blocks_of_products_against_all(monkeypatch, shift):
     s = np.round(u @ u.T, 6)
     for i in range(150):
         assert others[i].tolist() == sorted((j for j in range(150) if j != i), key=lambda j: (-s[i, j], j))[:6]
+
+
+def test_cells_are_not_broadcast(spark):
+    """Spark takes cells, made from a range, for a few bytes, whatever their number."""
+    plan = grid.edges(grid.cells(spark, 50))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
