@@ -212,3 +212,21 @@ def test_cells_are_not_broadcast(spark):
     """Spark takes cells, made from a range, for a few bytes, whatever their number."""
     plan = grid.edges(grid.cells(spark, 50))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_overlaps_of_layouts_against_plain_pairs(spark):
+    """Ids with gaps; no pair of items leaves a task and no join is planned, so the driver broadcasts nothing."""
+    from seqlattice.operators import overlaps
+
+    ids = [k + k // 5 for k in range(23)]
+    seqs = [[i for i in ids if i not in (26, 25)], by_digest([i for i in ids if i not in (0, 7)], "B:")]
+    common, met = set(seqs[0]) & set(seqs[1]), []
+    cells = {}
+    for r in grid.cells(spark, 21).collect():
+        cells.setdefault(r.layout, {})[r.ordinal] = (r.r, r.c)
+    for seq in seqs:
+        met.append({(layout, kind): {frozenset(p) for p in pairs_ if common.issuperset(p)} for layout, at in cells.items() for kind, pairs_ in neighbours(seq, at).items()})
+    want = {(a, b, k): (len(x), len(y), len(x & y), sum(max(p) - min(p) == 1 for p in x & y), len(common)) for (a, k), x in met[0].items() for (b, kind), y in met[1].items() if kind == k}
+    found = overlaps.overlaps(spark.createDataFrame([(i,) for i in ids], "id long"), (None, [26, 25]), (b"B:", [0, 7]))
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert {(r.layout_first, r.layout_second, r.kind): tuple(r[3:]) for r in found.collect()} == want
