@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def _blocks(vectors: DataFrame) -> DataFrame:
 class _Group:
     """A group's unit vectors in the order of their ids, in double and in single precision; what is null is left out."""
 
-    def __init__(self, rows: pa.Table, what: str, sign: int = 1) -> None:
+    def __init__(self, rows: dealt.Rows | pa.Table, what: str, sign: int = 1) -> None:
         held = dealt.Vectors(rows, what)
         known = np.flatnonzero(held.known[:-1])
         self.ids, self.unit = held.keys[known], sign * held.unit(known)
@@ -73,6 +74,11 @@ class _Group:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def times(self, sign: int) -> "_Group":
+        out = copy(self)
+        out.unit, out.short = sign * self.unit, sign * self.short
+        return out
+
 
 def _size(vectors: DataFrame) -> tuple[int, int]:
     """Rows, and groups that they take at least."""
@@ -135,10 +141,10 @@ def extreme_pairs(vectors: DataFrame, k: int, largest: bool) -> DataFrame:
     tasks = [[key for key, tile in zip(keys, tiles) if g in tile] for g in range(groups)]
     sign = 1 if largest else -1
 
-    def run(number: int, rows: pa.Table) -> pa.Table:
+    def run(number: int, rows: dealt.Rows) -> pa.Table:
         g, h = tiles[number]
-        left = _Group(rows, f"v{g}", sign)
-        a, b, v = _extremes(left, _Group(rows, f"v{h}"), g == h, k)
+        right = _Group(rows, f"v{h}")
+        a, b, v = _extremes(right.times(sign) if g == h else _Group(rows, f"v{g}", sign), right, g == h, k)
         return pa.table({"id_l": a, "id_r": b, "cosine": sign * v})
 
     found = dealt.in_tasks(dealt.grouped(vectors, groups, tasks, "v"), keys, run, "id_l long, id_r long, cosine double")
@@ -182,7 +188,7 @@ def nearest(targets: DataFrame, others: DataFrame, k: int) -> DataFrame:
     gr = max(gr, min(-(-want // gl), m // RIGHT))
     keys = dealt.task_keys(spark, gl * gr)
 
-    def run(number: int, rows: pa.Table) -> pa.Table:
+    def run(number: int, rows: dealt.Rows) -> pa.Table:
         left = _Group(rows, f"l{number // gr}")
         values, found = _nearest(left, _Group(rows, f"r{number % gr}"), k)
         real = values.ravel() > -np.inf

@@ -230,3 +230,32 @@ def test_overlaps_of_layouts_against_plain_pairs(spark):
     found = overlaps.overlaps(spark.createDataFrame([(i,) for i in ids], "id long"), (None, [26, 25]), (b"B:", [0, 7]))
     assert "Join" not in found._jdf.queryExecution().toString()
     assert {(r.layout_first, r.layout_second, r.kind): tuple(r[3:]) for r in found.collect()} == want
+
+
+def test_a_tasks_memory_holds_vectors_once():
+    """Blocks go into one matrix as they come; beside it, a trial needs little."""
+    import tracemalloc
+
+    n, width, rng = 90_000, 64, np.random.default_rng(0)
+
+    def parts():
+        for at in rng.permutation(n // 1000) * 1000:
+            v = rng.standard_normal((1000, width)).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"what": ["v"], "ids": [np.arange(at, at + 1000).tobytes()], "width": pa.array([width], pa.int32()), "data": pa.array([v.tobytes()], pa.binary())})
+
+    tracemalloc.start()
+    held = dealt.Vectors(dealt.Rows(parts()))
+    means = dict(dealt.omission_means(held, dealt.placed(np.arange(n - 1), np.arange(300 * 300)), 300))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(held) == n and np.array_equal(held.keys, np.arange(n)) and set(means) == {4, 8}
+    assert most < 2 * n * width * 4
+
+
+def test_blocks_of_several_widths_and_kinds_are_one_matrix():
+    block = lambda ids, v, kind: {"what": "v", "ids": np.array(ids).tobytes(), "width": v.shape[1], "data": v.astype(kind).tobytes()}
+    a, b, none = np.array([[1.0, 2], [np.nan, np.nan]]), np.array([[3.0, 4e300]]), np.empty((2, 0))
+    schema = pa.schema([("what", pa.string()), ("ids", pa.binary()), ("width", pa.int32()), ("data", pa.binary())])
+    held = dealt.Vectors(pa.Table.from_pylist([block([9, 8], none, "f4"), block([3, 1], a, "f4"), block([2], b, "f8")], schema))
+    assert held.keys.tolist() == [1, 2, 3, 8, 9] and held.known.tolist() == [False, True, True, False, False, False]
+    assert held.plain(np.array([2, 1, 0, -1])).tolist() == [[1, 2], [3, 4e300], [0, 0], [0, 0]]
