@@ -131,3 +131,21 @@ def test_blocks_are_given_up_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(decontam.Block, "__init__", counted)
     decontam.judged(*frames(spark, docs, items)).count()
     assert len(alive) > 3 and all(n <= 150 or k == 1 for n, k in zip(alive, most))
+
+
+def test_a_document_costs_no_more_with_many_items():
+    import time
+
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    docs = [decontam.words_of(text(40).encode()) for _ in range(200)]
+
+    def took(n):
+        block = decontam.Block([(f"i{k}", text(200)) for k in range(n)])
+        begin = time.process_time()
+        for words in docs:
+            block.hits(words)
+        return time.process_time() - begin
+
+    took(2)
+    assert took(500) < 5 * took(5) + 0.1
