@@ -259,3 +259,18 @@ def test_blocks_of_several_widths_and_kinds_are_one_matrix():
     held = dealt.Vectors(pa.Table.from_pylist([block([9, 8], none, "f4"), block([3, 1], a, "f4"), block([2], b, "f8")], schema))
     assert held.keys.tolist() == [1, 2, 3, 8, 9] and held.known.tolist() == [False, True, True, False, False, False]
     assert held.plain(np.array([2, 1, 0, -1])).tolist() == [[1, 2], [3, 4e300], [0, 0], [0, 0]]
+
+
+def test_common_orders_are_dealt_without_joins_of_vectors(spark, tmp_path):
+    """Both orderings' neighbours are found in tasks: the only join is that of a few means with the null."""
+    from seqlattice.plans import catalogue
+
+    spark.range(40).selectExpr("id as vec_id", "array(float(sin(id)), float(cos(id * 3)), float(sin(id * id))) as embedding", "int(id % 10) as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalogue.QUERIES["common_only_adjacent"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 1
+    items = spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy("vec_id").collect()
+    u = {r.vec_id + 1: np.array(r.embedding, float) / np.linalg.norm(r.embedding) for r in items}
+    ids = sorted(set(range(1, 37)) - set(by_digest(range(1, 37), "A:")[:3]))
+    want = {name: np.mean([u[a] @ u[b] for a, b in zip(order, order[1:])]) for name, order in (("first", ids), ("second", by_digest(ids, "B:")))}
+    assert {r.ordering: r["mean"] for r in found.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
