@@ -274,3 +274,24 @@ def test_common_orders_are_dealt_without_joins_of_vectors(spark, tmp_path):
     ids = sorted(set(range(1, 37)) - set(by_digest(range(1, 37), "A:")[:3]))
     want = {name: np.mean([u[a] @ u[b] for a, b in zip(order, order[1:])]) for name, order in (("first", ids), ("second", by_digest(ids, "B:")))}
     assert {r.ordering: r["mean"] for r in found.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_overlaps_of_omissions_against_plain_pairs(spark):
+    from seqlattice.operators import overlaps
+
+    ids, n = list(range(23)), 21
+    first, second = [i for i in ids if i not in (21, 22)], by_digest([i for i in ids if i not in (0, 7)], "B:")
+    cells, whole = {}, {}
+    for r in grid.cells(spark, n - 1).collect():
+        cells.setdefault(r.layout, {})[r.ordinal] = (r.r, r.c)
+    for r in grid.cells(spark, n).where("layout = 'spiral'").collect():
+        whole[r.ordinal] = (r.r, r.c)
+    spiral, want = {k: set(map(frozenset, x)) for k, x in neighbours(first, whole).items()}, {}
+    for o in range(n):
+        for layout, at in cells.items():
+            for kind, met in neighbours([i for k, i in enumerate(second) if k != o], at).items():
+                common = [frozenset(x) for x in met if set(first).issuperset(x)]
+                want[layout, kind, o] = (len(common), sum(x in spiral[kind] for x in common))
+    found = overlaps.omission_overlaps(spark.createDataFrame([(i,) for i in ids], "id long"), (None, [21, 22]), (b"B:", [0, 7]), "spiral")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert {(r.layout, r.kind, r.omitted): (r.n_second, r.n_both) for r in found.collect()} == want
