@@ -295,3 +295,36 @@ def test_overlaps_of_omissions_against_plain_pairs(spark):
     found = overlaps.omission_overlaps(spark.createDataFrame([(i,) for i in ids], "id long"), (None, [21, 22]), (b"B:", [0, 7]), "spiral")
     assert "Join" not in found._jdf.queryExecution().toString()
     assert {(r.layout, r.kind, r.omitted): (r.n_second, r.n_both) for r in found.collect()} == want
+
+
+def table_of(spark, path, n, width=16):
+    rng = np.random.default_rng(n)
+    rows = [(k, rng.standard_normal(width).astype(np.float32).tolist(), k % 10) for k in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(1).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+#: How often vectors go to a task, with 8 tasks for a null's trials: once for each, which serves what is observed as well.
+DEALT = {"shared_cell_scan": 8}
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_bytes_moved_are_those_of_vectors_once_a_task(spark, tmp_path, name):
+    """Not those of items times trials, nor of joins or sorts of the vectors."""
+    from seqlattice.plans import catalogue
+
+    n, width, sc = 3000, 16, spark.sparkContext._jsc.sc()
+    data = table_of(spark, tmp_path, n, width)
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the table were large
+    try:
+        before = moved()
+        catalogue.QUERIES[name](spark, data).collect()
+        assert 0 < moved() - before < 1.1 * DEALT[name] * n * (4 * width + 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
