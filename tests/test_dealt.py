@@ -304,8 +304,8 @@ def table_of(spark, path, n, width=16):
     return str(path)
 
 
-#: How often vectors go to a task, with 8 tasks for a null's trials: once for each, which serves what is observed as well.
-DEALT = {"shared_cell_scan": 8}
+#: How often vectors go to a task, with 8 tasks for a null's trials: once for each, and for the seven layouts or for what is observed.
+DEALT = {"shared_cell_scan": 8, "layout_null_stats": 8 + 7}
 
 
 @pytest.mark.parametrize("name", DEALT)
