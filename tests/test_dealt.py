@@ -305,7 +305,7 @@ def table_of(spark, path, n, width=16):
 
 
 #: How often vectors go to a task, with 8 tasks for a null's trials: once for each, and for the seven layouts or for what is observed.
-DEALT = {"shared_cell_scan": 8, "layout_null_stats": 8 + 7}
+DEALT = {"shared_cell_scan": 8, "layout_null_stats": 8 + 7, "adjacent_summary_null": 8 + 1}
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -328,3 +328,13 @@ def test_bytes_moved_are_those_of_vectors_once_a_task(spark, tmp_path, name):
         assert 0 < moved() - before < 1.1 * DEALT[name] * n * (4 * width + 8)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+@pytest.mark.parametrize("name", ["adjacent_summary_null"])
+def test_neighbours_of_few_items_against_sql(spark, tmp_path, name, n):
+    """A random order of two or three items may tie with the observed one, which must not depend on rounding."""
+    from comparing import against_sql
+    from seqlattice.plans import catalogue
+
+    against_sql(catalogue.QUERIES[name](spark, table_of(spark, tmp_path, n)), catalogue.ORACLES[name].replace("FROM embeddings)", f"FROM '{tmp_path}/embeddings.parquet/*.parquet')"))
