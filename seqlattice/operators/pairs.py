@@ -32,11 +32,6 @@ def adjacent(seq: DataFrame, *columns: str) -> DataFrame:
     return pairs.withColumn("cosine", cosine(F.col("v_l"), F.col("v_r"))).drop("v_l", "v_r")
 
 
-def disjoint(seq: DataFrame, offset: int) -> DataFrame:
-    """The pairs (0, 1), (2, 3), ... or, with offset 1, (1, 2), (3, 4), ...; a last item may stay alone."""
-    return adjacent(seq).where(F.col("pos_l") % 2 == offset)
-
-
 def mirrored(seq: DataFrame) -> DataFrame:
     """First with last, second with last but one, ...; a middle item has no partner."""
     n = seq.agg(F.count(F.lit(1)).alias("n"))
