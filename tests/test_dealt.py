@@ -305,7 +305,7 @@ def table_of(spark, path, n, width=16):
 
 
 #: How often vectors go to a task, with 8 tasks for a null's trials: once for each, and for the seven layouts or for what is observed.
-DEALT = {"shared_cell_scan": 8, "layout_null_stats": 8 + 7, "adjacent_summary_null": 8 + 1, "pair_mean_even_odd": 8 + 1, "pair_mean_odd_even": 8 + 1}
+DEALT = {"shared_cell_scan": 8, "layout_null_stats": 8 + 7, "adjacent_summary_null": 8 + 1, "pair_mean_even_odd": 8 + 1, "pair_mean_odd_even": 8 + 1, "pair_mean_odd_even_strict": 8 + 1}
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -331,7 +331,7 @@ def test_bytes_moved_are_those_of_vectors_once_a_task(spark, tmp_path, name):
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
-@pytest.mark.parametrize("name", ["adjacent_summary_null", "pair_mean_even_odd", "pair_mean_odd_even"])
+@pytest.mark.parametrize("name", ["adjacent_summary_null", "pair_mean_even_odd", "pair_mean_odd_even", "pair_mean_odd_even_strict"])
 def test_neighbours_of_few_items_against_sql(spark, tmp_path, name, n):
     """A random order of two or three items may tie with the observed one, which must not depend on rounding."""
     from comparing import against_sql
